@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_format
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .minhash import op2_near_duplicates
 from .mixing import OP6_SQL, op6_mix_sources
+from .piecewise_hash import op10_fingerprints
+from .quality import op8_quality
+from .secret_scan import op4_secrets
 from .sharding import op7_shards
+from .token_shards import op3_token_shards
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_token_shards": op3_token_shards,
+    "op4_secrets": op4_secrets,
     "op5_chat_format": op5_chat_format,
     "op6_mix_sources": op6_mix_sources,
     "op7_shards": op7_shards,
+    "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {
     "op5_chat_format": OP5_SQL,
