@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import doc_key, shared_dir, table
 from lodestone.llm.decontaminate import decontaminate
-from lodestone.llm.minhash import near_duplicates
+from lodestone.llm.minhash import class_of, near_duplicates
 from lodestone.llm.mixing import in_mixed_order, mix
 from lodestone.llm.quality import ACCEPT, score_quality
 from lodestone.llm.sharding import assign_shards
@@ -24,25 +24,25 @@ SHARDS = 8
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scores = score_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where(F.col("score") < ACCEPT).select("doc_id").distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")
+    rejected = scores.where(F.col("score") < ACCEPT).select(F.col("doc_id").alias("lodestone_id")).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("lodestone_id")), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the least id; of repeated rows, one."""
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id", "class").distinct()
-    keyed = docs.withColumn("lodestone_class", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed.doc_id.eqNullSafe(kept.doc_id) & (F.col("lodestone_class") == kept["class"])
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("lodestone_id"), F.col("class").alias("lodestone_group")).distinct()
+    keyed = docs.withColumn("lodestone_class", class_of(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("lodestone_id")) & (F.col("lodestone_class") == F.col("lodestone_group"))
     return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "lodestone_class"]).drop("lodestone_class")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    hit = found.where("contaminated").select("key").distinct()
+    hit = found.where("contaminated").select(F.col("key").alias("lodestone_key")).distinct()
     keyed = docs.withColumn("lodestone_key", doc_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(hit, F.col("lodestone_key") == F.col("key"), "left_anti").drop("lodestone_key")
+    return keyed.join(hit, "lodestone_key", "left_anti").drop("lodestone_key")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
