@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import answer
 from lodestone.functions import text as t
-from lodestone.operators import chunk, context, fusion, lexical, repository, vector
+from lodestone.operators import chunk, context, fusion, ivf, lexical, repository, vector
 from lodestone.params import DEFAULTS, GENERATED_SUFFIXES, LOCK_FILES, SKIP_DIRS, SKIP_EXTENSIONS, SOURCE_EXTENSIONS, STARTERS
 from lodestone.sources import embed, store, walk
 from lodestone.streaming import limiter
@@ -167,6 +167,23 @@ def search_debug(spark: SparkSession, d: str) -> DataFrame:
     return both.select("doc_id", "rank", F.round("score", 4).alias("score"), (F.col("score") >= DEFAULTS.min_score).alias("above_threshold"), F.substring("content", 1, 200).alias("preview"))
 
 
+def search_set(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 is a query."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query("""SELECT query_id, vec_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+def knn_exact(spark: SparkSession, d: str) -> DataFrame:
+    return ivf.exact(table(spark, d, "embeddings"), search_set(spark, d), 10)
+
+
+@query()
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same by an inverted file; its recall is measured in the tests."""
+    return ivf.Index(table(spark, d, "embeddings")).search(search_set(spark, d), 10, 16)
+
+
 # ---- file names in questions, forced results
 
 QUESTIONS = [(1, "What is in package.json and in mapStore.ts?"), (2, "Does Next.js 2.0 matter, e.g. for a.py?"), (3, "see poetry.lock, README.md, readme.MD"), (4, "no names here"), (5, "Où est naïve-été.py ?")]

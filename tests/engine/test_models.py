@@ -42,7 +42,7 @@ def test_windows_cover_every_line(spark, n):
 
 
 def test_split_keeps_the_text(spark):
-    content = "\n".join("y" * (i % 700) for i in range(60))
+    content = "\n".join("y" * (i * 37 % 700) for i in range(60))
     rows = chunk.split_long(spark.createDataFrame([("f", 1, 60, content)], "path string, start_line int, end_line int, content string")).orderBy("piece").collect()
     assert len(rows) > 5
     assert "\n".join(r["content"] for r in rows) == content
@@ -106,3 +106,11 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
 
 def test_limiter_edge():
     assert limiter.decided([(0, 0.0), (1, 1.0), (2, 2.0), (3, 60.0), (4, 60.5)], [], 3, 60) == [True, True, True, False, True]
+
+
+def test_recall_of_the_cell_index(spark, sf_dir):
+    from lodestone.catalog import QUERIES
+
+    exact = {(r["query_id"], r["vec_id"]) for r in QUERIES["knn_exact"](spark, sf_dir).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in QUERIES["knn_cells"](spark, sf_dir).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
