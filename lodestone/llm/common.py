@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -17,13 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lodestone-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests one of our own."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (in tests), one of our own."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -22,6 +22,7 @@ in, empty out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,25 +31,27 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, shared_dir, stored, table
+from .common import WORD, shared_dir, stored, table
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
-#: A pair at the threshold is a candidate with probability 1 - (1 - 0.8 ** 3) ** 13 = 0.9999.
-BANDS, ROWS = 13, 3
+#: A pair at the threshold is a candidate with probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992.
+BANDS, ROWS = 10, 3
 SEED = 7
 #: Words in a smaller share of the documents are not told apart by frequency.
 FLOOR = 1e-3
 #: Word hashes that a worker keeps.
 CACHE_WORDS = 500_000
 #: Pairs are listed in full only for what hubs leave unsettled, after so many rounds of hubs.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 _word = re.compile(WORD)
-_lower = str.maketrans(UPPER, LOWER)
 
 
 def words_of(text: str) -> list[str]:
-    return _word.findall(text.translate(_lower) if not text.isascii() else text.lower())
+    if text.isascii():
+        return _word.findall(text.lower())
+    # A-Z only; bytes.lower() is that, as all other letters are beyond ASCII in UTF-8
+    return _word.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
 def word_frequencies(docs: DataFrame) -> dict[str, float]:
@@ -56,15 +59,14 @@ def word_frequencies(docs: DataFrame) -> dict[str, float]:
     that of any other word. At most (mean distinct words a document) / FLOOR entries."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen: Counter[str] = Counter()
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 for text in batch.column(0).slice(i, 1024).to_pylist():
-                    for w in set(words_of(text or "")):
-                        seen[w] = seen.get(w, 0) + 1
+                    seen.update(set(words_of(text or "")))
                 if len(seen) > CACHE_WORDS:
                     yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())})
-                    seen = {}
+                    seen = Counter()
         if seen:
             yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())})
 
@@ -78,15 +80,22 @@ def word_frequencies(docs: DataFrame) -> dict[str, float]:
 class Shingler:
     """Shingle hashes and weights of texts; keeps hash and frequency of the words it has met."""
 
+    _last: Shingler | None = None
+
     def __init__(self, idf: dict[str, float]):
         self.idf, self.rare = idf, idf[""]
         self.clear()
 
+    @classmethod
+    def of_worker(cls, idf: dict[str, float]) -> Shingler:
+        """The worker's own, so that words met in one task are known in the next."""
+        if cls._last is None or cls._last.idf is not idf:
+            cls._last = cls(idf)
+        return cls._last
+
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.hash: list[int] = []
-        self.value: list[float] = []
-        self.hashes, self.values = np.empty(0, np.uint64), np.empty(0)
+        self.hashes, self.values = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12)
 
     def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text its distinct shingle hashes, sorted, and their weights."""
@@ -95,13 +104,13 @@ class Shingler:
         at, places = self.at, []
         for text in texts:
             ws = words_of(text)
-            for w in set(ws) - at.keys():
-                at[w] = len(self.hash)
-                self.hash.append(xxhash.xxh64_intdigest(w, SEED))
-                self.value.append(self.idf.get(w, self.rare))
+            for w in ws:
+                if w not in at:
+                    n = at[w] = len(at)
+                    if n == len(self.hashes):
+                        self.hashes, self.values = np.resize(self.hashes, 2 * n), np.resize(self.values, 2 * n)
+                    self.hashes[n], self.values[n] = xxhash.xxh64_intdigest(w, SEED), self.idf.get(w, self.rare)
             places.append(np.fromiter(map(at.__getitem__, ws), np.int64, len(ws)))
-        if len(self.hashes) < len(self.hash):
-            self.hashes, self.values = np.array(self.hash, np.uint64), np.array(self.value)
         return [self.of(p) for p in places]
 
     def of(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +139,11 @@ def _gamma_table(n: int) -> np.ndarray:
 
 
 GAMMA_R = _gamma_table(1 << 12).astype(np.float32)
+INVERSE_R = (1 / GAMMA_R).astype(np.float32)
 LOG_GAMMA_C = np.log(_gamma_table(1 << 16)).astype(np.float32)
 
 
-def samples(shingles: list[tuple[np.ndarray, np.ndarray]], n_samples: int = BANDS * ROWS) -> np.ndarray:
+def samples(shingles: list[tuple[np.ndarray, np.ndarray]], n_samples: int) -> np.ndarray:
     """Consistent weighted samples of several non-empty weighted sets: one row of 32-bit tags per set.
 
     For each element of weight S and each sample: r, c ~ Gamma(2, 1) and b ~ U(0, 1) depend on the element alone;
@@ -148,15 +158,23 @@ def samples(shingles: list[tuple[np.ndarray, np.ndarray]], n_samples: int = BAND
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        r = GAMMA_R[(h & np.uint64(0xFFF)).astype(np.intp)]
-        b = ((h >> np.uint64(12)) & np.uint64(0xFFFFF)).astype(np.float32) / np.float32(1 << 20)
-        t = np.floor(log_s / r + b)
-        a = LOG_GAMMA_C[(h >> np.uint64(48)).astype(np.intp)] - r * (t - b + 1)
-        # least a, as its bits in an order that integers share, with the tag below them
+        at = (h & np.uint64(0xFFF)).view(np.int64)
+        b = ((h >> np.uint64(12)).astype(np.uint32) >> np.uint32(12)).astype(np.float32)
+        b *= np.float32(2.0**-20)
+        t = INVERSE_R.take(at)
+        t *= log_s
+        t += b
+        np.floor(t, out=t)
+        a = t - b
+        a += np.float32(1)
+        a *= GAMMA_R.take(at)
+        np.subtract(LOG_GAMMA_C.take((h >> np.uint64(48)).view(np.int64)), a, out=a)
+        # the least a, as its bits in the order of signed integers, with the tag below them
         bits = a.view(np.int32)
-        order = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) + 2**31
-        tag = (h >> np.uint64(16)).astype(np.uint32) * np.uint32(31) + t.astype(np.int32).view(np.uint32)
-        out[:, k] = (np.minimum.reduceat((order.astype(np.uint64) << np.uint64(32)) | tag, starts) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        key = (bits ^ ((bits >> np.int32(31)) & np.int32(0x7FFFFFFF))).astype(np.int64)
+        key <<= 32
+        key |= (h >> np.uint64(16)).astype(np.uint32) * np.uint32(31) + t.astype(np.int32).view(np.uint32)
+        out[:, k] = np.minimum.reduceat(key, starts).astype(np.uint32)
     return out
 
 
@@ -176,7 +194,7 @@ def band_keys(texts: DataFrame, idf) -> DataFrame:  # noqa: ANN001
     """(class, text) to class, band, key; a text that a task has just had is not sampled again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, had = Shingler(idf.value), set()
+        shingler, had = Shingler.of_worker(idf.value), set()
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 some = batch.slice(i, 64)
@@ -187,7 +205,7 @@ def band_keys(texts: DataFrame, idf) -> DataFrame:  # noqa: ANN001
                 sets = [(c, s) for c, s in zip(new, shingler(list(new.values())), strict=True) if len(s[0])]
                 if not sets:
                     continue
-                tags = samples([s for _, s in sets]).reshape(len(sets), BANDS, ROWS).astype(np.uint64)
+                tags = samples([s for _, s in sets], BANDS * ROWS).reshape(len(sets), BANDS, ROWS).astype(np.uint64)
                 key = np.zeros((len(sets), BANDS), np.uint64)
                 for r in range(ROWS):
                     key = (key ^ tags[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +223,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:  # noqa: ANN
     plain joins on its class, which Spark splits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(idf.value)
+        shingler = Shingler.of_worker(idf.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 a, b, ta, tb = (c.to_pylist() for c in batch.slice(i, 64).columns)
@@ -226,11 +244,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "near-edges")
     labels = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "class"), "near-labels")
     while True:
-        near = edges.join(labels, edges.v == labels["class"]).groupBy(F.col("u").alias("class")).agg(F.min("label").alias("low"))
-        spread = labels.join(near, "class", "left").select("class", F.least("label", "low").alias("label"), F.col("label").alias("old"))
-        spread = stored(spread, "near-spread")
-        up = spread.select(F.col("class").alias("label"), F.col("label").alias("above"))
-        new = stored(spread.join(up, "label", "left").select("class", F.least("label", "above").alias("label"), "old"), "near-labels")
+        low = edges.join(labels.select(F.col("class").alias("v"), "label"), "v").groupBy(F.col("u").alias("class")).agg(F.min("label").alias("low"))
+        least = labels.join(low, "class").select("class", F.col("label").alias("old"), F.least("label", "low").alias("next"))
+        above = labels.select(F.col("class").alias("next"), F.col("label").alias("above"))
+        new = stored(least.join(above, "next", "left").select("class", F.least("next", "above").alias("label"), "old"), "near-labels")
         labels = new.select("class", "label")
         if new.where("label != old").isEmpty():
             return labels
@@ -247,9 +264,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = keys.groupBy("band", "key").agg(F.min("class").alias("hub"), F.count("*").alias("n"))
     hubs = stored(sizes.where("n > 1").select("band", "key", "hub"), "near-hubs")
     members = stored(keys.join(hubs, ["band", "key"]), "near-members")
-    wanted = stored(members.select("class").distinct(), "near-wanted")
     # one text per class, of those that have a candidate at all
-    texts = stored(texts.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text")), "near-texts")
+    texts = stored(texts.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("text").alias("text")), "near-texts")
 
     none = spark.createDataFrame([], "a long, b long, similarity double")
     links, tried, labels = none, None, None

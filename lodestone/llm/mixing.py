@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import md5_key, stored, table
 
 #: Rows of a source's hash bucket, and of the finish-time bucket in which the budget ends, are about this many.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 MAX_BUCKETS = 65536
 #: A document may be taken so many times.
 EPOCHS = 3
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, size: Column | None = None, epochs: int = EPOCHS, seed:
     base = docs.select("doc_id", size.alias("size"), skey.alias("skey"), md5_key(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"), *[F.col(k).alias(f"kept_{k}") for k in keep or []])
     base = stored(base, "mix-base")
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
-    n_buckets = min(MAX_BUCKETS, max(8, total["n"] // BUCKET_ROWS))
+    n_buckets = min(MAX_BUCKETS, max(64, total["n"] // BUCKET_ROWS))
     width = 2**60 // n_buckets + 1
     base = base.withColumn("b", F.floor(F.col("h") / F.lit(width)).cast("int"))
 

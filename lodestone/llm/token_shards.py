@@ -41,7 +41,9 @@ BITS_PER_KEY, N_HASHES = 10, 7
 MAGIC = b"LSST0001"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index offset and length, filter offset and length, documents, ids, magic
 #: Pieces of text whose ids a worker keeps; longer pieces are not kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 1_200_000, 48
+#: Marks that a piece may end in.
+MARKS = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -75,23 +77,43 @@ class Encoder:
     @staticmethod
     def pieces(text: str) -> list[str]:
         parts = text.split(" ")
-        if all(map(str.strip, parts)) and not re.search(r"\s |\s\Z| \s|\A\s", text):
+        if all(parts) and list(map(str.strip, parts)) == parts:
             return [parts[0], *[f" {p}" for p in parts[1:]]]
         return re.split(r"(?<=\S)(?= \S)", text)
 
+    @staticmethod
+    def atoms(piece: str) -> list[str]:
+        """A piece cut where the tokenizer splits too: around a lone line feed, and before a mark after letters."""
+        head, feed, tail = piece.partition("\n")
+        if feed and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            return [*Encoder.atoms(head), feed, *Encoder.atoms(tail)]
+        if len(piece) > 2 and piece[-1] in MARKS and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return [piece[:-1], piece[-1]]
+        return [piece]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
         if len(self.ids) > CACHE_PIECES:
             self.ids.clear()
-        new = list(set().union(*cut) - self.ids.keys())
+        new = {p: self.atoms(p) for ps in cut for p in ps if p not in self.ids}
+        single = list({a for atoms in new.values() for a in atoms if a not in self.ids})
         found = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                found[piece] = np.array(e.ids, "<u4").tobytes()
-        self.ids.update((p, b) for p, b in found.items() if len(p) <= CACHE_CHARS)
-        get, rare = self.ids.get, found
-        return [b"".join([get(p) or rare.get(p, b"") for p in ps]) for ps in cut]
+        for i in range(0, len(single), 4096):
+            some = single[i : i + 4096]
+            for atom, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                found[atom] = np.array(e.ids, "<u4").tobytes()
+        self.ids.update((a, b) for a, b in found.items() if len(a) <= CACHE_CHARS)
+        for piece, atoms in new.items():
+            if len(atoms) > 1:
+                found[piece] = b"".join([self.ids.get(a) or found.get(a, b"") for a in atoms])
+        self.ids.update((p, found[p]) for p in new if len(p) <= CACHE_CHARS)
+        out = []
+        for ps in cut:
+            try:
+                out.append(b"".join(map(self.ids.__getitem__, ps)))
+            except KeyError:  # pieces too long to be kept
+                out.append(b"".join([self.ids.get(p) or found.get(p, b"") for p in ps]))
+        return out
 
 
 def key_of(doc_id: int | None) -> bytes:

@@ -114,3 +114,35 @@ def test_recall_of_the_cell_index(spark, sf_dir):
     exact = {(r["query_id"], r["vec_id"]) for r in QUERIES["knn_exact"](spark, sf_dir).collect()}
     found = {(r["query_id"], r["vec_id"]) for r in QUERIES["knn_cells"](spark, sf_dir).collect()}
     assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_engine_from_files_to_answers(spark, tmp_path):
+    from lodestone.api import Engine
+
+    code = "import os\nimport sys\n\ndef parseConfig(path):\n    return open(path).read()\n\nclass Store:\n    def save(self, row):\n        return row\n"
+    rows = [("src/config.py", code), ("docs/guide.md", "\n".join(f"line {i} about storage" for i in range(120))), ("node_modules/x.js", "let a"), ("a.png", "x")]
+    source = spark.createDataFrame([(p, len(c), bytearray(c.encode())) for p, c in rows], "path string, length long, content binary")
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    events = list(e.index("r", source))
+    assert [x["stage"] for x in events] == ["walking", "parsing", "embedding", "storing", "complete"]
+    assert events[1]["files"] == 2
+    hits = e.search("r", "how does parseConfig work").orderBy("position").collect()
+    assert hits[0]["name"] == "parseConfig"
+    assert hits[0]["header"] == "[1] parseConfig() (src/config.py:4-5)"
+    assert "import sys" in hits[0]["enriched"]
+    assert e.file("r", "docs/guide.md", 2, 3).first()["content"] == "line 1 about storage\nline 2 about storage"
+    assert e.summary("r").count() == 2
+    assert e.tree("r").where("parent = ''").count() == 2
+    assert list(e.index("r", source))[-1]["chunks"] == events[-1]["chunks"]
+    e.delete("r")
+    assert e.status().count() == 0
+
+
+def test_rerank(spark):
+    from lodestone.operators.rerank import reranked
+
+    rows = [("q", i, "x" * i, i + 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "question string, id int, text string, rank int")
+    assert {(r["id"], r["rank"], r["score"]) for r in reranked(df).collect()} == {(i, i + 1, 0.5) for i in range(4)}
+    longest = reranked(df, lambda qs, ts: [len(x) for x in ts]).where("rank = 1").first()
+    assert longest["id"] == 3
