@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -24,7 +26,8 @@ def refreshed(existing: DataFrame, incoming: DataFrame, changes: DataFrame) -> D
 
 
 class ChunkStore:
-    """Versions of one chunk table below a folder; readers keep the version they began with."""
+    """Versions of one chunk table below a folder; readers keep the version they began with. The pointer of a version
+    holds its schema, so that an empty version (all deleted) can be read too."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -41,13 +44,16 @@ class ChunkStore:
 
     def read(self) -> DataFrame | None:
         at = self._pointer()
-        return None if at is None else self.spark.read.parquet(f"{self.folder}/{at}")
+        if at is None:
+            return None
+        version, _, schema = at.partition("\t")
+        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{self.folder}/{version}")
 
     def replace(self, chunks: DataFrame) -> None:
         n = int((self._pointer() or "v0-").split("-")[0][1:]) + 1
         at = f"v{n:012d}-{uuid.uuid4().hex}"
         chunks.write.partitionBy("repo_id").parquet(f"{self.folder}/{at}")
-        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.text(f"{self.folder}/current-{at}")
+        self.spark.createDataFrame([(f"{at}\t{chunks.schema.json()}",)], "value string").coalesce(1).write.text(f"{self.folder}/current-{at}")
 
     def upsert(self, incoming: DataFrame) -> None:
         old = self.read()
@@ -58,4 +64,7 @@ class ChunkStore:
             self.replace(without_files(old, paths))
 
     def stats(self) -> DataFrame:
-        return self.read().groupBy("repo_id").agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files"))
+        rows = self.read()
+        if rows is None:
+            return self.spark.createDataFrame([], "repo_id string, chunks long, files long")
+        return rows.groupBy("repo_id").agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files"))
