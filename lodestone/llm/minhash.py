@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, shared_dir, stored, table
@@ -239,9 +239,16 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:  # noqa: ANN
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) to (class, label): the least class of each connected component. Labels spread to neighbours and are
-    then replaced by their labels' labels, so a chain of length n takes about log n rounds."""
-    edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "near-edges")
+    """(a, b) to (class, label): the least class of each connected component.
+
+    First each class hands its lesser neighbours to the least of them and keeps that one link: members of a group share
+    their hubs, so about one link a class is left, which no later join multiplies. Then labels spread to neighbours and
+    are replaced by their labels' labels, so a chain of length n takes about log n rounds."""
+    down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    handed = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    kept = handed.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    kept = stored(kept.distinct(), "near-kept")
+    edges = stored(kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v"))), "near-edges")
     labels = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "class"), "near-labels")
     while True:
         low = edges.join(labels.select(F.col("class").alias("v"), "label"), "v").groupBy(F.col("u").alias("class")).agg(F.min("label").alias("low"))
