@@ -24,17 +24,18 @@ SHARDS = 8
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scores = score_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where(F.col("score") < ACCEPT).select(F.col("doc_id").alias("lodestone_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("lodestone_id")), "left_anti")
+    rejected = scores.where(F.col("score") < ACCEPT).select(F.col("key").alias("lodestone_key")).distinct()
+    keyed = docs.withColumn("lodestone_key", doc_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(rejected, "lodestone_key", "left_anti").drop("lodestone_key")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id; of repeated rows, one."""
+    """One row of each group of near-duplicates: that with the least id (nulls last); of several texts with it, one."""
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("lodestone_id"), F.col("class").alias("lodestone_group")).distinct()
+    kept = found.where(F.col("class") == F.col("kept_class")).select(F.col("class_id").alias("lodestone_id"), F.col("class").alias("lodestone_group")).distinct()
     keyed = docs.withColumn("lodestone_class", class_of(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("lodestone_id")) & (F.col("lodestone_class") == F.col("lodestone_group"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "lodestone_class"]).drop("lodestone_class")
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["lodestone_class"]).drop("lodestone_class")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

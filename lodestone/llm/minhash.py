@@ -262,7 +262,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (least id with the same text), group_id (least id of the group),
-    n_links (texts it was found alike to), class (hash of the text)."""
+    n_links (texts it was found alike to), class (hash of the text), kept_class (the one class that stands for the
+    group: that of its least id, nulls last, and of classes with the same id the least)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     idf = spark.sparkContext.broadcast(word_frequencies(docs))
@@ -311,11 +312,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if labels is None:
         labels = spark.createDataFrame([], "class long, label long")
     least = stored(least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")).join(degrees, "class", "left"), "near-least")
-    groups = stored(least.groupBy("label").agg(F.min("class_id").alias("group_id")), "near-groups")
-    known = stored(least.join(groups, "label").select("class", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "near-known")
-    return classes.join(known, "class").select("doc_id", "class_id", "group_id", "n_links", "class")
+    groups = stored(least.groupBy("label").agg(F.min("class_id").alias("group_id"), F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "class"))["class"].alias("kept_class")), "near-groups")
+    known = stored(least.join(groups, "label").select("class", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "kept_class"), "near-known")
+    return classes.join(known, "class").select("doc_id", "class_id", "group_id", "n_links", "class", "kept_class")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("class")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("class", "kept_class")

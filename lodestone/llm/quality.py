@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import doc_key, stored, table
 from .labelled import fold, learnable, with_labels
 
 FIT_ROWS = 200_000
@@ -70,9 +70,9 @@ def all_statistics(docs: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
                 x = [list(map(float, statistics(t or ""))) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(x, pa.list_(pa.float64())), some.column(2)], names=["doc_id", "x", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text", doc_key(F.col("doc_id"), F.col("text")).alias("key")).mapInArrow(run, "doc_id long, x array<double>, key long")
 
 
 class Features:
@@ -154,15 +154,15 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """One row per document: doc_id, score."""
+    """One row per document: doc_id, score, key (of the row by id and text)."""
     stats = stored(all_statistics(docs), "quality-stats")
     model = fit(stats, labels, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch.column(1))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch.column(1)))), batch.column(2)], names=["doc_id", "score", "key"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.mapInArrow(run, "doc_id long, score double, key long")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

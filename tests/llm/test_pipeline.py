@@ -1,6 +1,9 @@
 """The pipeline's stages: their decisions take effect and clean documents stay."""
 
+import numpy as np
+
 import corpus_pipeline as p
+from lodestone.llm import quality
 from lodestone.llm.common import table
 
 
@@ -28,3 +31,27 @@ def test_stages_on_odd_rows(spark, sf_dir):
         assert stage(spark, docs, sf_dir).count() <= 15
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert sorted(r["doc_id"] or 0 for r in p.near_dedup(spark, docs, sf_dir).collect()) == [0, 1, 3]
+
+
+def test_repeated_and_null_ids(spark, monkeypatch):
+    """A junk row takes only itself along, and a group keeps one row however its ids repeat."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = [f"word{i}" for i in range(300)]
+    near = [" ".join([*words[:290], f"end{i}"]) for i in range(4)]
+    rows = [(None, "clean one", "en", "a", 9), (None, "junk", "en", "a", 4), (None, "clean two", "en", "a", 9), (5, "clean three", "en", "a", 11), (5, "junk", "en", "a", 4), (6, "clean four", "en", "a", 10)]
+    docs = spark.createDataFrame(rows, schema)
+
+    class Long:  # defined here, so that it reaches the workers
+        def score(self, x):
+            return (x[:, 0] > np.log1p(4.5)).astype(float)
+
+    monkeypatch.setattr(quality, "fit", lambda *a: Long())
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(p, "table", lambda *a: labels)
+    assert sorted(r["text"] for r in p.quality(spark, docs, "").collect()) == ["clean four", "clean one", "clean three", "clean two"]
+    for ids in ((None, None, None, None), (7, 7, 7, 7), (None, 7, 7, 9)):
+        group = [(i, t, "en", "a", len(t)) for i, t in zip(ids, near, strict=True)]
+        docs = spark.createDataFrame([*group, group[0], *rows[:1]], schema)
+        kept = p.near_dedup(spark, docs, "").collect()
+        assert len(kept) == 2
+        assert [r["doc_id"] for r in kept if r["text"] != "clean one"] == [min((i for i in ids if i is not None), default=None)]
