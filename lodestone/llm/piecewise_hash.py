@@ -1,8 +1,11 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash over seven bytes ends a piece wherever it hits a value that depends on the block size; each piece
-gives one character, so an edit changes only the characters near it. The block size is the least power of two that
-keeps a text at about 64 pieces; signatures are made at it and at its double, and two fingerprints are compared where
+gives one character, so an edit changes only the characters near it. More than three equal characters in a row are
+written as three, in the signature as in the comparison. The block size is a power of two near a 64th of the
+text's length, doubled while the whole text has more than 64 pieces and halved while it has fewer than 32 (if the
+signature, so shortened, then has 64 characters at most), so that no text falls into a last piece for want of room;
+signatures are made at it and at its double, and two fingerprints are compared where
 they have a block size in common: likeness is 1 - (insertions and deletions) / (both lengths) of the signatures, and 0
 unless they share seven characters in a row (shorter signatures are compared without that condition).
 
@@ -32,6 +35,7 @@ WINDOW_BYTES = 7
 PIECES = 64
 COMMON = 7
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_run = re.compile(r"(.)\1{3,}")
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -48,15 +52,19 @@ def rolling(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def signature(data: bytes, ends: np.ndarray, most: int) -> str:
-    ends = ends[: most - 1].tolist()
+def signature(data: bytes, ends: np.ndarray) -> str:
+    """A character for every piece of the whole text; of a run of equal ones, three."""
     out, at = [], 0
-    for e in ends:
+    for e in ends.tolist():
         out.append(ALPHABET[zlib.crc32(data[at : e + 1]) & 63])
         at = e + 1
     if at < len(data):
         out.append(ALPHABET[zlib.crc32(data[at:]) & 63])
-    return "".join(out)
+    return shortened("".join(out))
+
+
+def shortened(s: str) -> str:
+    return _run.sub(r"\1\1\1", s)  # long runs say little
 
 
 def fingerprint(text: str) -> str:
@@ -64,13 +72,26 @@ def fingerprint(text: str) -> str:
     data = text.encode("utf-8", "surrogatepass")
     if not data:
         return "1::"
+    h = rolling(np.frombuffer(data, np.uint8))
+
+    def ends_at(block: int) -> np.ndarray:
+        return np.flatnonzero((h & np.uint32(block - 1)) == block - 1)
+
+    def doubled(ends: np.ndarray, block: int) -> np.ndarray:
+        return ends[(h[ends].astype(np.uint64) & np.uint64(2 * block - 1)) == 2 * block - 1]
+
+    def pieces(ends: np.ndarray) -> int:
+        return len(ends) + (not len(ends) or int(ends[-1]) + 1 < len(data))
+
     block = 1
     while block * PIECES < len(data):
         block *= 2
-    h = rolling(np.frombuffer(data, np.uint8))
-    ends = np.flatnonzero((h & np.uint32(block - 1)) == block - 1)
-    double = ends[(h[ends] & np.uint32(2 * block - 1)) == 2 * block - 1]
-    return f"{block}:{signature(data, ends, PIECES)}:{signature(data, double, PIECES)}"
+    ends = ends_at(block)
+    while pieces(ends) > PIECES:
+        block, ends = 2 * block, doubled(ends, block)
+    while block > 1 and pieces(ends) < PIECES // 2 and len(signature(data, finer := ends_at(block // 2))) <= PIECES:
+        block, ends = block // 2, finer
+    return f"{block}:{signature(data, ends)}:{signature(data, doubled(ends, block))}"
 
 
 def edit_likeness(a: str, b: str) -> float:
@@ -99,7 +120,7 @@ def likeness(one: str, other: str) -> float:
     pairs = [(a1, b1), (a2, b2)] if m == n else [(a2, b1)] if 2 * m == n else [(a1, b2)] if m == 2 * n else []
     best = 0.0
     for a, b in pairs:
-        a, b = (re.sub(r"(.)\1{3,}", r"\1\1\1", s) for s in (a, b))  # long runs say little
+        a, b = shortened(a), shortened(b)
         if min(len(a), len(b)) >= COMMON and {a[i : i + COMMON] for i in range(len(a) - COMMON + 1)}.isdisjoint(b[i : i + COMMON] for i in range(len(b) - COMMON + 1)):
             continue
         best = max(best, edit_likeness(a, b))

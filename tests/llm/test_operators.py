@@ -322,3 +322,23 @@ def test_fingerprints_on_odd_rows(spark, odd):
     assert len(one) == 1
     assert one[0]["near_next"] == 1.0
     assert piecewise_hash.fingerprints(odd.limit(0)).count() == 0
+
+
+def test_signatures_cover_the_whole_text():
+    """Also of repeated lines, which have many more or many fewer ends of pieces than chance allows."""
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choice("abcdefghij klmnop") for _ in range(99)) + "\n"
+    for _ in range(60):
+        lines = [line() for _ in range(rng.choice([1, 1, 2, 3]))]
+        text = "".join(lines) * (500 // len(lines))
+        data = text.encode()
+        block, own, double = piecewise_hash.fingerprint(text).split(":")
+        assert max(len(own), len(double)) <= piecewise_hash.PIECES
+        h = piecewise_hash.rolling(np.frombuffer(data, np.uint8))
+        for b, found in ((int(block), own), (2 * int(block), double)):
+            cuts = [0, *(np.flatnonzero((h & np.uint32(b - 1)) == b - 1) + 1).tolist(), len(data)]
+            every = "".join(piecewise_hash.ALPHABET[zlib.crc32(data[i:j]) & 63] for i, j in zip(cuts, cuts[1:], strict=False) if i < j)
+            assert found == re.sub(r"(.)\1{3,}", r"\1\1\1", every)
+        tail = "".join(line() for _ in range(250))
+        other = piecewise_hash.fingerprint(text[: len(text) // 2] + tail)
+        assert piecewise_hash.likeness(f"{block}:{own}:{double}", other) < 1
