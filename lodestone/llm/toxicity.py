@@ -8,9 +8,9 @@ count lets expect, is smoothed by the shared counts in both classes, so it costs
 and per square root of words), fitted on a fold kept from the models, gives the score.
 
 Words too rare to be judged alone are counted together with those of the same first STEM letters, and what is rare
-even so is one rare word. Counts cover every labelled row outside the held-out fold. Words, stems and bigrams in less
-than LEAST of a class's counts are not told apart, which bounds the tables that tasks get by 1/LEAST entries each a
-class, whatever the corpus. The curve is fitted on at most FIT_ROWS rows (by hash of the id).
+even so is one rare word. Counts cover every labelled row outside the held-out fold. What is told apart depends on
+EVIDENCE alone, not on the size of the corpus, so the tables that the driver and the tasks get grow with the number of
+expressions that have that much evidence. The curve is fitted on at most FIT_ROWS rows (by hash of the id).
 
 Defined cases: a null or empty text has a difference of 0 and gets the curve's value there; without toxic or without
 ordinary labels every score is the mean label (0.5 if there is none); repeated rows are scored alike; extra columns
@@ -32,7 +32,6 @@ from .labelled import fold, learnable, with_labels
 from .minhash import words_of
 
 DISCOUNT = 0.75
-LEAST = 5e-6
 FIT_ROWS = 50_000
 FLUSH = 400_000
 CURVE_FOLD = 4
@@ -129,8 +128,8 @@ def fit(rows: DataFrame) -> Model | None:
     total = words.agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord")).first()
     if not total["tox"] or not total["ord"]:
         return None
-    enough = (F.col("tox") >= max(EVIDENCE, LEAST * total["tox"])) | (F.col("ord") >= max(2 * EVIDENCE, LEAST * total["ord"]))
-    kept = [r["w"] for r in words.where(enough).select("w").orderBy("w").collect()]  # at most 2 / LEAST words, and stems
+    enough = (F.col("tox") >= EVIDENCE) | (F.col("ord") >= 2 * EVIDENCE)
+    kept = [r["w"] for r in words.where(enough).select("w").orderBy("w").collect()]
     parts = words.where(~enough).groupBy(F.substring("w", 1, STEM).alias("w")).agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
     kept_stems = [r["w"] for r in parts.where(enough).select("w").orderBy("w").collect()]
     number = {w: i + 1 for i, w in enumerate(kept)}
@@ -172,7 +171,7 @@ def fit(rows: DataFrame) -> Model | None:
     kinds = [F.sum((F.col(c) > 0).cast("double")).alias(f"kinds_{c}") for c in ("tox", "ord")]
     after = pairs.groupBy("w").agg(*kinds, F.count("*").alias("shared")).collect()  # a row per kept word
     before = pairs.groupBy("v").agg(F.count("*").alias("kinds"), F.sum("tox").alias("tox"), F.sum("ord").alias("ord")).collect()
-    common = pairs.where(F.col("tox") >= max(EVIDENCE, LEAST * total["tox"])).collect()  # at most 1 / LEAST bigrams
+    common = pairs.where(F.col("tox") >= EVIDENCE).collect()
 
     shared = np.ones(size)
     continuation = {"tox": np.zeros(size), "ord": np.zeros(size)}

@@ -91,6 +91,16 @@ def test_isotonic_fit_is_monotone():
     assert values[0] == pytest.approx(0.125)
 
 
+def test_rare_toxic_expressions_count_in_a_large_corpus(spark):
+    """With over a million counts, what five toxic texts say is told apart as in a small corpus."""
+    usual = " ".join(f"w{i}" for i in range(4000))
+    text = F.concat(F.lit(usual), F.when(F.col("id") < 5, " slur word").otherwise(""))
+    model = toxicity.fit(spark.range(1800).select(text.alias("text"), (F.col("id") < 300).cast("double").alias("y")))
+    assert {"slur", "word"} <= model.number.keys()
+    assert model.number["slur"] * len(model.word) + model.number["word"] in model.keys
+    assert model.ratio("slur word")[0] > 0
+
+
 # ---- 3
 
 
