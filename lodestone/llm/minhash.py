@@ -2,21 +2,29 @@
 
 A text's shingles are its runs of five words (A-Z lower-cased; a shorter text is one shingle). A shingle weighs its
 count in the text times the mean inverse document frequency of its words. Word frequencies are counted over all
-documents; words in less than FLOOR of them share the highest value, which bounds the table that tasks get. (Weights
-from the shingles' own frequencies would fall with the size of a group of copies while a lone edit kept the highest
-weight, so that near copies in large groups would end below the threshold.)
+documents; by definition of the weight, words in less than FLOOR of them have the same, highest value, which bounds
+the table that tasks get. (Weights from the shingles' own frequencies would fall with the size of a group of copies
+while a lone edit kept the highest weight, so that near copies in large groups would end below the threshold.)
 
-Consistent weighted samples are cut into bands; texts that agree in a band are candidates. In each bucket all texts
-are first compared with one of them (its hub), which settles a group of copies in one comparison a member; the few
-that are not alike to their hub are then compared with every text of their bucket in another component. So all
-candidate pairs are decided, and none are listed within a settled group. Weighted Jaccard similarity of the whole
-texts decides, from THRESHOLD up; groups are the connected components.
+Consistent weighted samples are cut into bands; texts that agree in a band are candidates. No bucket is paired off in
+full:
 
-Equal texts are one class from the start and are sampled and compared once.
+1. Over the texts that have a candidate, shingles are ordered by rarity. Two texts at the threshold must have a shingle
+   in common within the first 1 - THRESHOLD of their weight in that order (prefix filter). A text whose prefix holds
+   nothing that another text has is alike to none and leaves its buckets.
+2. In each bucket the text with the most widely held shingles becomes the hub, and the others are compared with it: one
+   comparison a member, and in a group of copies nearly all are alike to the hub.
+3. Texts that share a bucket but are still in different components are joined on the shingles of their prefixes, with
+   the sizes and the weights left after the shared shingle as further bounds. All that could be alike passes, so no
+   link between components is lost, while texts with edits of their own meet nobody.
 
-Defined cases: null counts as empty; all texts without words but with the same characters form a class; null ids are
-never a group's id unless all its ids are null; repeated rows share class and group; extra columns are ignored; empty
-in, empty out.
+Weighted Jaccard similarity of the whole texts decides, from THRESHOLD up; groups are the connected components.
+
+Equal texts are one class from the start and are compared once.
+
+Defined cases: null counts as empty; all texts without words but with the same characters form a class; very long
+texts are sampled and compared whole; null ids are never a group's id unless all its ids are null; repeated rows share
+class and group; extra columns are ignored; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, shared_dir, stored, table
@@ -41,8 +49,10 @@ SEED = 7
 FLOOR = 1e-3
 #: Word hashes that a worker keeps.
 CACHE_WORDS = 500_000
-#: Pairs are listed in full only for what hubs leave unsettled, after so many rounds of hubs.
-HUB_ROUNDS = 1
+#: Texts whose total weights lie within this factor of each other (as a logarithm) share a size class.
+SIZE_STEP = 0.05
+#: Allowance for weights kept as 32-bit numbers, as a share of a text's weight.
+ROUNDING = 1e-5
 
 _word = re.compile(WORD)
 
@@ -191,7 +201,7 @@ def class_of(text):  # noqa: ANN001, ANN201
 
 
 def band_keys(texts: DataFrame, idf) -> DataFrame:  # noqa: ANN001
-    """(class, text) to class, band, key; a text that a task has just had is not sampled again."""
+    """(class, text) to class, bucket (band and key as one hash); a text that a task has just had is not sampled again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, had = Shingler.of_worker(idf.value), set()
@@ -206,16 +216,70 @@ def band_keys(texts: DataFrame, idf) -> DataFrame:  # noqa: ANN001
                 if not sets:
                     continue
                 tags = samples([s for _, s in sets], BANDS * ROWS).reshape(len(sets), BANDS, ROWS).astype(np.uint64)
-                key = np.zeros((len(sets), BANDS), np.uint64)
+                key = np.tile(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), (len(sets), 1))
                 for r in range(ROWS):
                     key = (key ^ tags[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(31)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([c for c, _ in sets], np.int64), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sets))), pa.array(key.view(np.int64).ravel())],
-                    names=["class", "band", "key"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([c for c, _ in sets], np.int64), BANDS)), pa.array(key.view(np.int64).ravel())], names=["class", "bucket"])
+
+    return texts.mapInArrow(run, "class long, bucket long")
 
-    return texts.mapInArrow(run, "class long, band int, key long")
+
+def shingle_rows(texts: DataFrame, idf) -> DataFrame:  # noqa: ANN001
+    """(class, text) to class, shingle, weight, total (the weight of the whole text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler.of_worker(idf.value)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                some = batch.slice(i, 64)
+                sets = shingler(some.column(1).to_pylist())
+                sizes = [len(s) for s, _ in sets]
+                if not sum(sizes):
+                    continue
+                classes, totals = np.repeat(some.column(0).to_numpy(), sizes), np.repeat(np.array([w.sum() for _, w in sets], np.float32), sizes)
+                shingles, weights = np.concatenate([s for s, _ in sets]), np.concatenate([w for _, w in sets]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(shingles.view(np.int64)), pa.array(weights), pa.array(totals)], names=["class", "shingle", "weight", "total"])
+
+    return texts.mapInArrow(run, "class long, shingle long, weight float, total float")
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """Of each text the shingles that others have too and that lie in its prefix: class, shingle, before (the weight of
+    all rarer shingles of the text), total, spread (mean number of other texts that have its shingles)."""
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    whole = Window.partitionBy("class")
+    held = rows.join(counts, "shingle").withColumn("weight", F.col("weight").cast("double"))
+    held = held.withColumn("shared", F.sum("weight").over(whole)).withColumn("spread", F.sum(F.col("weight") * (F.col("n") - 1)).over(whole) / F.col("total"))
+    held = held.withColumn("before", F.col("total") - F.col("shared") + F.sum("weight").over(whole.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight"))
+    return held.where(F.col("before") <= (1 - THRESHOLD + ROUNDING) * F.col("total")).select("class", "shingle", F.col("before").cast("float").alias("before"), "total", "spread")
+
+
+def size_class(total: Column) -> Column:
+    return F.floor(F.log(total) / SIZE_STEP).cast("int")
+
+
+def across_components(members: DataFrame, prefix: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): the texts that share a bucket with one of another component, where the prefixes let them be alike.
+
+    In each bucket the largest component is the main one, and every pair of components has a text outside it; so only
+    texts outside some main component (open ones) look for partners. A text of weight W whose shared shingle has p before it can reach
+    the threshold only with a partner of weight from t W to (1 + t) / t (W - p) - W, and W / t at most; these bounds go
+    into the join as size classes, so copies of one size do not meet where p is already too much."""
+    labelled = members.join(labels, "class", "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("n_labels")).where("n_labels > 1")
+    sides = labelled.join(mains.select("bucket", "main"), "bucket").groupBy("class", "label").agg(F.max(F.col("label") != F.col("main")).alias("open"))
+    entries = stored(prefix.select("class", "shingle", "before", "total").join(sides, "class"), "near-entries")
+    slack = 1 + 4 * ROUNDING
+    most = F.least(F.col("total") / THRESHOLD, (F.col("total") - F.col("before")) * ((1 + THRESHOLD) / THRESHOLD) - F.col("total")) * slack
+    least = F.col("total") * THRESHOLD / slack
+    seeking = entries.where("open").where(most >= least).withColumn("size", F.explode(F.sequence(size_class(least), size_class(most))))
+    seeking = seeking.select("shingle", "size", F.col("class").alias("a"), F.col("label").alias("label_a"), F.col("before").alias("before_a"), F.col("total").alias("total_a"))
+    sought = entries.select("shingle", size_class(F.col("total")).alias("size"), F.col("class").alias("b"), F.col("label").alias("label_b"), F.col("before").alias("before_b"), F.col("total").alias("total_b"), F.col("open").alias("open_b"))
+    left = F.least(F.col("total_a") - F.col("before_a"), F.col("total_b") - F.col("before_b"))
+    may = (F.col("label_a") != F.col("label_b")) & (~F.col("open_b") | (F.col("a") < F.col("b"))) & (left * slack >= THRESHOLD / (1 + THRESHOLD) * (F.col("total_a") + F.col("total_b")))
+    return seeking.join(sought, ["shingle", "size"]).where(may).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:  # noqa: ANN001
@@ -245,7 +309,7 @@ def components(links: DataFrame) -> DataFrame:
     their hubs, so about one link a class is left, which no later join multiplies. Then labels spread to neighbours and
     are replaced by their labels' labels, so a chain of length n takes about log n rounds."""
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    handed = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    handed = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
     kept = handed.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     kept = stored(kept.distinct(), "near-kept")
     edges = stored(kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v"))), "near-edges")
@@ -262,59 +326,37 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (least id with the same text), group_id (least id of the group),
-    n_links (texts it was found alike to), class (hash of the text), kept_class (the one class that stands for the
-    group: that of its least id, nulls last, and of classes with the same id the least)."""
+    n_verified (texts it was compared with and found alike; not all of its group), class (hash of the text),
+    kept_class (the one class that stands for the group: that of its least id, nulls last, and of classes with the
+    same id the least)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     idf = spark.sparkContext.broadcast(word_frequencies(docs))
     texts = docs.select(class_of(F.col("text")).alias("class"), "text")
     keys = stored(band_keys(texts, idf).distinct(), "near-keys")
-    sizes = keys.groupBy("band", "key").agg(F.min("class").alias("hub"), F.count("*").alias("n"))
-    hubs = stored(sizes.where("n > 1").select("band", "key", "hub"), "near-hubs")
-    members = stored(keys.join(hubs, ["band", "key"]), "near-members")
-    # one text per class, of those that have a candidate at all
-    texts = stored(texts.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("text").alias("text")), "near-texts")
-
-    none = spark.createDataFrame([], "a long, b long, similarity double")
-    links, tried, labels = none, None, None
-    for step in range(HUB_ROUNDS + 1):
-        if step < HUB_ROUNDS:
-            pairs = members.where("class != hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-        else:  # what no hub has settled, against all of its bucket outside its component
-            other = members_all.select("band", "key", F.col("class").alias("b"), F.col("label").alias("label_b"))
-            pairs = members.join(other, ["band", "key"]).where((F.col("class") != F.col("b")) & (F.col("label") != F.col("label_b")))
-            pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        if pairs.isEmpty():
-            if 0 < step < HUB_ROUNDS:
-                continue
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = stored(links.unionByName(verified(pairs, texts, idf)), "near-links")
+    full = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = stored(keys.join(full, "bucket"), "near-members")
+    # one text a class (each task hands on one row of a text, however often it occurs), of those with a candidate
+    texts = stored(texts.groupBy("class").agg(F.first("text").alias("text")).join(members.select("class").distinct(), "class", "left_semi"), "near-texts")
+    prefix = stored(prefixes(stored(shingle_rows(texts, idf), "near-shingles")), "near-prefixes")
+
+    members = stored(members.join(prefix.groupBy("class").agg(F.max("spread").alias("spread")), "class"), "near-members")
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("spread", "class"))["class"].alias("hub"))
+    pairs = members.join(hubs, "bucket").where("class != hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    links = stored(verified(pairs, texts, idf), "near-links")
+    labels = components(links)
+    rest = stored(across_components(members, prefix, labels), "near-rest")
+    more = stored(verified(rest, texts, idf), "near-links")
+    if not more.isEmpty():
+        links = stored(links.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
         labels = components(links)
-        if step < HUB_ROUNDS:
-            # a member is settled where its hub is in its component; the others get a hub among themselves
-            source = members if step == 0 else members_all.drop("label")
-            members_all = stored(source.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "near-all")
-            hub_label = labels.select(F.col("class").alias("hub"), F.col("label").alias("hub_label"))
-            open_ = (members_all if step == 0 else members.drop("label").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))).join(hub_label, "hub", "left")
-            open_ = stored(open_.where(F.col("label") != F.coalesce("hub_label", "hub")).select("class", "band", "key", "label"), "near-open")
-            if open_.isEmpty():
-                break
-            new = stored(open_.groupBy("band", "key").agg(F.min("class").alias("hub")), "near-hubs")
-            members = stored(open_.join(new, ["band", "key"]), "near-members")
-    degrees = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    classes = docs.select("doc_id", class_of(F.col("text")).alias("class"))
-    classes = stored(classes, "near-classes")
+    degrees = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_verified"))
+    classes = stored(docs.select("doc_id", class_of(F.col("text")).alias("class")), "near-classes")
     least = classes.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    if labels is None:
-        labels = spark.createDataFrame([], "class long, label long")
     least = stored(least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")).join(degrees, "class", "left"), "near-least")
     groups = stored(least.groupBy("label").agg(F.min("class_id").alias("group_id"), F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "class"))["class"].alias("kept_class")), "near-groups")
-    known = stored(least.join(groups, "label").select("class", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "kept_class"), "near-known")
-    return classes.join(known, "class").select("doc_id", "class_id", "group_id", "n_links", "class", "kept_class")
+    known = stored(least.join(groups, "label").select("class", "class_id", "group_id", F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"), "kept_class"), "near-known")
+    return classes.join(known, "class").select("doc_id", "class_id", "group_id", "n_verified", "class", "kept_class")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
