@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 #: Up to so many labels (16 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_LABELS = 2_000_000
+BROADCAST_LABELS = 500_000
 
 
 def fold(doc_id: Column) -> Column:

@@ -70,8 +70,8 @@ def test_held_out_accuracy(spark):
     rows = [(labels[r["doc_id"]]["quality"], r["predicted"]) for r in QUERIES["op8_quality"](spark, d).where("held_out").collect() if r["doc_id"] in labels]
     assert np.mean([a == b for a, b in rows]) > 0.98
     rows = [(labels[r["doc_id"]]["toxic"], r["predicted"]) for r in QUERIES["op1_toxicity"](spark, d).where("held_out").collect() if r["doc_id"] in labels]
-    assert np.mean([a == b for a, b in rows]) > 0.93
-    assert np.mean([b for a, b in rows if a == 1]) > 0.6
+    assert np.mean([b for a, b in rows if a == 1]) > 0.9
+    assert np.mean([a for a, b in rows if b == 1]) > 0.9
 
 
 def test_classifiers_on_odd_rows(spark, odd):
@@ -91,14 +91,78 @@ def test_isotonic_fit_is_monotone():
     assert values[0] == pytest.approx(0.125)
 
 
-def test_rare_toxic_expressions_count_in_a_large_corpus(spark):
-    """With over a million counts, what five toxic texts say is told apart as in a small corpus."""
-    usual = " ".join(f"w{i}" for i in range(4000))
-    text = F.concat(F.lit(usual), F.when(F.col("id") < 5, " slur word").otherwise(""))
-    model = toxicity.fit(spark.range(1800).select(text.alias("text"), (F.col("id") < 300).cast("double").alias("y")))
-    assert {"slur", "word"} <= model.number.keys()
-    assert model.number["slur"] * len(model.word) + model.number["word"] in model.keys
-    assert model.ratio("slur word")[0] > 0
+def kneser_ney(rows):
+    """The two models of (text, y) written out: p(c, w, v) for class c, word w and the word v before it or None."""
+    cut = toxicity.STEM
+    held = {k: {0: Counter(), 1: Counter()} for k in ("stem", "word", "pair")}
+    for text, y in rows:
+        ws = re.findall(r"[a-z0-9]+", text.lower())
+        held["stem"][y].update({w[:cut] for w in ws})
+        held["word"][y].update(set(ws))
+        held["pair"][y].update(set(zip(ws, ws[1:], strict=False)))
+
+    def keeps(kind, c, x):
+        size = {k: sum(held[kind][k].values()) for k in (0, 1)}
+        expected = (held[kind][0][x] + held[kind][1][x]) * size[c] / sum(size.values())
+        return max(held[kind][c][x] - expected - toxicity.Z[kind] * (expected + 1) ** 0.5, 0.0)
+
+    words = {*held["word"][0], *held["word"][1]}
+    joint = {w: held["word"][0][w] + held["word"][1][w] + toxicity.SHARED_PRIOR for w in words}
+    shared = {w: n / sum(joint.values()) for w, n in joint.items()}
+    of_stem = Counter()
+    for w in words:
+        of_stem[w[:cut]] += shared[w]
+    total = {k: {c: sum(held[k][c].values()) for c in (0, 1)} for k in held}
+    rest = {k: {c: 1 - sum(keeps(k, c, x) for x in held[k][c]) / total[k][c] for c in (0, 1)} for k in ("stem", "word")}
+
+    def stem(c, s):
+        return keeps("stem", c, s) / total["stem"][c] + rest["stem"][c] * of_stem[s]
+
+    def word(c, w):
+        return keeps("word", c, w) / total["word"][c] + rest["word"][c] * stem(c, w[:cut]) * shared[w] / of_stem[w[:cut]]
+
+    def pair(c, w, v):
+        if v is None:
+            return word(c, w)
+        after = [x for x in held["pair"][c] if x[0] == v]
+        n = sum(held["pair"][c][x] for x in after)
+        left = 1 - sum(keeps("pair", c, x) for x in after) / n if n else 1.0
+        return (keeps("pair", c, (v, w)) / n if n else 0.0) + left * word(c, w)
+
+    plain = np.log(rest["stem"][1] / rest["stem"][0]) + np.log(rest["word"][1] / rest["word"][0])
+    return pair, words, plain
+
+
+def test_toxicity_models_written_out(spark, monkeypatch):
+    """Differences equal those of the models written out, whose probabilities sum to 1; also with most values joined."""
+    monkeypatch.setattr(toxicity, "Z", {"stem": 1.0, "word": 0.5, "pair": 0.2})
+    rng = random.Random(4)
+    usual = [f"{a}{b}" for a in ("alpha", "bravo", "gamma", "delta") for b in range(12)]
+    rows = []
+    for i in range(120):
+        y = int(i % 4 == 0)
+        ws = [rng.choice(usual) for _ in range(rng.randrange(2, 30))]
+        for _ in range(3 * y):
+            ws[rng.randrange(len(ws))] = rng.choice(["slur", "insult1", "insult2", "insult3"])
+        rows.append((" ".join(ws), y))
+    p, words, plain = kneser_ney(rows)
+    for c in (0, 1):
+        for v in (None, "slur", "alpha1", "gamma7"):
+            assert sum(p(c, w, v) for w in words) == pytest.approx(1, abs=1e-9)
+    values = toxicity.fit(spark.createDataFrame([(t, float(y)) for t, y in rows], "text string, y double"))
+    texts = [(i, t) for i, (t, _) in enumerate(rows)] + [(-1, None), (-2, ""), (-3, rows[0][0]), (-3, rows[0][0])]
+    expected = {}
+    for i, t in texts:
+        ws = (t or "").split()
+        parts = [np.log(p(1, w, v) / p(0, w, v)) - plain for v, w in zip([None, *ws], ws, strict=False)]
+        expected[i] = sum(parts) / max(len(parts), 1)
+    assert max(expected.values()) > 0.05
+    for hot in (200_000, 5):
+        monkeypatch.setattr(toxicity, "HOT_KEYS", hot)
+        found = toxicity.differences(spark.createDataFrame(texts, "i long, text string"), toxicity.Model(values), "i").collect()
+        assert len(found) == len(texts)
+        for r in found:
+            assert r["difference"] == pytest.approx(expected[r["i"]], abs=1e-9)
 
 
 # ---- 3
