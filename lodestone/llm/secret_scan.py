@@ -33,8 +33,9 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_LEAST - 4))
 HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A value held by so many owners is a copied example; entropy in bits a character from which a value looks random.
-SHARED_OWNERS, RANDOM_BITS = 3, 3.0
+#: A value held by so many owners, or in so many repositories, is a copied example; entropy in bits a character from
+#: which a value looks random.
+SHARED_OWNERS, SHARED_REPOS, RANDOM_BITS = 3, 20, 3.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,9 +60,13 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for start, kind, end in base:
         value = ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
         out.append((start, kind, end, xxhash.xxh64_intdigest(value.encode()) - 2**63, bits(value) >= RANDOM_BITS))
+    at, reach = 0, 0  # base spans that start before the token's end, and the furthest end of these
     for m in TOKEN.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
         v = m[0]
-        if v.lower() != v and v.upper() != v and any(c.isdigit() for c in v) and all(m.end() <= s or m.start() >= e for s, _, e in base):
+        if reach <= m.start() and v.lower() != v and v.upper() != v and any(c.isdigit() for c in v):
             out.append((m.start(), 3, m.end(), xxhash.xxh64_intdigest(v.encode()) - 2**63, bits(v) >= RANDOM_BITS))
     return out
 
@@ -92,15 +97,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def ownership(held: DataFrame) -> DataFrame:
+    """(value, owner, repo) rows to value, owners, repos: by how many different owners and repositories it is held.
+    Copies within a repository, then within an owner, are merged by the tasks that have them before any shuffle."""
+    by_owner = held.groupBy("value", "owner", "repo").count().groupBy("value", "owner").agg(F.count("*").alias("repos"))
+    return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+
+
 def secrets(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     """One row per document: doc_id, base (spans of the patterns), spans (with the added ones), n_live, n_shared."""
     rows = docs.select("doc_id", F.coalesce(repo, F.lit("")).alias("repo"), F.coalesce(owner, F.lit("")).alias("owner"), "text")
     kinds = "start: bigint, kind: int, end: bigint"
     scanned = stored(rows.mapInArrow(scan, f"row long, doc_id long, repo string, owner string, base array<struct<{kinds}>>, found array<struct<{kinds}, value: bigint, random: boolean>>"), "secrets")
     held = scanned.select("row", "repo", "owner", F.explode("found").alias("c")).select("row", "repo", "owner", "c.*")
-    by_owner = held.groupBy("value", "owner", "repo").count().groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    known = stored(by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")), "secret-values")
-    judged = held.join(known, "value").select("row", "start", "kind", "end", (F.col("owners") >= SHARED_OWNERS).alias("shared"), "random")
+    known = stored(ownership(held), "secret-values")
+    shared = (F.col("owners") >= SHARED_OWNERS) | (F.col("repos") >= SHARED_REPOS)
+    judged = held.join(known, "value").select("row", "start", "kind", "end", shared.alias("shared"), "random")
     live = F.col("random") & ~F.col("shared")
     per = judged.groupBy("row").agg(
         F.collect_list(F.when(live & (F.col("kind") == 3), F.struct("start", "kind", "end"))).alias("added"),
