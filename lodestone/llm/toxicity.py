@@ -55,7 +55,7 @@ FLUSH = 4_000_000
 #: Values that every task holds (16 bytes each), and bits of the filter for the rest.
 HOT_KEYS, FILTER_BITS = 200_000, 1 << 23
 CACHE_WORDS = 500_000
-KINDS = ("stem", "word", "pair")
+STEM_KIND, WORD, CONTEXT = 0, 1, 2
 STEM_SEED, WORD_SEED = 11, 12
 
 
@@ -89,42 +89,106 @@ class Hasher:
         return both[:, 0], both[:, 1]
 
 
-def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, y) to kind, key, a, b, tox, ord: the documents with a stem, a word (a: its stem), a pair (a, b: its words)."""
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(text, y) to the hashes of the words and of the stems, and y."""
     hasher = Hasher()
-    waiting: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, float]] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for kind in range(len(KINDS)):
-            mine = [x for x in waiting if x[0] == kind and len(x[1])]
-            if mine:
-                keys, a, b = (np.concatenate([x[i] for x in mine]) for i in (1, 2, 3))
-                tox = np.repeat([x[4] for x in mine], [len(x[1]) for x in mine])
-                keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-                n, t = np.bincount(inverse), np.bincount(inverse, weights=tox)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), kind, np.int32)), *(pa.array(x.view(np.int64)) for x in (keys, a[first], b[first])), pa.array(t), pa.array(n - t)],
-                    names=["kind", "key", "a", "b", "tox", "ord"],
-                )
-
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             some = batch.slice(i, 256)
             for text, y in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                words, stems = hasher(text or "")
-                stem = np.unique(stems)
-                word, at = np.unique(words, return_index=True)
-                pair, pair_at = np.unique(pair_keys(words[:-1], words[1:]), return_index=True)
-                none = np.zeros(max(len(stem), len(word)), np.uint64)
-                waiting += [(0, stem, none[: len(stem)], none[: len(stem)], y), (1, word, stems[at], none[: len(word)], y), (2, pair, words[:-1][pair_at], words[1:][pair_at], y)]
-                size += len(stem) + len(word) + len(pair)
-            if size > FLUSH:
-                yield from flush()
-                waiting, size = [], 0
+                yield *hasher(text or ""), y
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, y) of documents to distinct keys, a place of each, toxic and ordinary counts."""
+    keys, n = np.concatenate([k for k, _, _ in parts]), np.concatenate([c for _, c, _ in parts]).astype(float)
+    y = np.repeat([y for _, _, y in parts], [len(k) for k, _, _ in parts])
+    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, first, np.bincount(inverse, weights=n * y, minlength=len(keys)), np.bincount(inverse, weights=n * (1 - y), minlength=len(keys))
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y) to kind, key, stem, tox, ord: the documents with a stem or a word, the pairs in documents after a context."""
+    waiting: list[list] = [[], [], []]
+    of_word: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, parts in enumerate(waiting):
+            if sum(len(k) for k, _, _ in parts):
+                keys, first, tox, ord_ = added(parts)
+                stem = np.concatenate(of_word)[first] if kind == WORD else np.zeros(len(keys), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(stem.view(np.int64)), pa.array(tox), pa.array(ord_)], names=["kind", "key", "stem", "tox", "ord"])
+
+    for words, stems, y in texts_of(batches):
+        stem, (word, at) = np.unique(stems), np.unique(words, return_index=True)
+        pairs, first = np.unique(pair_keys(words[:-1], words[1:]), return_index=True)
+        context, times = np.unique(words[:-1][first], return_counts=True)
+        waiting[STEM_KIND].append((stem, np.ones(len(stem)), y))
+        waiting[WORD].append((word, np.ones(len(word)), y))
+        waiting[CONTEXT].append((context, times, y))
+        of_word.append(stems[at])
+        size += len(stem) + len(word) + len(context)
+        if size > FLUSH:
+            yield from flush()
+            waiting, of_word, size = [[], [], []], [], 0
+    yield from flush()
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y) to key, tox, ord: the documents with a pair of words."""
+    waiting: list = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if size:
+            keys, _, tox, ord_ = added(waiting)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tox), pa.array(ord_)], names=["key", "tox", "ord"])
+
+    for words, _, y in texts_of(batches):
+        pairs = np.unique(pair_keys(words[:-1], words[1:]))
+        waiting.append((pairs, np.ones(len(pairs)), y))
+        size += len(pairs)
+        if size > FLUSH:
+            yield from flush()
+            waiting, size = [], 0
     yield from flush()
 
 
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, of which those at the lowest bits of the keys are set."""
+    words = keys.groupBy(F.shiftright(F.col("key").bitwiseAND(FILTER_BITS - 1), 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(key & 63))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def words_of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key) of pairs to key, a, b: their words, found by another pass over the texts; the filter keeps what is shuffled
+    near what is asked for."""
+    bits = rows.sparkSession.sparkContext.broadcast(key_filter(pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for words, _, _ in texts_of(batches):
+            keys, first = np.unique(pair_keys(words[:-1], words[1:]), return_index=True)
+            asked = passing(bits.value, keys)
+            keys, first = keys[asked], first[asked]
+            new = np.array([k not in seen for k in keys.tolist()], bool)
+            seen.update(keys[new].tolist())
+            if len(seen) > CACHE_WORDS:
+                seen = set()
+            if new.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys[new], words[:-1][first[new]], words[1:][first[new]])], names=["key", "a", "b"])
+
+    return rows.select("text", "y").mapInArrow(run, "key long, a long, b long").groupBy("key").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+
+
 def kept(c: str, z: float, share: float) -> Column:
     """What a class's count keeps: the count less its share of the joint count and z standard deviations of that."""
     expected = (F.col("tox") + F.col("ord")) * share
@@ -134,32 +198,34 @@ def kept(c: str, z: float, share: float) -> Column:
 def fit(rows: DataFrame) -> DataFrame | None:
     """(text, y) of all rows to learn from, to key, value, n (documents): what each expression that keeps a count in a
     class adds to the difference. None without both classes."""
-    counts = rows.select("text", "y").mapInArrow(count, "kind int, key long, a long, b long, tox double, ord double")
-    counts = stored(counts.groupBy("kind", "key").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("tox").alias("tox"), F.sum("ord").alias("ord")), "tox-counts")
-    sums = {KINDS[r["kind"]]: r for r in counts.groupBy("kind").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"), F.count("*").alias("n")).collect()}
-    if "word" not in sums or not sums["word"]["tox"] or not sums["word"]["ord"]:
+    both = [F.sum("tox").alias("tox"), F.sum("ord").alias("ord")]
+    counts = rows.select("text", "y").mapInArrow(count_words, "kind int, key long, stem long, tox double, ord double")
+    counts = stored(counts.groupBy("kind", "key").agg(F.first("stem").alias("stem"), *both), "tox-counts")
+    pairs = rows.select("text", "y").mapInArrow(count_pairs, "key long, tox double, ord double")
+    pairs = stored(pairs.groupBy("key").agg(*both), "tox-pairs")
+    totals = {r["kind"]: r for r in counts.groupBy("kind").agg(*both, F.count("*").alias("n")).collect()}
+    if WORD not in totals or not totals[WORD]["tox"] or not totals[WORD]["ord"]:
         return None
+    sums = {"stem": totals[STEM_KIND], "word": totals[WORD], "pair": pairs.agg(*both).first()}
     classes = ("tox", "ord")
 
-    def of(kind: str) -> DataFrame:
-        if kind not in sums:
-            return counts.where("kind = -1").withColumn("kept_tox", F.lit(0.0)).withColumn("kept_ord", F.lit(0.0))
-        joint = sums[kind]["tox"] + sums[kind]["ord"]
-        return counts.where(F.col("kind") == KINDS.index(kind)).select("*", *[kept(c, Z[kind], sums[kind][c] / joint).alias(f"kept_{c}") for c in classes])
+    def keeping(df: DataFrame, kind: str) -> DataFrame:
+        joint = (sums[kind]["tox"] or 0.0) + (sums[kind]["ord"] or 0.0)
+        return df.select("*", *[kept(c, Z[kind], (sums[kind][c] or 0.0) / max(joint, 1.0)).alias(f"kept_{c}") for c in classes])
 
-    stems, words, pairs = of("stem"), of("word"), of("pair")
+    stems, words = keeping(counts.where(F.col("kind") == STEM_KIND), "stem"), keeping(counts.where(F.col("kind") == WORD), "word")
     left = {}
     for kind, df in (("stem", stems), ("word", words)):
         r = df.agg(*[F.sum(f"kept_{c}").alias(c) for c in classes]).first()
         left[kind] = {c: 1 - r[c] / sums[kind][c] for c in classes}
     joint = sums["word"]["tox"] + sums["word"]["ord"] + SHARED_PRIOR * sums["word"]["n"]
     shared = (F.col("tox") + F.col("ord") + SHARED_PRIOR) / joint
-    by_stem = words.groupBy(F.col("a").alias("key")).agg(F.sum(shared).alias("shared"))
+    by_stem = words.groupBy(F.col("stem").alias("key")).agg(F.sum(shared).alias("shared"))
     p_stem = [(F.col(f"kept_{c}") / float(sums["stem"][c]) + left["stem"][c] * F.col("shared")).alias(f"stem_{c}") for c in classes]
     stems = stored(stems.join(by_stem, "key").select("key", (F.col("tox") + F.col("ord")).alias("n"), F.col("kept_tox") + F.col("kept_ord") > 0, F.col("shared").alias("stem_shared"), *p_stem).toDF("key", "n", "heavy", "stem_shared", "stem_tox", "stem_ord"), "tox-stems")
 
-    def with_stem(df: DataFrame, stem: str) -> DataFrame:
-        return df.join(stems.select(F.col("key").alias(stem), "stem_shared", "stem_tox", "stem_ord"), stem)
+    def with_stem(df: DataFrame) -> DataFrame:
+        return df.join(stems.select(F.col("key").alias("stem"), "stem_shared", "stem_tox", "stem_ord"), "stem")
 
     def p_word(c: str) -> Column:
         return F.col(f"kept_{c}") / float(sums["word"][c]) + left["word"][c] * F.col(f"stem_{c}") * shared / F.col("stem_shared")
@@ -169,16 +235,17 @@ def fit(rows: DataFrame) -> DataFrame | None:
     n = (F.col("tox") + F.col("ord")).alias("n")
     of_stem = F.log(F.col("stem_tox") / F.col("stem_ord"))
     values = [stems.where("heavy").select("key", (of_stem - plain_stem).alias("value"), "n")]
-    heavy_words = with_stem(words.where("kept_tox + kept_ord > 0"), "a")
+    heavy_words = with_stem(words.where("kept_tox + kept_ord > 0"))
     values.append(heavy_words.select("key", (F.log(p_word("tox") / p_word("ord")) - plain_word - of_stem).alias("value"), n))
 
-    contexts = pairs.groupBy("a").agg(*[F.sum(c).alias(f"all_{c}") for c in classes], *[F.sum(f"kept_{c}").alias(f"sum_{c}") for c in classes])
+    heavy = stored(keeping(pairs, "pair").where("kept_tox + kept_ord > 0").select("key", (F.col("tox") + F.col("ord")).alias("n"), F.col("kept_tox").alias("pair_tox"), F.col("kept_ord").alias("pair_ord")), "tox-heavy")
+    heavy = stored(heavy.join(words_of_pairs(rows, heavy), "key"), "tox-heavy")
+    contexts = counts.where(F.col("kind") == CONTEXT).select(F.col("key").alias("a"), F.col("tox").alias("all_tox"), F.col("ord").alias("all_ord"))
+    contexts = contexts.join(heavy.groupBy("a").agg(*[F.sum(f"pair_{c}").alias(f"sum_{c}") for c in classes]), "a")
     rest = {c: F.when(F.col(f"all_{c}") > 0, 1 - F.col(f"sum_{c}") / F.col(f"all_{c}")).otherwise(1.0) for c in classes}
-    contexts = contexts.where("sum_tox + sum_ord > 0").select("a", "all_tox", "all_ord", *[rest[c].alias(f"rest_{c}") for c in classes])
+    contexts = stored(contexts.select("a", "all_tox", "all_ord", *[rest[c].alias(f"rest_{c}") for c in classes]), "tox-contexts")
     of_context = F.log(F.col("rest_tox") / F.col("rest_ord"))
-    words_after = words.select(F.col("key").alias("b"), F.col("a").alias("stem"), "tox", "ord", "kept_tox", "kept_ord")
-    heavy_pairs = pairs.where("kept_tox + kept_ord > 0").select("key", "a", "b", (F.col("tox") + F.col("ord")).alias("n"), F.col("kept_tox").alias("pair_tox"), F.col("kept_ord").alias("pair_ord"))
-    joined = with_stem(heavy_pairs.join(words_after, "b"), "stem").join(contexts, "a")
+    joined = with_stem(heavy.join(words.select(F.col("key").alias("b"), "stem", "tox", "ord", "kept_tox", "kept_ord"), "b")).join(contexts, "a")
     p_pair = {c: F.when(F.col(f"all_{c}") > 0, F.col(f"pair_{c}") / F.col(f"all_{c}")).otherwise(0.0) + F.col(f"rest_{c}") * p_word(c) for c in classes}
     values.append(joined.select("key", (F.log(p_pair["tox"] / p_pair["ord"]) - of_context - F.log(p_word("tox") / p_word("ord"))).alias("value"), "n"))
     out = contexts.select("a", of_context.alias("value"), (F.col("all_tox") + F.col("all_ord")).alias("n")).mapInArrow(as_context, "key long, value double, n double")
@@ -203,10 +270,7 @@ class Model:
         if len(keys) == HOT_KEYS:
             last = hot.slice(HOT_KEYS - 1).to_pylist()[0]
             self.cold = values.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("key") > last["key"])))
-            place = F.col("key").bitwiseAND(FILTER_BITS - 1)
-            words = self.cold.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int((key & {FILTER_BITS - 1}) & 63))")).alias("bits")).toArrow()
-            bits = np.zeros(FILTER_BITS // 64, np.uint64)
-            bits[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+            bits = key_filter(self.cold)
         self.shared = values.sparkSession.sparkContext.broadcast((keys[order], held[order], bits))
 
 
@@ -242,9 +306,7 @@ def differences(texts: DataFrame, model: Model, *carried: str) -> DataFrame:
                     n.append(len(words))
                     if bits is not None:
                         others = has[~known]
-                        place = others & np.uint64(FILTER_BITS - 1)
-                        others = others[(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
-                        open_.append(others.view(np.int64).tolist())
+                        open_.append(others[passing(bits, others)].view(np.int64).tolist())
                     else:
                         open_.append([])
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(total, pa.float64()), pa.array(n, pa.int64()), pa.array(open_, pa.list_(pa.int64()))], names=[*carried, "total", "n", "open"])
