@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.params import DEFAULTS, Params
+from lodestone.sources.shared import stored
 
-from .lexical import bm25
+from .lexical import Index, best
 from .vector import nearest
 
 
 def rrf(lists: list[DataFrame], k: int = DEFAULTS.rrf_k) -> DataFrame:
-    """(id, rank) lists to (id, fused, first_list, first_rank): sum of 1 / (k + rank), ranks from 1. Equal sums keep
-    the order of insertion: by the first list that has the id, then its rank there."""
-    tagged = reduce(DataFrame.unionByName, [x.select("id", F.lit(i).alias("list"), "rank") for i, x in enumerate(lists)])
+    """(query_id, id, rank) lists to (query_id, id, fused, first_list, first_rank): sum of 1 / (k + rank), ranks from 1.
+    Equal sums keep the order of insertion: by the first list that has the id, then its rank there."""
+    tagged = reduce(DataFrame.unionByName, [x.select("query_id", "id", F.lit(i).alias("list"), "rank") for i, x in enumerate(lists)])
     first = F.min(F.struct("list", "rank")).alias("first")
-    fused = tagged.groupBy("id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("fused"), first)
-    return fused.select("id", F.round("fused", 12).alias("fused"), F.col("first.list").alias("first_list"), F.col("first.rank").alias("first_rank"))
+    fused = tagged.groupBy("query_id", "id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("fused"), first)
+    return fused.select("query_id", "id", F.round("fused", 12).alias("fused"), F.col("first.list").alias("first_list"), F.col("first.rank").alias("first_rank"))
 
 
 def force_include(ranking: DataFrame, matches: DataFrame, k: int) -> DataFrame:
@@ -32,14 +33,13 @@ def force_include(ranking: DataFrame, matches: DataFrame, k: int) -> DataFrame:
     return both.crossJoin(F.broadcast(most)).where("position <= most").select("id", "position")
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, question: DataFrame, query: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(doc_id, rank, fused_score, score): vector and keyword candidates, fused; the shown score is the similarity
-    where there is one, else 1 / rank."""
+def hybrid(index: Index, vectors: DataFrame, questions: DataFrame, queries: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(query_id, doc_id, rank, fused_score, score): vector and keyword candidates, fused; the shown score is the
+    similarity where there is one, else 1 / rank."""
     n = p.top_k * p.candidates
-    by_vector = nearest(vectors, query, n)
-    by_words = bm25(docs, question, n, p)
-    fused = rrf([by_vector.select(F.col("vec_id").alias("id"), "rank"), by_words.select(F.col("doc_id").alias("id"), "rank")], p.rrf_k)
-    order = Window.orderBy(F.col("fused").desc(), "first_list", "first_rank")
-    best = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.top_k)
-    shown = best.join(by_vector.select(F.col("vec_id").alias("id"), "similarity"), "id", "left")
-    return shown.select(F.col("id").alias("doc_id"), "rank", F.round("fused", 9).alias("fused_score"), F.round(F.coalesce("similarity", 1.0 / F.col("rank")), 6).alias("score"))
+    by_vector = stored(nearest(vectors, queries, n).withColumnRenamed("vec_id", "id"), "nearest")  # n rows a query
+    by_words = index.search(questions, n).withColumnRenamed("doc_id", "id")
+    fused = rrf([by_vector, by_words], p.rrf_k)
+    top = best(fused, p.top_k, F.col("fused").desc(), F.col("first_list"), F.col("first_rank"))
+    shown = top.join(by_vector.select("query_id", "id", "similarity"), ["query_id", "id"], "left")
+    return shown.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("fused", 9).alias("fused_score"), F.round(F.coalesce("similarity", 1.0 / F.col("rank")), 6).alias("score"))

@@ -1,12 +1,14 @@
-"""BM25 over an inverted index that is built once and kept as tables."""
+"""BM25 over an inverted index: postings ordered by term and a row per term, both tables. Documents are tokenised once,
+when the index is built; a search reads the postings of its terms only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import identifier_tokens
 from lodestone.params import DEFAULTS, Params
+from lodestone.sources.shared import stored
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -24,27 +26,45 @@ def term_stats(posted: DataFrame, n_docs: Column | int, p: Params = DEFAULTS) ->
     return df.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw_idf") < 0, F.col("mean_idf") * p.bm25_epsilon).otherwise(F.col("raw_idf"))).drop("mean_idf")
 
 
-def bm25(docs: DataFrame, question: DataFrame, k: int, p: Params = DEFAULTS) -> DataFrame:
-    """(doc_id, score, rank) of the best k; ``question`` has (term, qtf), as long as a question at most.
+class Index:
+    """Postings (doc_id, term, tf, doc_len), terms (term, df, raw_idf, idf) and the mean length of a document."""
 
-    The question's terms cut the postings before they are joined with anything else.
-    """
-    posted = postings(docs)
-    n = docs.count()
-    lengths = docs.agg(F.avg(F.size(identifier_tokens(F.col("text")))).alias("avgdl"))  # one row
-    stats = term_stats(posted, n, p).join(F.broadcast(question), "term").select("term", "idf", "qtf")
-    hits = posted.join(F.broadcast(stats), "term").crossJoin(F.broadcast(lengths))
-    norm = F.col("tf") + p.bm25_k1 * (1 - p.bm25_b + p.bm25_b * F.col("doc_len") / F.col("avgdl"))
-    scored = hits.groupBy("doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (p.bm25_k1 + 1) / norm), 9).alias("score")).where("score > 0")
-    return ranked(scored, k, F.col("score").desc(), F.col("doc_id"))
+    def __init__(self, posted: DataFrame, terms: DataFrame, mean_length: float, p: Params = DEFAULTS):
+        self.postings, self.terms, self.mean_length, self.params = posted, terms, mean_length, p
+
+    @classmethod
+    def build(cls, docs: DataFrame, p: Params = DEFAULTS) -> Index:
+        posted = stored(postings(docs).repartition("term").sortWithinPartitions("term"), "postings")
+        n = docs.count()
+        words = posted.agg(F.sum("tf")).first()[0] or 0
+        return cls(posted, stored(term_stats(posted, n, p), "terms"), words / max(n, 1), p)
+
+    def search(self, questions: DataFrame, k: int) -> DataFrame:
+        """(query_id, term, qtf) to (query_id, doc_id, score, rank), the best k of each query. The terms of the
+        questions cut the postings before anything else; each task hands on k rows a query."""
+        p = self.params
+        asked = questions.join(self.terms.select("term", "idf"), "term")
+        hits = self.postings.join(asked, "term")
+        norm = F.col("tf") + p.bm25_k1 * (1 - p.bm25_b + p.bm25_b * F.col("doc_len") / F.lit(self.mean_length))
+        scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (p.bm25_k1 + 1) / norm), 9).alias("score"))
+        return best(scored.where("score > 0"), k, F.col("score").desc(), F.col("doc_id"))
+
+
+def bm25(docs: DataFrame, questions: DataFrame, k: int, p: Params = DEFAULTS) -> DataFrame:
+    return Index.build(docs, p).search(questions, k)
+
+
+def best(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k of each query_id by ``order``, with their rank from 1."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def ranked(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k by ``order`` with their rank from 1; k rows reach one task, the rest is cut where it lies."""
-    from pyspark.sql import Window
-
     return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def question_terms(question: DataFrame, text: str = "text") -> DataFrame:
-    return question.select(F.explode(identifier_tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
+def question_terms(questions: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, text) to (query_id, term, qtf); without query_id all rows are the question 0."""
+    query_id = F.col("query_id") if "query_id" in questions.columns else F.lit(0)
+    return questions.select(query_id.alias("query_id"), F.explode(identifier_tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))

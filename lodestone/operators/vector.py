@@ -1,4 +1,4 @@
-"""Exact nearest vectors by cosine: one pass, each task keeps its best k."""
+"""Exact nearest vectors by cosine: one pass over the vectors for a block of queries, each task keeps its best k."""
 
 from __future__ import annotations
 
@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import cosine
 
-from .lexical import ranked
+from .ivf import in_blocks
+from .lexical import best
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """(vec_id, similarity, rank); ``query`` is one row with ``query_vector``; ``where`` filters before the cut.
-    Vectors of another length than the query's are left out."""
-    rows = vectors if where is None else vectors.where(where)
-    rows = rows.crossJoin(F.broadcast(query.select("query_vector").limit(1))).where(F.size("embedding") == F.size("query_vector"))
-    near = rows.select("vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 9).alias("cosine"))
-    return ranked(near, k, F.col("cosine").desc(), F.col("vec_id")).select("vec_id", F.greatest(F.lit(0.0), "cosine").alias("similarity"), "rank")
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity, rank) for the queries (query_id, query_vector), a stated set that is broadcast in
+    blocks; ``where`` filters vectors before the cut. Vectors of another length than the query's are left out."""
+    rows = (vectors if where is None else vectors.where(where)).select("vec_id", "embedding")
+
+    def search(block: DataFrame) -> DataFrame:
+        near = rows.crossJoin(F.broadcast(block)).where(F.size("embedding") == F.size("query_vector"))
+        near = near.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 9).alias("cosine"))
+        return best(near, k, F.col("cosine").desc(), F.col("vec_id")).select("query_id", "vec_id", F.greatest(F.lit(0.0), "cosine").alias("similarity"), "rank")
+
+    return in_blocks(queries.select("query_id", "query_vector"), search)

@@ -90,81 +90,90 @@ BM25_CTE = f"""
 tf AS MATERIALIZED ({TF}),
 raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw_idf FROM tf GROUP BY term),
 stats AS (SELECT term, df, raw_idf, CASE WHEN raw_idf < 0 THEN 0.25 * avg(raw_idf) OVER () ELSE raw_idf END AS idf FROM raw),
-q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({tok("text")}) AS term FROM benchmark WHERE item_id = 0) GROUP BY term),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tok("text")}) AS term FROM benchmark WHERE item_id % 100 = 0) GROUP BY ALL),
 len_ AS (SELECT avg(len({tok("text")})) AS avgdl FROM documents),
-scored AS (SELECT doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avgdl))), 9) AS score
-  FROM tf JOIN stats USING (term) JOIN q USING (term), len_ GROUP BY doc_id),
-b AS (SELECT doc_id AS id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 36)"""
+scored AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avgdl))), 9) AS score
+  FROM tf JOIN stats USING (term) JOIN q USING (term), len_ GROUP BY query_id, doc_id),
+b AS (SELECT query_id, doc_id AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 36)"""
 
 
-def vector_cte(where: str = "true") -> str:
-    return f"""v AS (SELECT id, greatest(0, c) AS similarity, row_number() OVER (ORDER BY c DESC, id) AS rank FROM (
-  SELECT e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) AS c
-  FROM embeddings e, (SELECT embedding, label FROM embeddings WHERE vec_id = 0) p WHERE {where}) QUALIFY rank <= 36)"""
+def vector_cte(where: str = "true", queries: str = "true") -> str:
+    return f"""v AS (SELECT query_id, id, greatest(0, c) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM (
+  SELECT p.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) AS c
+  FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0 AND {queries}) p WHERE {where}) QUALIFY rank <= 36)"""
 
 
-FUSED_CTE = """f AS (SELECT id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 12) AS fused, similarity,
-  CASE WHEN v.rank IS NULL THEN 1 ELSE 0 END AS first_list, coalesce(v.rank, b.rank) AS first_rank FROM v FULL JOIN b USING (id)),
-r AS (SELECT *, row_number() OVER (ORDER BY fused DESC, first_list, first_rank) AS rank FROM f)"""
+FUSED_CTE = """f AS (SELECT query_id, id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 12) AS fused, similarity,
+  CASE WHEN v.rank IS NULL THEN 1 ELSE 0 END AS first_list, coalesce(v.rank, b.rank) AS first_rank FROM v FULL JOIN b USING (query_id, id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first_list, first_rank) AS rank FROM f)"""
 
 
-def question(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.question_terms(table(spark, d, "benchmark").where("item_id = 0"))
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark text whose id is divisible by 100 is a question."""
+    return lexical.question_terms(table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text"))
 
 
-def query_vector(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
+def question_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors that go with the questions: those of the same ids."""
+    return search_set(spark, d).join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+
+
+def text_index(spark: SparkSession, d: str) -> lexical.Index:
+    return lexical.Index.build(table(spark, d, "documents"))
 
 
 @query(f"WITH {BM25_CTE} SELECT term, df, round(raw_idf, 6) AS raw_idf, round(idf, 6) AS idf FROM stats")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return lexical.term_stats(lexical.postings(docs), docs.count()).select("term", "df", F.round("raw_idf", 6).alias("raw_idf"), F.round("idf", 6).alias("idf"))
+    return text_index(spark, d).terms.select("term", "df", F.round("raw_idf", 6).alias("raw_idf"), F.round("idf", 6).alias("idf"))
 
 
-@query(f"WITH {BM25_CTE} SELECT id AS doc_id, rank, round(score, 6) AS score FROM b")
+@query(f"WITH {BM25_CTE} SELECT query_id, id AS doc_id, rank, round(score, 6) AS score FROM b")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(table(spark, d, "documents"), question(spark, d), 36).select("doc_id", "rank", F.round("score", 6).alias("score"))
+    return text_index(spark, d).search(asked(spark, d), 36).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {vector_cte()} SELECT id AS vec_id, rank, similarity FROM v")
+@query(f"WITH {vector_cte()} SELECT query_id, id AS vec_id, rank, similarity FROM v")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return vector.nearest(table(spark, d, "embeddings"), query_vector(spark, d), 36)
+    return vector.nearest(table(spark, d, "embeddings"), search_set(spark, d), 36)
 
 
-@query(f"WITH {vector_cte('e.label = 1')} SELECT id AS vec_id, rank, similarity FROM v")
+@query(f"WITH {vector_cte('e.label = 1')} SELECT query_id, id AS vec_id, rank, similarity FROM v")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return vector.nearest(table(spark, d, "embeddings"), query_vector(spark, d), 36, F.col("label") == 1)
+    return vector.nearest(table(spark, d, "embeddings"), search_set(spark, d), 36, F.col("label") == 1)
 
 
-@query(f"WITH {vector_cte()} SELECT id AS vec_id, rank, similarity FROM v WHERE rank <= 12 AND similarity >= 0.25")
+@query(f"WITH {vector_cte()} SELECT query_id, id AS vec_id, rank, similarity FROM v WHERE rank <= 12 AND similarity >= 0.25")
 def vector_only_search(spark: SparkSession, d: str) -> DataFrame:
     """The cut to k comes before the threshold."""
-    near = vector.nearest(table(spark, d, "embeddings"), query_vector(spark, d), DEFAULTS.top_k * DEFAULTS.candidates)
+    near = vector.nearest(table(spark, d, "embeddings"), search_set(spark, d), DEFAULTS.top_k * DEFAULTS.candidates)
     return near.where((F.col("rank") <= DEFAULTS.top_k) & (F.col("similarity") >= DEFAULTS.min_score))
 
 
-@query(f"WITH {BM25_CTE}, {vector_cte()}, {FUSED_CTE} SELECT id, round(fused, 9) AS fused, first_list, first_rank FROM r")
+ASKED = "vec_id IN (SELECT item_id FROM benchmark)"
+HYBRID = f"WITH {BM25_CTE}, {vector_cte(queries=ASKED)}, {FUSED_CTE}"
+
+
+@query(f"{HYBRID} SELECT query_id, id, round(fused, 9) AS fused, first_list, first_rank FROM r")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    v = vector.nearest(table(spark, d, "embeddings"), query_vector(spark, d), 36).select(F.col("vec_id").alias("id"), "rank")
-    b = lexical.bm25(table(spark, d, "documents"), question(spark, d), 36).select(F.col("doc_id").alias("id"), "rank")
-    return fusion.rrf([v, b]).select("id", F.round("fused", 9).alias("fused"), "first_list", "first_rank")
+    v = vector.nearest(table(spark, d, "embeddings"), question_vectors(spark, d), 36).withColumnRenamed("vec_id", "id")
+    b = text_index(spark, d).search(asked(spark, d), 36).withColumnRenamed("doc_id", "id")
+    return fusion.rrf([v, b]).select("query_id", "id", F.round("fused", 9).alias("fused"), "first_list", "first_rank")
 
 
-HYBRID = f"WITH {BM25_CTE}, {vector_cte()}, {FUSED_CTE}"
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    """top_k rows a question, with the files they come from."""
+    found = fusion.hybrid(text_index(spark, d), table(spark, d, "embeddings"), asked(spark, d), question_vectors(spark, d))
+    return files(spark, d).join(found, "doc_id")
 
 
-@query(f"{HYBRID} SELECT id AS doc_id, rank, round(fused, 9) AS fused_score, round(coalesce(similarity, 1.0::DOUBLE / rank), 6) AS score, path AS file_path, language FROM r JOIN {FILES} d ON d.doc_id = r.id WHERE rank <= 12")
+@query(f"{HYBRID} SELECT query_id, id AS doc_id, rank, round(fused, 9) AS fused_score, round(coalesce(similarity, 1.0::DOUBLE / rank), 6) AS score, path AS file_path, language FROM r JOIN {FILES} d ON d.doc_id = r.id WHERE rank <= 12")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = fusion.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), question(spark, d), query_vector(spark, d))
-    return files(spark, d).select("doc_id", F.col("path").alias("file_path"), "language").join(F.broadcast(hits), "doc_id")  # top_k rows
+    return search_hits(spark, d).select("query_id", "doc_id", "rank", "fused_score", "score", F.col("path").alias("file_path"), "language")
 
 
-@query(f"{HYBRID} SELECT id AS doc_id, rank, round(coalesce(similarity, 1.0::DOUBLE / rank), 4) AS score, coalesce(similarity, 1.0::DOUBLE / rank) >= 0.25 AS above_threshold, substr(content, 1, 200) AS preview FROM r JOIN {FILES} d ON d.doc_id = r.id WHERE rank <= 12")
+@query(f"{HYBRID} SELECT query_id, id AS doc_id, rank, round(coalesce(similarity, 1.0::DOUBLE / rank), 4) AS score, coalesce(similarity, 1.0::DOUBLE / rank) >= 0.25 AS above_threshold, substr(content, 1, 200) AS preview FROM r JOIN {FILES} d ON d.doc_id = r.id WHERE rank <= 12")
 def search_debug(spark: SparkSession, d: str) -> DataFrame:
-    hits = fusion.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), question(spark, d), query_vector(spark, d))
-    both = files(spark, d).join(F.broadcast(hits), "doc_id")  # top_k rows
-    return both.select("doc_id", "rank", F.round("score", 4).alias("score"), (F.col("score") >= DEFAULTS.min_score).alias("above_threshold"), F.substring("content", 1, 200).alias("preview"))
+    return search_hits(spark, d).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"), (F.col("score") >= DEFAULTS.min_score).alias("above_threshold"), F.substring("content", 1, 200).alias("preview"))
 
 
 def search_set(spark: SparkSession, d: str) -> DataFrame:
