@@ -3,101 +3,173 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.operators import chunk, context, fusion, lexical, repository
+from lodestone.operators import chunk, context, fusion, lexical, repository, rerank, vector
 from lodestone.params import DEFAULTS, Params
 from lodestone.sources import embed, store, walk
 
+REPO = "repo_id string, url string, commit string, indexed_at timestamp, files long, chunks long, functions long, tokens long"
+#: Chunk kinds that count as functions.
+FUNCTIONS = ("function", "method")
+
 
 class Engine:
+    """Each repository has its own versioned tables (files, chunks, postings, terms), so a change writes no other's; one
+    small table has a row per repository."""
+
     def __init__(self, spark: SparkSession, folder: str, params: Params = DEFAULTS):
-        self.spark, self.params = spark, params
-        self.files = store.ChunkStore(spark, f"{folder}/files")
-        self.chunks = store.ChunkStore(spark, f"{folder}/chunks")
+        self.spark, self.folder, self.params = spark, folder.rstrip("/"), params
+        self.repos = store.ChunkStore(spark, f"{self.folder}/repos")
+
+    def _store(self, kind: str, repo_id: str) -> store.ChunkStore:
+        return store.ChunkStore(self.spark, f"{self.folder}/{kind}/{hashlib.sha256(repo_id.encode()).hexdigest()[:32]}")
+
+    def _read(self, kind: str, repo_id: str) -> DataFrame:
+        if (rows := self._store(kind, repo_id).read()) is None:
+            raise KeyError(f"not indexed: {repo_id}")
+        return rows.where(F.col("repo_id") == repo_id)
 
-    def index(self, repo_id: str, source: DataFrame) -> Iterator[dict]:
-        """Source files (path, length, content as bytes) become files and chunks of ``repo_id``, in place of what it
-        had. Yields an event per stage; the work of a stage is one Spark job."""
+    def _chunks_of(self, files: DataFrame) -> DataFrame:
+        """(path, content, language) to chunks: definitions where the language is parsed, windows of lines elsewhere."""
         p = self.params
+        parsed = chunk.syntax_chunks(files.where("language = 'python'"))
+        named = F.concat(F.element_at(F.split("path", "/"), -1), F.lit(":L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+        rest = files.where("language != 'python'").select("path", "content").unionByName(parsed.where("chunk_type = 'unparsed'").select("path", "content"))
+        windows = chunk.sliding_windows(rest, p.window_lines, p.overlap_lines).select("path", "start_line", "end_line", named.alias("name"), F.lit("module").alias("chunk_type"), F.lit(None).cast("string").alias("parent"), "content")
+        split = chunk.split_long(parsed.where("chunk_type != 'unparsed'"), p.max_chunk_chars, ("name", "chunk_type", "parent")).drop("piece")
+        chunks = windows.unionByName(split)
+        return chunks.withColumn("chunk_id", t.chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("name"))).dropDuplicates(["chunk_id"])
+
+    def index(self, repo_id: str, source: DataFrame, url: str | None = None, commit: str | None = None, incremental: bool = True) -> Iterator[dict]:
+        """Source files (path, length, content as bytes) become files and chunks of ``repo_id``. With ``incremental``
+        only files that are new or changed since the last index are parsed and embedded, and those of changed and
+        deleted files go; without it everything is parsed. Yields an event per stage; a stage is one Spark job."""
         yield {"stage": "walking"}
         kept = source.where(walk.skip_reason(F.col("path"), F.col("length"), F.col("content")).isNull())
         files = kept.select(F.lit(repo_id).alias("repo_id"), F.col("path").alias("chunk_id"), F.col("path").alias("file_path"), walk.as_text(F.col("content")).alias("content"), walk.language(F.col("path")).alias("language"))
-        self._replace(self.files, repo_id, files.withColumn("total_lines", t.total_lines(F.col("content"))))
-        mine = self.files.read().where(F.col("repo_id") == repo_id)
-        yield {"stage": "parsing", "files": mine.count()}
-        plain = mine.select(F.col("file_path").alias("path"), "content", "language")
-        parsed = chunk.syntax_chunks(plain.where("language = 'python'"))
-        named = F.concat(F.element_at(F.split("path", "/"), -1), F.lit(":L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
-        rest = plain.where("language != 'python'").select("path", "content").unionByName(parsed.where("chunk_type = 'unparsed'").select("path", "content"))
-        windows = chunk.sliding_windows(rest, p.window_lines, p.overlap_lines).select("path", "start_line", "end_line", named.alias("name"), F.lit("module").alias("chunk_type"), F.lit(None).cast("string").alias("parent"), "content")
-        whole = parsed.where("chunk_type != 'unparsed'")
-        pieces = chunk.split_long(whole, p.max_chunk_chars).withColumnRenamed("end_line", "piece_end").withColumnRenamed("start_line", "piece_start")
-        kinds = whole.select("path", "start_line", "end_line", "name", "chunk_type", "parent")
-        inside = (F.col("piece_start") >= F.col("start_line")) & (F.col("piece_end") <= F.col("end_line"))
-        split = pieces.join(kinds, "path").where(inside).select("path", F.col("piece_start").alias("start_line"), F.col("piece_end").alias("end_line"), "name", "chunk_type", "parent", "content")
-        chunks = windows.unionByName(split).withColumn("chunk_id", t.chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("name"))).dropDuplicates(["chunk_id"])
+        before = self._store("files", repo_id).read()
+        old_chunks = self._store("chunks", repo_id).read() if before is not None else None
+        self._store("files", repo_id).replace(files.withColumn("total_lines", t.total_lines(F.col("content")).cast("int")))
+        plain = self._read("files", repo_id).select(F.col("file_path").alias("path"), "content", "language")
+        changes = None
+        work = plain
+        if incremental and old_chunks is not None:
+            changes = walk.changed_files(before.select(F.col("file_path").alias("path"), "content"), plain.select("path", "content"))
+            work = plain.join(changes, "path", "left_semi")
+        yield {"stage": "parsing", "files": plain.count()} | ({} if changes is None else {"changed": changes.count()})
+        texts = self._chunks_of(work).withColumn("text", F.concat_ws("\n", "path", "content"))
         yield {"stage": "embedding"}
-        texts = chunks.withColumn("text", F.concat_ws("\n", "path", "content"))
         none = self.spark.createDataFrame([], "hash string, model string, embedding array<float>")
-        cache = none if self.chunks.read() is None else self.chunks.read().select("hash", F.lit("hash64").alias("model"), "embedding").dropDuplicates(["hash"])
-        vectors = embed.embedded(texts, cache)
-        rows = texts.withColumn("hash", embed.content_hash(F.col("text"))).join(vectors.drop("model"), "hash")
+        cache = none if old_chunks is None else old_chunks.select("hash", F.lit("hash64").alias("model"), "embedding").dropDuplicates(["hash"])
+        rows = texts.withColumn("hash", embed.content_hash(F.col("text"))).join(embed.embedded(texts, cache).drop("model"), "hash")
+        rows = rows.select(F.lit(repo_id).alias("repo_id"), "chunk_id", F.col("path").alias("file_path"), "start_line", "end_line", "name", "chunk_type", "parent", "content", "hash", "embedding")
         yield {"stage": "storing"}
-        self._replace(self.chunks, repo_id, rows.select(F.lit(repo_id).alias("repo_id"), "chunk_id", F.col("path").alias("file_path"), "start_line", "end_line", "name", "chunk_type", "parent", "content", "hash", "embedding"))
-        yield {"stage": "complete", "chunks": self.chunks.read().where(F.col("repo_id") == repo_id).count()}
-
-    def _replace(self, table: store.ChunkStore, repo_id: str, rows: DataFrame) -> None:
-        old = table.read()
-        table.replace(rows if old is None else old.where(F.col("repo_id") != repo_id).unionByName(rows))
+        self._store("chunks", repo_id).replace(rows if changes is None else store.refreshed(old_chunks, rows, changes))
+        chunks = self._read("chunks", repo_id)
+        built = lexical.Index.build(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")), self.params)
+        self._store("postings", repo_id).replace(built.postings.withColumn("repo_id", F.lit(repo_id)))
+        self._store("terms", repo_id).replace(built.terms.withColumn("repo_id", F.lit(repo_id)))
+        counts = chunks.agg(F.count("*").alias("chunks"), F.count_if(F.col("chunk_type").isin(*FUNCTIONS)).alias("functions")).first()
+        tokens = round(built.mean_length * counts["chunks"])
+        record = self.spark.createDataFrame([(repo_id, url, commit, plain.count(), counts["chunks"], counts["functions"], tokens)], "repo_id string, url string, commit string, files long, chunks long, functions long, tokens long")
+        self._record(repo_id, record.withColumn("indexed_at", F.current_timestamp()))
+        yield {"stage": "complete", "chunks": counts["chunks"]}
+
+    def _record(self, repo_id: str, record: DataFrame | None) -> None:
+        old = self.repos.read()
+        others = self.spark.createDataFrame([], REPO) if old is None else old.where(F.col("repo_id") != repo_id)
+        self.repos.replace(others if record is None else others.unionByName(record))
 
     def delete(self, repo_id: str) -> None:
-        for table in (self.files, self.chunks):
-            if (old := table.read()) is not None:
-                table.replace(old.where(F.col("repo_id") != repo_id))
-
-    def _of(self, table: store.ChunkStore, repo_id: str) -> DataFrame:
-        return table.read().where(F.col("repo_id") == repo_id)
+        """The repository's record and rows; its tables get an empty version."""
+        for kind in ("files", "chunks", "postings", "terms"):
+            if (rows := self._store(kind, repo_id).read()) is not None:
+                self._store(kind, repo_id).replace(rows.limit(0))
+        self._record(repo_id, None)
 
     def status(self) -> DataFrame:
-        return self.chunks.stats()
+        """A row per repository: url, commit, when it was indexed, files, chunks, functions, tokens."""
+        rows = self.repos.read()
+        return self.spark.createDataFrame([], REPO) if rows is None else rows
+
+    def is_current(self, repo_id: str, commit: str) -> bool:
+        """Whether the repository is indexed at this commit."""
+        return not self.status().where((F.col("repo_id") == repo_id) & (F.col("commit") == commit)).isEmpty()
+
+    def peek(self, repo_id: str, n: int = 5) -> DataFrame:
+        return self._read("chunks", repo_id).drop("embedding").orderBy("chunk_id").limit(n)
 
     def file(self, repo_id: str, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
         if ".." in path or path.startswith("/"):
             raise ValueError(f"not a path within a repository: {path}")
-        rows = self._of(self.files, repo_id).where(F.col("file_path") == path)
+        rows = self._read("files", repo_id).where(F.col("file_path") == path)
         ls = t.lines(F.col("content"))
         first = start or 1
         shown = F.slice(ls, first, F.greatest(F.lit(0), F.least(F.lit(end) if end else F.size(ls), F.size(ls)) - first + 1))
         return rows.select("file_path", "language", "total_lines", F.array_join(shown, "\n").alias("content"))
 
     def tree(self, repo_id: str) -> DataFrame:
-        return repository.tree(self._of(self.files, repo_id).select(F.col("file_path").alias("path")))
+        return repository.tree(self._read("files", repo_id).select(F.col("file_path").alias("path")))
 
     def summary(self, repo_id: str) -> DataFrame:
-        return repository.language_stats(self._of(self.files, repo_id), ["repo_id"], self.params.top_languages)
+        return repository.language_stats(self._read("files", repo_id), ["repo_id"], self.params.top_languages)
 
     def starters(self, repo_id: str) -> DataFrame:
-        return repository.starters(self._of(self.files, repo_id).select(F.col("file_path").alias("path")))
+        return repository.starters(self._read("files", repo_id).select(F.col("file_path").alias("path")))
 
-    def search(self, repo_id: str, question: str, previous: str | None = None) -> DataFrame:
-        """The best chunks, with the lines around them: position, file_path, lines, name, score, enriched text."""
+    def unmatched(self, repo_id: str, question: str) -> DataFrame:
+        """File names in the question that no file of the repository has."""
+        names = self._mentions(question)
+        known = self._read("files", repo_id).select(t.basename(F.col("file_path")).alias("base"))
+        found = known.join(F.broadcast(names), F.contains("base", F.col("name"))).select("name").distinct()  # names of one question
+        return names.join(found, "name", "left_anti")
+
+    def _mentions(self, question: str) -> DataFrame:
+        return self.spark.createDataFrame([(question,)], "text string").select(F.explode(t.filename_mentions(F.col("text"))).alias("name")).distinct()
+
+    def _ranking(self, repo_id: str, asked: str, hybrid: bool) -> DataFrame:
+        """(id, rank, score) of the candidates: fused, or by vector alone with the least similarity that counts."""
+        p = self.params
+        row = self.spark.createDataFrame([(0, asked)], "query_id int, text string")
+        queries = embed.hashed_vectors(row.select(F.lit("q").alias("hash"), "text")).select(F.lit(0).alias("query_id"), F.col("embedding").alias("query_vector"))
+        vectors = self._read("chunks", repo_id).select(F.col("chunk_id").alias("vec_id"), "embedding")
+        if not hybrid:
+            near = vector.nearest(vectors, queries, p.top_k)
+            return near.where(F.col("similarity") >= p.min_score).select(F.col("vec_id").alias("id"), "rank", F.round("similarity", 6).alias("score"))
+        record = self.status().where(F.col("repo_id") == repo_id).first()
+        terms = lexical.question_terms(row)
+        wanted = [r["term"] for r in terms.select("term").collect()]  # as long as a question at most
+        index = lexical.Index(self._read("postings", repo_id).where(F.col("term").isin(wanted)), self._read("terms", repo_id).where(F.col("term").isin(wanted)), record["tokens"] / max(record["chunks"], 1), p)
+        return fusion.hybrid(index, vectors, terms, queries, p).select(F.col("doc_id").alias("id"), "rank", "score")
+
+    def search(self, repo_id: str, question: str, previous: str | None = None, hybrid: bool = True, scorer: rerank.Scorer | None = None) -> DataFrame:
+        """The best chunks, with the lines around them: position, file_path, lines, name, score, enriched text.
+
+        ``previous`` is the question before, which a follow-up is read together with. Without ``hybrid`` vectors alone
+        decide, down to a least similarity. A ``scorer`` of (question, text) reorders the candidates. Chunks of files
+        that the question names come first, with score 1, where they are not among the best anyway."""
         low, high = self.params.question_chars
         if not low <= len(question) <= high:
             raise ValueError(f"a question has {low} to {high} characters")
         asked = question if not (previous or "").strip() or previous.lower() == question.lower() else f"{previous.strip()} {question}"
-        chunks = self._of(self.chunks, repo_id)
-        row = self.spark.createDataFrame([(asked,)], "text string")
-        query = embed.hashed_vectors(row.withColumn("hash", F.lit("q"))).select(F.col("embedding").alias("query_vector"))
-        docs = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text"))
-        hits = fusion.hybrid(docs, chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"), lexical.question_terms(row), query, self.params)
-        named = chunks.select("chunk_id", "file_path", "start_line", "end_line", "name", "chunk_type", "parent", "content")
-        found = named.join(F.broadcast(hits.withColumnRenamed("doc_id", "chunk_id")), "chunk_id")  # top_k rows
-        whole = self._of(self.files, repo_id).select("file_path", t.lines(F.col("content")).alias("ls"))
-        both = found.join(whole, "file_path")
+        chunks = self._read("chunks", repo_id).select("chunk_id", "file_path", "start_line", "end_line", "name", "chunk_type", "parent", "content")
+        ranking = self._ranking(repo_id, asked, hybrid)
+        if scorer is not None:
+            texts = ranking.join(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), "id")
+            ranking = rerank.reranked(texts.select(F.lit(question).alias("question"), "id", "text", "rank"), scorer).select("id", "rank", "score")
+        mentions = self._mentions(question).withColumnRenamed("name", "mention")
+        named = chunks.select("chunk_id", "file_path", "start_line").join(F.broadcast(mentions), F.contains(t.basename(F.col("file_path")), F.col("mention")))
+        order = Window.orderBy("file_path", "start_line", "chunk_id")  # the chunks of the files that one question names
+        matches = named.select("chunk_id", "file_path", "start_line").distinct().select(F.col("chunk_id").alias("id"), F.row_number().over(order).alias("ordinal"))
+        placed = fusion.force_include(ranking, matches, self.params.top_k).join(ranking.select("id", "score"), "id", "left")
+        hits = placed.select(F.col("id").alias("chunk_id"), "position", F.coalesce("score", F.lit(1.0)).alias("score"))
+        whole = self._read("files", repo_id).select("file_path", t.lines(F.col("content")).alias("ls"))
+        both = chunks.join(hits, "chunk_id").join(whole, "file_path")
         around = context.enriched(F.col("content"), F.col("ls"), F.col("start_line"), F.col("end_line"), self.params.context_lines, self.params.shown_lines)
-        return context.prompt_headers(both.withColumn("position", F.col("rank")).withColumn("enriched", around).drop("ls"))
+        return context.prompt_headers(both.withColumn("enriched", around).drop("ls"))

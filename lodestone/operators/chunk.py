@@ -24,9 +24,9 @@ def sliding_windows(files: DataFrame, size: int = DEFAULTS.window_lines, overlap
     return out.where(~only_comments(F.col("content")))
 
 
-def split_long(chunks: DataFrame, most: int = DEFAULTS.max_chunk_chars) -> DataFrame:
-    """(path, start_line, end_line, content) to pieces of whole lines, packed greedily up to ``most`` characters; a
-    longer line stays whole; chunks that fit stay as they are; a last piece of comments only is dropped."""
+def split_long(chunks: DataFrame, most: int = DEFAULTS.max_chunk_chars, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(path, start_line, end_line, content, carried columns) to pieces of whole lines, packed greedily up to ``most``
+    characters; a longer line stays whole; chunks that fit stay as they are; a last piece of comments only is dropped."""
     cut = F.aggregate(
         F.transform(lines(F.col("content")), F.length),
         F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(-1).alias("held"), F.lit(0).alias("i")),
@@ -38,12 +38,13 @@ def split_long(chunks: DataFrame, most: int = DEFAULTS.max_chunk_chars) -> DataF
         lambda s: s["cuts"],
     )
     cuts = F.when(F.length("content") > most, cut).otherwise(F.array().cast("array<int>"))
-    d = chunks.select("path", "start_line", "end_line", lines(F.col("content")).alias("ls"), cuts.alias("cuts"))
+    d = chunks.select("path", *carried, "start_line", "end_line", lines(F.col("content")).alias("ls"), cuts.alias("cuts"))
     edges = F.arrays_zip(F.concat(F.array(F.lit(0)), "cuts").alias("a"), F.concat("cuts", F.array(F.size("ls"))).alias("b"))
-    d = d.select("path", "start_line", "end_line", "ls", F.size("cuts").alias("n"), F.posexplode(edges).alias("piece", "e"))
+    d = d.select("path", *carried, "start_line", "end_line", "ls", F.size("cuts").alias("n"), F.posexplode(edges).alias("piece", "e"))
     last = F.col("piece") == F.col("n")
     d = d.select(
         "path",
+        *carried,
         "piece",
         (F.col("start_line") + F.col("e.a")).alias("start_line"),
         F.when(last, F.col("end_line")).otherwise(F.col("start_line") + F.col("e.b") - 1).alias("end_line"),

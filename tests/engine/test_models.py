@@ -133,7 +133,27 @@ def test_engine_from_files_to_answers(spark, tmp_path):
     assert e.file("r", "docs/guide.md", 2, 3).first()["content"] == "line 1 about storage\nline 2 about storage"
     assert e.summary("r").count() == 2
     assert e.tree("r").where("parent = ''").count() == 2
-    assert list(e.index("r", source))[-1]["chunks"] == events[-1]["chunks"]
+    assert e.unmatched("r", "what do guide.md and lost.py say").first()["name"] == "lost.py"
+    named = e.search("r", "parseConfig as told in guide.md").orderBy("position").collect()
+    assert {r["file_path"] for r in named} >= {"docs/guide.md"}
+    assert all(r["score"] >= 0.25 for r in e.search("r", "how does parseConfig work", hybrid=False).collect())
+    longest = e.search("r", "how does parseConfig work", scorer=lambda qs, ts: [len(x) for x in ts]).where("position = 1").first()
+    assert longest["file_path"] == "docs/guide.md"
+    again = list(e.index("r", source, commit="c1"))
+    assert again[1]["changed"] == 0
+    assert again[-1]["chunks"] == events[-1]["chunks"]
+    assert e.is_current("r", "c1")
+    assert not e.is_current("r", "c2")
+    was = {r["chunk_id"]: r["content"] for r in e.peek("r", 100).collect()}
+    rows[0] = (rows[0][0], code.replace("return row", "return [row]"))
+    rows[1] = ("docs/other.md", "an other file")
+    source = spark.createDataFrame([(p, len(c), bytearray(c.encode())) for p, c in rows], "path string, length long, content binary")
+    part = list(e.index("r", source))
+    assert part[1]["changed"] == 3
+    now = {r["chunk_id"]: r["content"] for r in e.peek("r", 100).collect()}
+    list(e.index("r", source, incremental=False))
+    assert now == {r["chunk_id"]: r["content"] for r in e.peek("r", 100).collect()} != was
+    assert e.status().first()["functions"] == 2
     e.delete("r")
     assert e.status().count() == 0
 
