@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 from lodestone.operators import chunk, context, fusion, lexical, repository, rerank, vector
-from lodestone.params import DEFAULTS, Params
+from lodestone.params import AST_LANGUAGES, DEFAULTS, Params
 from lodestone.sources import embed, store, walk
 
 REPO = "repo_id string, url string, commit string, indexed_at timestamp, files long, chunks long, functions long, tokens long"
 #: Chunk kinds that count as functions.
 FUNCTIONS = ("function", "method")
+PARSED = sorted({*AST_LANGUAGES.values()})
 
 
 class Engine:
@@ -38,9 +39,9 @@ class Engine:
     def _chunks_of(self, files: DataFrame) -> DataFrame:
         """(path, content, language) to chunks: definitions where the language is parsed, windows of lines elsewhere."""
         p = self.params
-        parsed = chunk.syntax_chunks(files.where("language = 'python'"))
+        parsed = chunk.syntax_chunks(files.where(F.col("language").isin(*PARSED)))
         named = F.concat(F.element_at(F.split("path", "/"), -1), F.lit(":L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
-        rest = files.where("language != 'python'").select("path", "content").unionByName(parsed.where("chunk_type = 'unparsed'").select("path", "content"))
+        rest = files.where(~F.col("language").isin(*PARSED)).select("path", "content").unionByName(parsed.where("chunk_type = 'unparsed'").select("path", "content"))
         windows = chunk.sliding_windows(rest, p.window_lines, p.overlap_lines).select("path", "start_line", "end_line", named.alias("name"), F.lit("module").alias("chunk_type"), F.lit(None).cast("string").alias("parent"), "content")
         split = chunk.split_long(parsed.where("chunk_type != 'unparsed'"), p.max_chunk_chars, ("name", "chunk_type", "parent")).drop("piece")
         chunks = windows.unionByName(split)

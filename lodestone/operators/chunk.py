@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import bisect
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,16 +94,102 @@ def python_definitions(source: str) -> list[tuple[int, int, str, str, str | None
     return out
 
 
+_QUIET = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+_VALUE = r"=\s*(?:async\s*)?(?:function\b|\([^)]*\)[^=;{]*=>|[\w$]+\s*=>)"
+_TOP = re.compile(
+    r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:(?:async|abstract)\s+)*"
+    r"(?:(?P<function>function)\s*\*?\s*(?P<f>[\w$]*)|(?P<class>class)\s+(?P<c>[\w$]+)|(?P<interface>interface)\s+(?P<i>[\w$]+)|(?:const\s+)?(?P<enum>enum)\s+(?P<e>[\w$]+)"
+    r"|(?P<type>type)\s+(?P<t>[\w$]+)[^=;{]*=|(?:const|let|var)\s+(?P<v>[\w$]+)[^=;{]*" + _VALUE + ")"
+)
+_MEMBER = re.compile(r"[ \t]*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)[ \t]+)*\*?[ \t]*(?P<name>#?[\w$]+)\s*(?:(?:<[^>\n]*>)?\(|(?::[^=\n]+)?" + _VALUE + ")")
+_CONTINUED = re.compile(r"\s*[.?:&|+)]")
+_NO_MEMBER = {"if", "for", "while", "switch", "catch", "return", "function", "super", "new", "await", "throw"}
+
+
+def script_definitions(source: str) -> list[tuple[int, int, str, str, str | None]] | None:
+    """The same of JavaScript and TypeScript, with interfaces, enums, types and constants that hold a function: a scan
+    of brackets outside strings and comments. None where the brackets do not match."""
+    quiet = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    text = source.split("\n")
+    starts = [0]
+    for line in text:
+        starts.append(starts[-1] + len(line) + 1)
+    depth, depths, line = 0, [0], 0
+    for ch in quiet:
+        depth += (ch in "([{") - (ch in ")]}")
+        if depth < 0:
+            return None
+        if ch == "\n":
+            depths.append(depth)
+    if depth:
+        return None
+
+    def end_of(at: int, body: bool) -> int:
+        """The line (from 1) on which what begins at ``at`` ends: by the bracket that closes its body, a semicolon, or,
+        without a body, the end of a line that nothing continues."""
+        level, i, said = 0, at, False
+        while i < len(quiet):
+            ch = quiet[i]
+            level += (ch in "([{") - (ch in ")]}")
+            said = said or not ch.isspace()
+            if level == 0 and (ch == "}" or ch == ";") or not body and level == 0 and said and ch == "\n" and not _CONTINUED.match(quiet, i):
+                return bisect.bisect_right(starts, i)
+            i += 1
+        return len(text)
+
+    is_code = lambda s: bool(s.strip()) and not s.strip().startswith(("#", "//"))
+    out, done, line = [], 0, 0
+
+    def gap(upto: int) -> None:
+        if sum(map(is_code, text[done:upto])) >= 2:
+            out.append((done + 1, upto, f"L{done + 1}", "module", None))
+
+    def head(a: int, b: int, name: str) -> None:
+        if a <= b and any(map(is_code, text[a - 1 : b])):
+            out.append((a, b, name, "class", None))
+
+    while line < len(text):
+        found = _TOP.match(quiet, starts[line]) if depths[line] == 0 else None
+        if not found:
+            line += 1
+            continue
+        kind = next((k for k in ("function", "class", "interface", "enum", "type") if found[k]), "function")
+        name = next((found[k] for k in "fcietv" if found[k]), None) or "default"
+        braced = not (found["t"] or found["v"]) or quiet[found.end() :].lstrip().startswith("{") or found[0].endswith("function")
+        first, last = line, end_of(found.end() if found["t"] or found["v"] else found.start(), braced)
+        while first > done and text[first - 1].startswith("@"):
+            first -= 1
+        gap(first)
+        if kind == "class":
+            at, inner = first + 1, line + 1
+            while inner < last:
+                member = _MEMBER.match(quiet, starts[inner]) if depths[inner] == 1 else None
+                if member and member["name"] not in _NO_MEMBER:
+                    stop = end_of(member.start(), True)
+                    head(at, inner, name)
+                    out.append((inner + 1, stop, member["name"], "method", name))
+                    at, inner = stop + 1, stop
+                else:
+                    inner += 1
+            head(at, last, name)
+        else:
+            out.append((first + 1, last, name, kind, None))
+        done = line = last
+    gap(len(text))
+    return out
+
+
 def syntax_chunks(files: DataFrame) -> DataFrame:
-    """(path, content) of Python files to their definitions as chunks; unparsable files give one row of kind
-    ``unparsed`` for the window chunker. A parser is the one thing here that needs Python on the executors."""
+    """(path, content, language if there are others than python) to their definitions as chunks; unparsable files give
+    one row of kind ``unparsed`` for the window chunker. A parser is the one thing here that needs Python on the
+    executors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content, language in zip(batch["path"], batch["content"], batch["language"], strict=True):
                 text = (content or "").replace("\r\n", "\n").replace("\r", "\n")
-                found = python_definitions(text)
+                found = python_definitions(text) if language == "python" else script_definitions(text)
                 ls = text.split("\n")
                 if not found:
                     rows.append((path, 1, len(ls), path, "unparsed", None, text))
@@ -109,4 +197,5 @@ def syntax_chunks(files: DataFrame) -> DataFrame:
                     rows.append((path, a, b, name, kind, parent, "\n".join(ls[a - 1 : b])))
             yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "name", "chunk_type", "parent", "content"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, start_line int, end_line int, name string, chunk_type string, parent string, content string")
+    language = F.col("language") if "language" in files.columns else F.lit("python")
+    return files.select("path", "content", language.alias("language")).mapInPandas(run, "path string, start_line int, end_line int, name string, chunk_type string, parent string, content string")

@@ -17,6 +17,11 @@ def language_stats(files: DataFrame, by: list[str], most: int = DEFAULTS.top_lan
     return out.where(F.col("r") <= most).drop("r")
 
 
+def sizes(files: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, files, bytes) of files with their length."""
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.sum(F.col("length").cast("long")).alias("bytes"))
+
+
 def folders(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.lower)

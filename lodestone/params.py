@@ -48,11 +48,6 @@ SKIP_EXTENSIONS = [
 ]
 GENERATED_SUFFIXES = [".min.js", ".min.css", ".bundle.js", "_pb2.py", "_pb2_grpc.py"]
 LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "cargo.lock", "poetry.lock"]
-DISPLAY_LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust", ".java": "java",
-    ".rb": "ruby", ".php": "php", ".c": "c", ".cpp": "cpp", ".html": "html", ".css": "css", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".md": "markdown",
-    ".sql": "sql", ".sh": "bash",
-}
 STARTERS = [
     ("auth", "How does authentication work?", "What auth middleware is used?"),
     ("route", "How are routes defined?", "What does the routing structure look like?"),

@@ -293,11 +293,31 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).select("chunk_id", "file_path", "start_line")
 
 
-@query()
-def syntax_chunks_python(spark: SparkSession, d: str) -> DataFrame:
-    code = "import os\nimport sys\n\n@cached\ndef one(a):\n    return a\n\nclass Two:\n    limit = 3\n    def three(self):\n        pass\n"
-    docs = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit(code).alias("content"))
-    return chunk.syntax_chunks(docs)
+PROGRAMS = [(".py", "python", "def words_%s():", "    # ", "    return 1"), (".ts", "typescript", "export const words_%s = () => {", "  // ", "}")]
+
+
+def _program_sql(ext: str, head: str, mark: str, tail: str) -> str:
+    before, after = head.split("%s")
+    body = f"{quoted(before)} || doc_id || {quoted(after)} || chr(10) || array_to_string(list_transform(ls, lambda l: {quoted(mark)} || l), chr(10)) || chr(10) || {quoted(tail)}"
+    return f"""SELECT doc_id || '{ext}' AS path, 1 AS start_line, CAST(len(ls) + 2 AS INTEGER) AS end_line, 'words_' || doc_id AS name, 'function' AS chunk_type, sha256({body}) AS content_sha256
+      FROM (SELECT doc_id, string_split(content, chr(10)) AS ls FROM {FILES})"""
+
+
+def marked(mark: str) -> Callable:
+    return lambda line: F.concat(F.lit(mark), line)
+
+
+@query(" UNION ALL ".join(_program_sql(ext, head, mark, tail) for ext, _, head, mark, tail in PROGRAMS))
+def syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as the commentary of a Python and of a TypeScript function, whole."""
+    docs, out = files(spark, d), None
+    for ext, language, head, mark, tail in PROGRAMS:
+        before, after = head.split("%s")
+        named = F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after))
+        body = F.array_join(F.transform(t.lines(F.col("content")), marked(mark)), "\n")
+        rows = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), F.concat_ws("\n", named, body, F.lit(tail)).alias("content"), F.lit(language).alias("language"))
+        out = rows if out is None else out.unionByName(rows)
+    return chunk.syntax_chunks(out).select("path", "start_line", "end_line", "name", "chunk_type", F.sha2("content", 256).alias("content_sha256"))
 
 
 # ---- embedding
@@ -401,6 +421,11 @@ def list_repos(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).groupBy("repo_id").agg(F.count("*").alias("files"), F.sum(F.length("content").cast("long")).alias("chars"))
 
 
+@query(f"SELECT repo_id, count(*) AS files, sum(octet_length(encode(content))) AS bytes FROM {FILES} GROUP BY repo_id")
+def folder_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return repository.sizes(files(spark, d).select("repo_id", F.octet_length("content").alias("length")), ["repo_id"])
+
+
 @query(f"SELECT path, array_to_string(string_split(content, chr(10))[2:4], chr(10)) AS shown, len(string_split(content, chr(10))) - (CASE WHEN ends_with(content, chr(10)) OR content = '' THEN 1 ELSE 0 END) AS total_lines FROM {FILES} WHERE NOT contains(path, '..') AND NOT starts_with(path, '/')")
 def file_line_range(spark: SparkSession, d: str) -> DataFrame:
     safe = files(spark, d).where(~F.contains("path", F.lit("..")) & ~F.startswith("path", F.lit("/")))
@@ -421,7 +446,7 @@ def url_validation(spark: SparkSession, d: str) -> DataFrame:
     return urls(spark, d).select("url", walk.valid_address(F.col("url"), HOSTS).alias("valid"))
 
 
-@query(rf"SELECT url, CASE WHEN len(p) >= 2 THEN p[-2] || '_' || p[-1] ELSE substr(sha256(url), 1, 16) END AS key FROM (SELECT url, string_split(regexp_replace(regexp_replace(url, '/+$', ''), '\.git$', ''), '/') AS p FROM {ALL_URLS})")
+@query(rf"SELECT url, CASE WHEN len(p) >= 2 THEN p[-2] || '_' || p[-1] || '_' || substr(sha256(p[-2] || '/' || p[-1]), 1, 8) ELSE substr(sha256(url), 1, 16) END AS key FROM (SELECT url, string_split(regexp_replace(regexp_replace(url, '/+$', ''), '\.git$', ''), '/') AS p FROM {ALL_URLS})")
 def repo_keys(spark: SparkSession, d: str) -> DataFrame:
     return urls(spark, d).select("url", walk.repository_key(F.col("url")).alias("key"))
 

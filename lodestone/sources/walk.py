@@ -17,9 +17,10 @@ def valid_address(url: Column, host: str) -> Column:
 
 
 def repository_key(url: Column) -> Column:
-    """owner_name of the last two path parts, without ``.git``; a hash where there are fewer."""
+    """owner_name_hash of the last two path parts, without ``.git``; a hash alone where there are fewer. The hash is of
+    owner/name, so that a_b/c and a/b_c differ."""
     parts = F.split(F.regexp_replace(F.regexp_replace(url, "/+$", ""), r"\.git$", ""), "/")
-    return F.when(F.size(parts) >= 2, F.concat_ws("_", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.substring(F.sha2(url, 256), 1, 16))
+    return F.when(F.size(parts) >= 2, F.concat_ws("_", F.element_at(parts, -2), F.element_at(parts, -1), F.substring(F.sha2(F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)), 256), 1, 8))).otherwise(F.substring(F.sha2(url, 256), 1, 16))
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,6 +57,48 @@ def test_python_definitions():
     assert chunk.python_definitions("def f(:") is None
 
 
+def test_script_definitions():
+    source = """import a from 'a'; // { not counted
+import b from "b";
+
+export default async function load(x = { y: 1 }) {
+  return `}${x}`;
+}
+
+export const add = (
+  a: number,
+  b: number,
+): number => {
+  return a + b;
+};
+
+const twice = x => x * 2
+type Id = string | number;
+export interface Shape { area(): number }
+enum Kind { A, B }
+
+@Injectable()
+export class Store extends Base {
+  private rows: string[] = [];
+
+  constructor(private db: Db) {
+    super();
+  }
+  save = async (row) => {
+    if (row) { this.rows.push(row) }
+  };
+  last = 1;
+}
+"""
+    assert chunk.script_definitions(source) == [
+        (1, 3, "L1", "module", None), (4, 6, "load", "function", None), (8, 13, "add", "function", None), (15, 15, "twice", "function", None), (16, 16, "Id", "type", None),
+        (17, 17, "Shape", "interface", None), (18, 18, "Kind", "enum", None), (20, 23, "Store", "class", None), (24, 26, "constructor", "method", "Store"), (27, 29, "save", "method", "Store"), (30, 31, "Store", "class", None),
+    ]
+    assert chunk.script_definitions("function f( {") is None
+    assert chunk.script_definitions("") == []
+    assert chunk.script_definitions("f)") is None
+
+
 def test_bm25_of_a_common_term_is_still_positive(spark):
     docs = spark.createDataFrame([(i, "the cat" if i else "the dog dog") for i in range(5)], "doc_id long, text string")
     rows = lexical.bm25(docs, lexical.question_terms(spark.createDataFrame([("dog",)], "text string")), 3).collect()
