@@ -242,6 +242,34 @@ def test_owned_and_copied_values(spark, odd):
     assert secret_scan.secrets(odd.limit(0), F.col("source"), F.col("source")).count() == 0
 
 
+def test_ownership_counts(spark):
+    """Owners and repositories of each value, counted by hand; a value of one owner in many repositories is shared."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(6), f"o{rng.randrange(4)}", f"r{rng.randrange(30)}") for _ in range(400)]
+    expected = {v: (len({o for w, o, _ in rows if w == v}), len({(o, r) for w, o, r in rows if w == v})) for v, _, _ in rows}
+    found = secret_scan.ownership(spark.createDataFrame(rows, "value long, owner string, repo string")).collect()
+    assert {r["value"]: (r["owners"], r["repos"]) for r in found} == expected
+    token = "Zq9rT2xLw8Kp4Vn6Bs1Yd3"
+    many = [(i, f"see {token}", f"repo{i}", "one") for i in range(secret_scan.SHARED_REPOS)]
+    for rows, added in ((many, 0), (many[1:], 1)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+        out = secret_scan.secrets(docs, F.col("repo"), F.col("owner")).collect()
+        assert {len(r["spans"]) for r in out} == {added}
+        assert {r["n_shared"] for r in out} == {1 - added}
+
+
+def test_candidates_outside_base_spans():
+    """The one pass over tokens and spans finds what a comparison of every token with every span finds."""
+    rng = random.Random(9)
+    parts = ["Ab1" * 8, "x", "token = Qw3rTy7uIoP9", "0123456789abcdef0123456789abcdef", "AKIA" + "Z9" * 9, "plain words", "secret: 'Mn8Bv5Cx2Lk0Jh4Gf6Ds'"]
+    for _ in range(60):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        base = secret_scan.base_spans(text)
+        found = {(a, b) for a, kind, b, _, _ in secret_scan.candidates(text, base) if kind == 3}
+        mixed = [m for m in secret_scan.TOKEN.finditer(text) if m[0].lower() != m[0] and m[0].upper() != m[0] and any(c.isdigit() for c in m[0])]
+        assert found == {m.span() for m in mixed if all(m.end() <= a or m.start() >= b for a, _, b in base)}
+
+
 # ---- 5
 
 
