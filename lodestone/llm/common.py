@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import shared_dir, stored
+
+__all__ = ["WORD", "ascii_lower", "doc_key", "md5_key", "shared_dir", "stored", "table"]
+
 #: Maximal runs of these are the words of a text (ASCII separators; every other character is part of a word).
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="lodestone-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (in tests), one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else, whatever the locale."""
     return F.translate(c, UPPER, LOWER)
