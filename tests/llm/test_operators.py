@@ -84,6 +84,38 @@ def test_classifiers_on_odd_rows(spark, odd):
         assert score(odd.limit(0), labels).count() == 0
 
 
+def test_quality_against_one_pass_in_memory(spark, sf_dir):
+    """The scores of ridge and calibration over all rows in one array, by least squares and pairwise pooling."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marks = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if r["quality"] is not None}
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    folds = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in rows])
+    x = np.array([quality.statistics(t) for _, t in rows], float)
+    y = np.array([marks.get(i, np.nan) for i, _ in rows])
+    seen = (folds != 0) & ~np.isnan(y)
+    mean, sd = x[seen].mean(0), x[seen].std(0)
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(0, 1 / quality.BANDWIDTH, (x.shape[1], quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.clip((x - mean) / np.where(sd > 1e-9, sd, 1.0), -8, 8) @ w + b
+    z = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(z), np.ones((len(z), 1))])
+    own, held = seen & (folds != 1), seen & (folds == 1)
+    # ridge as least squares over rows added for the penalty
+    weight = np.sqrt(quality.RIDGE * seen.sum() / quality.FEATURES)
+    beta = np.linalg.lstsq(np.vstack([z[own], weight * np.eye(z.shape[1])]), np.concatenate([y[own], np.zeros(z.shape[1])]), rcond=None)[0]
+    raw = z @ beta
+    bins = np.clip(np.floor((raw[held] + 1) / 3 * quality.CALIBRATION_BINS), 0, quality.CALIBRATION_BINS - 1)
+    at = np.unique(bins)
+    n = np.array([(bins == k).sum() for k in at], float)
+    centre, height = (np.array([v[held][bins == k].mean() for k in at]) for v in (raw, y))
+    # isotonic values by the min-max formula
+    part = lambda i, j: (n[i : j + 1] * height[i : j + 1]).sum() / n[i : j + 1].sum()
+    level = [max(min(part(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    expected = dict(zip([i for i, _ in rows], np.interp(raw, centre, level), strict=True))
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    assert got.keys() == expected.keys()
+    assert max(abs(got[i] - expected[i]) for i in got) < 1e-6
+
+
 def test_isotonic_fit_is_monotone():
     knots, values = quality.pooled([(0.1, 1, 0.2), (0.2, 3, 0.1), (0.3, 1, 0.5), (0.4, 1, 0.4), (0.5, 2, 0.9)])
     assert values == sorted(values)
@@ -334,6 +366,32 @@ def test_shards(spark, docs, odd):
     assert sharding.assign_shards(odd.limit(0)).count() == 0
 
 
+def placed_by_hand(rows, shards):
+    """(doc_id, size, shard, slot) by one sort and one running sum over all rows."""
+    key = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    order = sorted((key(t or ""), key("" if d is None else str(d)), d is not None, d or 0, len((t or "").encode()) + 1, d) for d, t in rows)
+    share = sum(r[4] for r in order) / shards
+    sizes, starts, at, slots = Counter(), {}, 0, Counter()
+    for r in order:
+        sizes[r[0]] += r[4]
+    for h, _, _, _, size, d in order:
+        starts.setdefault(h, at)
+        middle = starts[h] + sizes[h] / 2 if sizes[h] <= sharding.SPLIT_OVER * share else at + size / 2
+        shard = min(shards - 1, int(middle // share))
+        yield d, size, shard, slots[shard]
+        slots[shard] += 1
+        at += size
+
+
+@pytest.mark.parametrize("shards", [1, 8, 13])
+def test_shards_against_one_sort(spark, docs, odd, shards):
+    hot = spark.createDataFrame([(i % 900 or None, "hot " * 40 if i % 3 else f"text {i // 4} " * (i % 50)) for i in range(3000)], "doc_id long, text string")
+    for df in (docs, odd, hot):
+        rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        out = sharding.assign_shards(df, shards).collect()
+        assert Counter((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in out) == Counter(placed_by_hand(rows, shards))
+
+
 def test_a_hot_text_is_split_and_a_small_group_is_not(spark):
     rows = [(i, "hot text " * 30 if i % 3 == 0 else f"text {i // 2} " * 25) for i in range(4000)]
     out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
