@@ -121,6 +121,10 @@ class Engine:
     def summary(self, repo_id: str) -> DataFrame:
         return repository.language_stats(self._read("files", repo_id), ["repo_id"], self.params.top_languages)
 
+    def listed(self, repo_id: str) -> DataFrame:
+        """The first files, functions and classes, as a summary shows them."""
+        return repository.listed(self._read("chunks", repo_id), ["repo_id"])
+
     def starters(self, repo_id: str) -> DataFrame:
         return repository.starters(self._read("files", repo_id).select(F.col("file_path").alias("path")))
 

@@ -22,6 +22,22 @@ def sizes(files: DataFrame, by: list[str]) -> DataFrame:
     return files.groupBy(*by).agg(F.count("*").alias("files"), F.sum(F.col("length").cast("long")).alias("bytes"))
 
 
+def listed(chunks: DataFrame, by: list[str], most: dict[str, int] | None = None) -> DataFrame:
+    """(*by, files, functions, classes): the first distinct paths by name, and the first names of functions (methods
+    too) and classes by path and line. Ranks are cut before rows come together, so a row gathers ``most`` at most."""
+    most = most or {"files": 20, "functions": 15, "classes": 10}
+    place = F.struct("file_path", "start_line", "name")
+    none = F.struct(F.col("file_path"), F.lit(0).alias("start_line"), F.lit("").alias("name"))
+    of = lambda kind, rows, at, value: rows.select(*by, F.lit(kind).alias("kind"), at.alias("at"), F.col(value).alias("value"))
+    named = chunks.withColumn("start_line", F.col("start_line").cast("int")).where(F.coalesce("name", F.lit("")) != "")
+    rows = of("files", chunks.select(*by, "file_path").distinct(), none, "file_path")
+    rows = rows.unionByName(of("functions", named.where(F.col("chunk_type").isin("function", "method")), place, "name"))
+    rows = rows.unionByName(of("classes", named.where("chunk_type = 'class'"), place, "name"))
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by, "kind").orderBy("at"))).where(F.col("r") <= max(most.values()))
+    gathered = lambda kind: F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & (F.col("r") <= most[kind]), F.struct("r", "value"))))["value"].alias(kind)
+    return ranked.groupBy(*by).agg(*[gathered(k) for k in ("files", "functions", "classes")])
+
+
 def folders(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.lower)

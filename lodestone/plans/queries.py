@@ -410,6 +410,16 @@ def file_overview(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- repositories
 
+@query(f"""WITH c AS (SELECT coalesce(parent, '-') AS repo_id, * FROM {HITS}),
+l AS (SELECT repo_id, 'files' AS kind, file_path AS value, row_number() OVER (PARTITION BY repo_id ORDER BY file_path) AS r, 20 AS most FROM (SELECT DISTINCT repo_id, file_path FROM c)
+UNION ALL SELECT repo_id, kind, name, row_number() OVER (PARTITION BY repo_id, kind ORDER BY file_path, start_line, name), CASE kind WHEN 'functions' THEN 15 ELSE 10 END
+  FROM (SELECT *, CASE WHEN chunk_type = 'class' THEN 'classes' ELSE 'functions' END AS kind FROM c WHERE chunk_type IN ('class', 'function', 'method')))
+SELECT repo_id, {", ".join(f"array_to_string(list(value ORDER BY r) FILTER (kind = '{k}' AND r <= most), ',') AS {k}" for k in ("files", "functions", "classes"))} FROM l GROUP BY repo_id""")
+def repository_lists(spark: SparkSession, d: str) -> DataFrame:
+    found = repository.listed(hits(spark, d).withColumn("repo_id", F.coalesce("parent", F.lit("-"))), ["repo_id"])
+    return found.select("repo_id", *[F.array_join(k, ",").alias(k) for k in ("files", "functions", "classes")])
+
+
 @query(f"""SELECT repo_id, language, files, CAST(round_even(100.0 * files / total, 0) AS INT) AS pct FROM (SELECT *, sum(files) OVER (PARTITION BY repo_id) AS total, row_number() OVER (PARTITION BY repo_id ORDER BY files DESC, language) AS r
   FROM (SELECT repo_id, language, count(*) AS files FROM {FILES} GROUP BY ALL)) WHERE r <= 8""")
 def language_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -588,7 +598,17 @@ def fence_parts(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark).select("id", F.posexplode(answer.fences(F.col("x"))).alias("ordinal", "f")).select("id", "ordinal", "f.lang", "f.code")
 
 
-@query("SELECT * FROM (VALUES (2, 'bar', 'a', 2), (3, 'pie', 'a', 1), (6, NULL, NULL, NULL)) x(id, type, labels, points)")
+def _chart_sql(code: str) -> str:
+    """The first of four readings of ``code`` that has type, labels and datasets, as JSON."""
+    plain = lambda c: rf"regexp_replace({c}, ',\s*([}}\]])', '\1', 'g')"
+    found = rf"""regexp_extract({code}, '(\{{[\s\S]*"type"\s*:[\s\S]*\}})', 1)"""
+    tries = [code, plain(code), plain(f"replace({code}, chr(39), chr(34))"), plain(found)]
+    whole = lambda c: f"CASE WHEN json_extract_string(TRY_CAST({c} AS JSON), '$.type') <> '' AND json_extract(TRY_CAST({c} AS JSON), '$.labels') IS NOT NULL AND json_extract(TRY_CAST({c} AS JSON), '$.datasets') IS NOT NULL THEN TRY_CAST({c} AS JSON) END"
+    return f"coalesce({', '.join(map(whole, tries))})"
+
+
+@query(f"""SELECT id, json_extract_string(c, '$.type') AS type, array_to_string(json_extract_string(c, '$.labels[*]'), ',') AS labels, CAST(list_sum(list_transform(json_extract(c, '$.datasets[*].data'), lambda x: json_array_length(x))) AS INT) AS points
+FROM (SELECT id, {_chart_sql("code")} AS c FROM ({FENCES}) WHERE lang = 'chart')""")
 def chart_json_tolerant(spark: SparkSession, d: str) -> DataFrame:
     f = answers(spark).select("id", F.explode(answer.fences(F.col("x"))).alias("f")).where("f.lang = 'chart'").select("id", answer.chart(F.col("f.code")).alias("c"))
     return f.select("id", "c.type", F.array_join("c.labels", ",").alias("labels"), F.size(F.flatten("c.datasets.data")).alias("points")).withColumn("points", F.when(F.col("type").isNotNull(), F.col("points")))
@@ -597,3 +617,50 @@ def chart_json_tolerant(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"SELECT id, c AS citation FROM (SELECT id, unnest(regexp_extract_all(x, '\*\*(.+?)\*\*', 1)) AS c FROM (VALUES {values(ANSWERS)}) a(id, x)) WHERE regexp_matches(c, '^[\w./\\:-]+$') AND contains(c, ':')")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark).select("id", F.explode(answer.citations(F.col("x"))).alias("citation"))
+
+
+# An answer of all kinds of parts around each document.
+AROUND = ("### Of %s\n- see **", ":1** and `", "` or **both**\n```Python\n", "\n```\nthen\n```mermaid\ngraph TD\n```")
+LONG = f"""(SELECT id, x FROM (VALUES {values(ANSWERS)}) a(id, x) UNION ALL SELECT 10 + doc_id, {quoted(AROUND[0].split("%s")[0])} || doc_id || {quoted(AROUND[0].split("%s")[1])} || path || {quoted(AROUND[1])} || language || {quoted(AROUND[2])} || content || {quoted(AROUND[3])} FROM {FILES})"""
+PART_SQL = rf"""(SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, matched) - 1 AS ordinal, matched, body FROM (
+  SELECT id, i, false AS matched, gaps[i] AS body FROM (SELECT id, string_split_regex(x, '{FENCE}') AS gaps, unnest(range(1, len(gaps) + 1)) AS i FROM {LONG})
+  UNION ALL SELECT id, i, true, blocks[i] FROM (SELECT id, regexp_extract_all(x, '{FENCE}') AS blocks, unnest(range(1, len(blocks) + 1)) AS i FROM {LONG})) WHERE body <> '')"""
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def long_answers(spark: SparkSession, d: str) -> DataFrame:
+    before, after = AROUND[0].split("%s")
+    made = F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after), "path", F.lit(AROUND[1]), "language", F.lit(AROUND[2]), "content", F.lit(AROUND[3]))
+    return answers(spark).unionByName(files(spark, d).select((F.col("doc_id") + 10).alias("id"), made.alias("x")))
+
+
+@query(rf"""SELECT id, ordinal, CASE WHEN NOT matched THEN 'text' WHEN lang = 'mermaid' OR c IS NOT NULL THEN lang ELSE 'code' END AS kind,
+  CASE WHEN matched THEN CASE WHEN lang = 'chart' AND c IS NULL THEN 'chart (invalid JSON)' WHEN lang = '' THEN 'text' ELSE lang END END AS lang, sha256(CASE WHEN matched THEN code ELSE body END) AS body_sha256
+FROM (SELECT *, CASE WHEN lang = 'chart' THEN {_chart_sql("code")} END AS c FROM (SELECT *, lower(regexp_extract(body, '{FENCE}', 1)) AS lang, trim(regexp_extract(body, '{FENCE}', 2), {SPACES}) AS code FROM {PART_SQL}))""")
+def answer_parts(spark: SparkSession, d: str) -> DataFrame:
+    found = long_answers(spark, d).select("id", F.posexplode(answer.parts(F.col("x"))).alias("ordinal", "p"))
+    return found.select("id", F.col("ordinal").cast("long").alias("ordinal"), "p.kind", "p.lang", F.sha2("p.body", 256).alias("body_sha256"))
+
+
+INLINE = r"(?m)\*\*.+?\*\*|`[^`]+`|^### .+$|^- .+"
+
+
+@query(rf"""SELECT id, ordinal, row_number() OVER (PARTITION BY id, ordinal ORDER BY i, matched) - 1 AS at, CASE WHEN NOT matched THEN 'text' WHEN regexp_matches(b, '^\*\*[\w./\\:-]+\*\*$') AND contains(b, ':') THEN 'citation' WHEN starts_with(b, '**') THEN 'bold' WHEN starts_with(b, '`') THEN 'code' WHEN starts_with(b, '#') THEN 'heading' ELSE 'bullet' END AS kind,
+  CASE WHEN NOT matched THEN b WHEN starts_with(b, '**') THEN b[3:-3] WHEN starts_with(b, '`') THEN b[2:-2] WHEN starts_with(b, '#') THEN b[5:] ELSE b[3:] END AS body
+FROM (SELECT id, ordinal, i, false AS matched, gaps[i] AS b FROM (SELECT id, ordinal, string_split_regex(body, '{INLINE}') AS gaps, unnest(range(1, len(gaps) + 1)) AS i FROM {PART_SQL} WHERE NOT matched)
+  UNION ALL SELECT id, ordinal, i, true, hits[i] FROM (SELECT id, ordinal, regexp_extract_all(body, '{INLINE}') AS hits, unnest(range(1, len(hits) + 1)) AS i FROM {PART_SQL} WHERE NOT matched)) WHERE b <> ''""")
+def inline_markup(spark: SparkSession, d: str) -> DataFrame:
+    texts = long_answers(spark, d).select("id", F.posexplode(answer.parts(F.col("x"))).alias("ordinal", "p")).where("p.kind = 'text'")
+    found = texts.select("id", F.col("ordinal").cast("long").alias("ordinal"), F.posexplode(answer.markup(F.col("p.body"))).alias("at", "s"))
+    return found.select("id", "ordinal", F.col("at").cast("long").alias("at"), "s.kind", "s.body")
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(coalesce('1. ' || text, ''), chr(10)), lambda q: ltrim(trim(q, {SPACES}), '0123456789.-) ')), lambda q: length(q) BETWEEN 6 AND 149)[1:4], '|') AS questions FROM conversations""")
+def suggested_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(answer.suggested(F.concat(F.lit("1. "), "text")), "|").alias("questions"))
+
+
+@query("SELECT conv_id, turn, CAST(CASE WHEN n > 0 THEN floor(turn / n * 100 + 0.5) ELSE 0 END AS BIGINT) AS pct FROM (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS n FROM conversations)")
+def progress_percent(spark: SparkSession, d: str) -> DataFrame:
+    last = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
+    return table(spark, d, "conversations").join(last, "conv_id").select("conv_id", "turn", answer.percent(F.col("turn"), F.col("n")).alias("pct"))
