@@ -20,9 +20,14 @@ NUMBERING, LENGTHS, SUGGESTIONS = "0123456789.-) ", (6, 149), 4
 
 def fences(text: Column) -> Column:
     """array<struct<lang, code>> of ```lang blocks in order; lang defaults to ``text``."""
-    blocks = F.regexp_extract_all(text, F.lit(FENCE), F.lit(0))
-    lang = lambda b: F.lower(F.regexp_extract(b, FENCE, 1))
-    return F.transform(blocks, lambda b: F.struct(F.when(lang(b) == "", "text").otherwise(lang(b)).alias("lang"), stripped(F.regexp_extract(b, FENCE, 2)).alias("code")))
+    return F.transform(F.regexp_extract_all(text, F.lit(FENCE), F.lit(0)), fence)
+
+
+def fence(block: Column) -> Column:
+    """struct<lang, code> of one whole block; its ends are known, so the block is not searched again."""
+    lang = F.lower(F.regexp_extract(block, r"^```(\w*)\n", 1))
+    code = F.substring(block, F.length(lang) + 5, F.length(block) - F.length(lang) - 7)
+    return F.struct(F.when(lang == "", "text").otherwise(lang).alias("lang"), stripped(code).alias("code"))
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -39,13 +44,15 @@ def parts(text: Column) -> Column:
     read is code."""
 
     def part(p: Column) -> Column:
-        block = fences(p["body"])[0]
-        broken = (block["lang"] == "chart") & chart(block["code"]).isNull()
-        kind = F.when(~p["matched"], "text").when(block["lang"].isin("chart", "mermaid") & ~broken, block["lang"]).otherwise("code")
-        lang = F.when(broken, "chart (invalid JSON)").otherwise(block["lang"])
-        return F.struct(kind.alias("kind"), F.when(p["matched"], lang).alias("lang"), F.when(p["matched"], block["code"]).otherwise(p["body"]).alias("body"))
-
-    return F.transform(pieces(text, FENCE), part)
+        lang = p["block"]["lang"]
+        kind = F.when(~p["matched"], "text").when(p["readable"], lang).otherwise("code")
+        shown = F.when((lang == "chart") & ~p["readable"], "chart (invalid JSON)").otherwise(lang)
+        return F.struct(kind.alias("kind"), F.when(p["matched"], shown).alias("lang"), F.when(p["matched"], p["block"]["code"]).otherwise(p["body"]).alias("body"))
+
+    # in steps, as a function applied to an element is computed once and its result can be named many times
+    blocks = F.transform(pieces(text, FENCE), lambda p: F.struct(p["matched"].alias("matched"), p["body"].alias("body"), F.when(p["matched"], fence(p["body"])).alias("block")))
+    readable = lambda b: F.when(b["lang"] == "chart", chart(b["code"]).isNotNull()).otherwise(b["lang"] == "mermaid")
+    return F.transform(F.transform(blocks, lambda p: F.struct(p["matched"].alias("matched"), p["body"].alias("body"), p["block"].alias("block"), readable(p["block"]).alias("readable"))), part)
 
 
 def markup(text: Column) -> Column:

@@ -634,12 +634,16 @@ def long_answers(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark).unionByName(files(spark, d).select((F.col("doc_id") + 10).alias("id"), made.alias("x")))
 
 
+def split_answers(spark: SparkSession, d: str) -> DataFrame:
+    # outer: the filter that Spark infers from an inner explode would compute every array a second time
+    return long_answers(spark, d).select("id", F.posexplode_outer(answer.parts(F.col("x"))).alias("ordinal", "p")).where("ordinal is not null")
+
+
 @query(rf"""SELECT id, ordinal, CASE WHEN NOT matched THEN 'text' WHEN lang = 'mermaid' OR c IS NOT NULL THEN lang ELSE 'code' END AS kind,
   CASE WHEN matched THEN CASE WHEN lang = 'chart' AND c IS NULL THEN 'chart (invalid JSON)' WHEN lang = '' THEN 'text' ELSE lang END END AS lang, sha256(CASE WHEN matched THEN code ELSE body END) AS body_sha256
 FROM (SELECT *, CASE WHEN lang = 'chart' THEN {_chart_sql("code")} END AS c FROM (SELECT *, lower(regexp_extract(body, '{FENCE}', 1)) AS lang, trim(regexp_extract(body, '{FENCE}', 2), {SPACES}) AS code FROM {PART_SQL}))""")
 def answer_parts(spark: SparkSession, d: str) -> DataFrame:
-    found = long_answers(spark, d).select("id", F.posexplode(answer.parts(F.col("x"))).alias("ordinal", "p"))
-    return found.select("id", F.col("ordinal").cast("long").alias("ordinal"), "p.kind", "p.lang", F.sha2("p.body", 256).alias("body_sha256"))
+    return split_answers(spark, d).select("id", F.col("ordinal").cast("long").alias("ordinal"), "p.kind", "p.lang", F.sha2("p.body", 256).alias("body_sha256"))
 
 
 INLINE = r"(?m)\*\*.+?\*\*|`[^`]+`|^### .+$|^- .+"
@@ -650,8 +654,8 @@ INLINE = r"(?m)\*\*.+?\*\*|`[^`]+`|^### .+$|^- .+"
 FROM (SELECT id, ordinal, i, false AS matched, gaps[i] AS b FROM (SELECT id, ordinal, string_split_regex(body, '{INLINE}') AS gaps, unnest(range(1, len(gaps) + 1)) AS i FROM {PART_SQL} WHERE NOT matched)
   UNION ALL SELECT id, ordinal, i, true, hits[i] FROM (SELECT id, ordinal, regexp_extract_all(body, '{INLINE}') AS hits, unnest(range(1, len(hits) + 1)) AS i FROM {PART_SQL} WHERE NOT matched)) WHERE b <> ''""")
 def inline_markup(spark: SparkSession, d: str) -> DataFrame:
-    texts = long_answers(spark, d).select("id", F.posexplode(answer.parts(F.col("x"))).alias("ordinal", "p")).where("p.kind = 'text'")
-    found = texts.select("id", F.col("ordinal").cast("long").alias("ordinal"), F.posexplode(answer.markup(F.col("p.body"))).alias("at", "s"))
+    texts = split_answers(spark, d).where("p.kind = 'text'")
+    found = texts.select("id", F.col("ordinal").cast("long").alias("ordinal"), F.posexplode_outer(answer.markup(F.col("p.body"))).alias("at", "s"))
     return found.select("id", "ordinal", F.col("at").cast("long").alias("at"), "s.kind", "s.body")
 
 
