@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.shared import shared_dir, stored
 
-__all__ = ["WORD", "ascii_lower", "doc_key", "md5_key", "shared_dir", "stored", "table"]
+__all__ = ["WORD", "ascii_lower", "doc_key", "join_counted", "md5_key", "shared_dir", "stored", "table"]
 
 #: Maximal runs of these are the words of a text (ASCII separators; every other character is part of a word).
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -31,3 +31,18 @@ def md5_key(c: Column) -> Column:
 def doc_key(doc_id: Column, text: Column) -> Column:
     """Identifies a row by id and content, so that repeated ids with other texts stay apart."""
     return F.xxhash64(doc_id, text)
+
+
+#: Keys that hold more than a HEAVY-th of the rows are few enough to broadcast: at most HEAVY of them.
+HEAVY = 10_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, which is unique by ``keys`` and holds in ``n`` how many rows have the
+    key. Keys with more than a HEAVY-th of all these rows (at most HEAVY keys) are broadcast, so that the shuffle of the
+    rest has no hot key. Both sides are read twice: store them before."""
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    heavy = counted.where(F.col(n) * HEAVY > total)
+    light = counted.where(F.col(n) * HEAVY <= total)
+    hot = F.broadcast(heavy)  # under HEAVY rows
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(light, keys))
