@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP5_SQL, op5_chat_format
 from .conversation_repair import OP11_SQL, op11_conversation_repair
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .line_rules import OP12_SQL, op12_quality_rules
 from .minhash import op2_near_duplicates
 from .mixing import OP6_SQL, op6_mix_sources
 from .piecewise_hash import op10_fingerprints
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_fingerprints": op10_fingerprints,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_rules": op12_quality_rules,
 }
 ORACLES = {
     "op5_chat_format": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
     "op9_decontaminate": OP9_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op12_quality_rules": OP12_SQL,
 }
