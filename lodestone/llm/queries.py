@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_format
+from .collocations import OP13_SQL, op13_collocations
 from .conversation_repair import OP11_SQL, op11_conversation_repair
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .line_rules import OP12_SQL, op12_quality_rules
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_quality_rules": op12_quality_rules,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op5_chat_format": OP5_SQL,
@@ -35,4 +37,5 @@ ORACLES = {
     "op9_decontaminate": OP9_SQL,
     "op11_conversation_repair": OP11_SQL,
     "op12_quality_rules": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
