@@ -113,22 +113,22 @@ def phrase_hash(lang: str, phrase: str) -> int:
     return int(h[0])
 
 
-def bits_of(frequent: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, set at the hashes of the frequent phrases; built from words of 64 bits that tasks have merged."""
+def bits_of(frequent: DataFrame, n_bits: int) -> np.ndarray:
+    """So many bits, set at the hashes of the frequent phrases; built from words of 64 bits that tasks have merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.array([phrase_hash(lang, phrase) & (FILTER_BITS - 1) for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            at = np.array([phrase_hash(lang, phrase) & (n_bits - 1) for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["at", "bit"])
 
     rows = frequent.select("lang", "phrase").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits = np.zeros(n_bits // 64, np.uint64)
     bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return bits
 
 
 def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes & np.uint64(FILTER_BITS - 1)
+    place = hashes & np.uint64(64 * len(bits) - 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -141,7 +141,7 @@ def counted(vocabulary: Vocabulary, numbers: np.ndarray, k: int, bits: np.ndarra
     for j in range(1, k):
         fits &= numbers[j : n + j] >= 0
     if bits is not None:
-        h = np.array(vocabulary.hashes, np.uint64)[numbers]
+        h = np.array([*vocabulary.hashes, 0], np.uint64)[numbers]  # the last is that of separators
         shorter = h[: n + 1]
         for j in range(1, k - 1):
             shorter = following(shorter, h[j : n + 1 + j])
@@ -161,7 +161,7 @@ def counted(vocabulary: Vocabulary, numbers: np.ndarray, k: int, bits: np.ndarra
 
 def level(docs: DataFrame, k: int, before: DataFrame | None) -> DataFrame:
     """(lang, text) to lang, phrase, f: occurrences of phrases of k words of which ``before`` lets hope."""
-    shared = None if before is None else docs.sparkSession.sparkContext.broadcast(bits_of(before))
+    shared = None if before is None else docs.sparkSession.sparkContext.broadcast(bits_of(before, FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for vocabulary, numbers in chunks(batches):
