@@ -13,19 +13,53 @@ def _spaced(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(word, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
 
 
+def _more_tokens(word: Column) -> Column:
+    """The ``_`` parts and then the camel-case parts of a word, lower-case."""
+    none = F.array().cast("array<string>")
+    under = F.when(F.contains(word, F.lit("_")), F.array_remove(F.split(F.lower(word), "_"), "")).otherwise(none)
+    camel = F.split(_spaced(word), " ")
+    return F.concat(under, F.when(F.size(camel) > 1, F.transform(camel, F.lower)).otherwise(none))
+
+
 def identifier_tokens(text: Column) -> Column:
     """Lower-case tokens of ``[A-Za-z0-9_]+`` runs, each followed by its ``_`` parts and its camel-case parts; repeats stay."""
 
     def parts(word: Column) -> Column:
-        none = F.array().cast("array<string>")
-        under = F.when(F.contains(word, F.lit("_")), F.array_remove(F.split(F.lower(word), "_"), "")).otherwise(none)
-        camel = F.split(_spaced(word), " ")
-        camel = F.when(F.size(camel) > 1, F.transform(camel, F.lower)).otherwise(none)
-        return F.concat(F.array(F.lower(word)), under, camel)
+        # Most words of prose have none; a word is only searched if it may.
+        plain = (word == F.lower(word)) & ~F.contains(word, F.lit("_"))
+        return F.when(plain, F.array(word)).otherwise(F.concat(F.array(F.lower(word)), _more_tokens(word)))
 
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0)), parts))
 
 
+#: A word that has parts: an underscore, a capital after a small letter or digit, or two capitals before a small letter.
+COMPOUND = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]*?(?:_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z])[A-Za-z0-9_]*"
+
+
+def identifier_words(text: Column) -> Column:
+    """The tokens of ``identifier_tokens`` in another order, for counting: all words of the lowered text, then the parts
+    of its compound words. Two passes over the text in place of several expressions a word."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9_]+"), F.lit(0))
+    return F.concat(words, F.flatten(F.transform(F.regexp_extract_all(text, F.lit(COMPOUND), F.lit(0)), _more_tokens)))
+
+
+def counted(words: Column) -> Column:
+    """array<struct<term, tf>> of an array's distinct words, from the runs of the sorted array."""
+
+    def runs(ws: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (i == 0) | (F.get(ws, i) != F.get(ws, i - 1)))
+        tf = lambda at: lambda s, k: F.struct(F.get(ws, s).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ws)) - s).cast("long").alias("tf"))
+        return bound(starts, lambda at: F.transform(at, tf(at)))
+
+    return F.when(F.size(words) > 0, bound(F.sort_array(words), runs))
+
+
+def bound(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with the value computed once: it is the variable of a transform over one element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def filename_mentions(text: Column) -> Column:
     """Distinct lower-case file names in a question: a known source extension, or ``.lock``."""
     names = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)[\w\-]+\.[A-Za-z0-9]{1,8}"), F.lit(0)), F.lower)

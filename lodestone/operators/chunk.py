@@ -56,21 +56,25 @@ def split_long(chunks: DataFrame, most: int = DEFAULTS.max_chunk_chars, carried:
     return d.where(~(F.col("tail") & only_comments(F.col("content")))).drop("tail")
 
 
-def python_definitions(source: str) -> list[tuple[int, int, str, str, str | None]] | None:
+def is_code(line: str) -> bool:
+    return bool(line.strip()) and not line.strip().startswith(("#", "//"))
+
+
+def python_definitions(source: str, stem: str = "module") -> list[tuple[int, int, str, str, str | None]] | None:
     """(first line, last line, name, kind, parent) of top-level functions, classes (their head) and methods; runs of
-    two or more code lines between them as ``module``. None where the source does not parse."""
+    two or more code lines between them as ``module``, called by the file's ``stem``. None where the source does not
+    parse, or nests too deep for the parser."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     text = source.split("\n")
     first = lambda n: min([n.lineno, *[d.lineno for d in getattr(n, "decorator_list", [])]])
-    is_code = lambda s: bool(s.strip()) and not s.strip().startswith(("#", "//"))
     out, done = [], 0
 
     def gap(upto: int) -> None:
         if sum(map(is_code, text[done:upto])) >= 2:
-            out.append((done + 1, upto, f"L{done + 1}", "module", None))
+            out.append((done + 1, upto, stem, "module", None))
 
     for node in tree.body:
         if not isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
@@ -94,89 +98,194 @@ def python_definitions(source: str) -> list[tuple[int, int, str, str, str | None
     return out
 
 
-_QUIET = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+_TOKEN = re.compile(r"""//[^\n]*|/\*(?:.*?\*/|.*)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[\w$]+|\s+|.""", re.S)
+_TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*", re.S)
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+#: Words after which a slash begins a regular expression; after other words, numbers, ``)`` and ``]`` it divides.
+_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield"}
+
+
+def quiet(source: str) -> str:
+    """JavaScript or TypeScript with its comments, strings, regular expressions and the texts of its templates blanked, line
+    feeds kept; what stands in ``${}`` stays, with its brackets. A quote that its line does not close (as in the text of a
+    tag) is a character like any other, and ``://`` begins no comment."""
+    out, at, before, open_ = [], 0, "", []  # open_: for each open brace, whether it is a template's
+    blank = lambda s: re.sub(r"[^\n]", " ", s)
+
+    def template(at: int) -> int:
+        text = _TEMPLATE.match(source, at)[0]
+        out.append(blank(text))
+        at += len(text)
+        if source.startswith("${", at):
+            open_.append(True)
+            out.append(" {")
+            return at + 2
+        out.append(" " * (at < len(source)))
+        return at + 1
+
+    while at < len(source):
+        token = _TOKEN.match(source, at)[0]
+        if token[0] == "`":
+            out.append(" ")
+            at, before = template(at + 1), "x"
+            continue
+        if token == "/" and (not before or before in _BEFORE_REGEX or not (before[-1].isalnum() or before[-1] in "_$)]\"'")) and (found := _REGEX.match(source, at)):
+            token = found[0]
+            out.append(blank(token))
+            before = "x"
+        elif token == "}" and open_ and open_.pop():
+            out.append("}")
+            at, before = template(at + 1), "x"
+            continue
+        elif token[:2] == "//" and source[at - 1 : at] == ":":
+            token = "//"
+            out.append(token)
+        elif token[:2] in ("//", "/*") and len(token) > 1:
+            out.append(blank(token))
+        elif token[0] in "\"'" and len(token) > 1:
+            out.append(blank(token))
+            before = token
+        else:
+            if token == "{":
+                open_.append(False)
+            out.append(token)
+            before = token if not token.isspace() else before
+        at += len(token)
+    return "".join(out)
+
+
 _VALUE = r"=\s*(?:async\s*)?(?:function\b|\([^)]*\)[^=;{]*=>|[\w$]+\s*=>)"
 _TOP = re.compile(
-    r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:(?:async|abstract)\s+)*"
-    r"(?:(?P<function>function)\s*\*?\s*(?P<f>[\w$]*)|(?P<class>class)\s+(?P<c>[\w$]+)|(?P<interface>interface)\s+(?P<i>[\w$]+)|(?:const\s+)?(?P<enum>enum)\s+(?P<e>[\w$]+)"
-    r"|(?P<type>type)\s+(?P<t>[\w$]+)[^=;{]*=|(?:const|let|var)\s+(?P<v>[\w$]+)[^=;{]*" + _VALUE + ")"
-)
+    r"[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:(?:async|abstract)\s+)*"
+    r"(?:(?P<function>function)\b\s*\*?\s*(?P<f>[\w$]*)|(?P<class>class)\b\s*(?P<c>(?!extends\b|implements\b)[\w$]*)|(?P<interface>interface)\s+(?P<i>[\w$]+)|(?:const\s+)?(?P<enum>enum)\s+(?P<e>[\w$]+)"
+    r"|(?P<space>namespace|module)\s+(?P<n>[\w$.]+)\s*\{|(?P<type>type)\s+(?P<t>[\w$]+)[^=;{]*=|(?:const|let|var)\s+(?P<v>[\w$]+)[^=;{]*" + _VALUE
+    + r"|(?:const|let|var)\s+(?P<w>[\w$]+)[^=;{(]*=\s*(?:await\s+)?[\w$.]+\s*(?:<[^>\n]*>)?\(|(?:module\s*\.\s*)?exports(?:\.(?P<x>[\w$]+))?\s*" + _VALUE + r"|[\w$.]+\.prototype\.(?P<p>[\w$]+)\s*" + _VALUE
+    + r"|export\s+default\s+(?P<d>(?:async\s+)?\([^)]*\)[^=;{]*=>|[\w$.]+\())"
+)
 _MEMBER = re.compile(r"[ \t]*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)[ \t]+)*\*?[ \t]*(?P<name>#?[\w$]+)\s*(?:(?:<[^>\n]*>)?\(|(?::[^=\n]+)?" + _VALUE + ")")
 _CONTINUED = re.compile(r"\s*[.?:&|+)]")
+_BRACKET = re.compile(r"[()\[\]{}\n]")
+_END = re.compile(r"[()\[\]{};\n]|[^\s()\[\]{};]+")
 _NO_MEMBER = {"if", "for", "while", "switch", "catch", "return", "function", "super", "new", "await", "throw"}
 
 
-def script_definitions(source: str) -> list[tuple[int, int, str, str, str | None]] | None:
-    """The same of JavaScript and TypeScript, with interfaces, enums, types and constants that hold a function: a scan
-    of brackets outside strings and comments. None where the brackets do not match."""
-    quiet = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-    text = source.split("\n")
-    starts = [0]
-    for line in text:
-        starts.append(starts[-1] + len(line) + 1)
-    depth, depths, line = 0, [0], 0
-    for ch in quiet:
-        depth += (ch in "([{") - (ch in ")]}")
-        if depth < 0:
-            return None
-        if ch == "\n":
-            depths.append(depth)
-    if depth:
-        return None
+class _Script:
+    """A script's lines, its blanked text, and how deep in brackets each line begins.
+
+    Where the brackets of the file do not match, a definition that begins without indentation begins at depth 0: what
+    stands open before it is lost to the definition it stands in, and to no other."""
 
-    def end_of(at: int, body: bool) -> int:
+    def __init__(self, source: str):
+        self.text, self.quiet = source.split("\n"), quiet(source)
+        self.starts = [0]
+        for line in self.text:
+            self.starts.append(self.starts[-1] + len(line) + 1)
+        self.resumed: list[int] = []
+        self.depths, closed = self._depths(False)
+        if not closed:
+            self.depths, _ = self._depths(True)
+
+    def _depths(self, resume: bool) -> tuple[list[int], bool]:
+        depth, depths, good = 0, [0], True
+        for m in _BRACKET.finditer(self.quiet):
+            if m[0] == "\n":
+                if resume and depth and self.quiet[m.end() : m.end() + 1].strip() and _TOP.match(self.quiet, m.end()):
+                    depth = 0
+                    self.resumed.append(len(depths))
+                depths.append(depth)
+            else:
+                depth += 1 if m[0] in "([{" else -1
+                if depth < 0:
+                    depth, good = 0, False
+        return depths, good and not depth
+
+    def end_of(self, at: int, body: bool, limit: int) -> int:
         """The line (from 1) on which what begins at ``at`` ends: by the bracket that closes its body, a semicolon, or,
-        without a body, the end of a line that nothing continues."""
-        level, i, said = 0, at, False
-        while i < len(quiet):
-            ch = quiet[i]
-            level += (ch in "([{") - (ch in ")]}")
-            said = said or not ch.isspace()
-            if level == 0 and (ch == "}" or ch == ";") or not body and level == 0 and said and ch == "\n" and not _CONTINUED.match(quiet, i):
-                return bisect.bisect_right(starts, i)
-            i += 1
-        return len(text)
-
-    is_code = lambda s: bool(s.strip()) and not s.strip().startswith(("#", "//"))
-    out, done, line = [], 0, 0
+        without a body, the end of a line that nothing continues; not beyond line ``limit``."""
+        level, said, stop = 0, False, self.starts[limit]
+        for m in _END.finditer(self.quiet, at, stop):
+            ch = m[0]
+            if ch in ("(", "[", "{"):
+                level += 1
+            elif ch in (")", "]", "}"):
+                level -= 1
+                if level < 0:
+                    return bisect.bisect_right(self.starts, m.start())
+            if ch != "\n":
+                said = True
+            if level == 0 and ch in ("}", ";") or not body and level == 0 and said and ch == "\n" and not _CONTINUED.match(self.quiet, m.start()):
+                return bisect.bisect_right(self.starts, m.start())
+        return limit
 
-    def gap(upto: int) -> None:
-        if sum(map(is_code, text[done:upto])) >= 2:
-            out.append((done + 1, upto, f"L{done + 1}", "module", None))
+    def definitions(self, first_line: int, last_line: int, depth: int, stem: str) -> list[tuple[int, int, str, str, str | None]]:
+        """Those of lines first_line (from 0) to last_line that stand ``depth`` deep, and the code between them."""
+        out: list[tuple[int, int, str, str, str | None]] = []
+        done = line = first_line
 
-    def head(a: int, b: int, name: str) -> None:
-        if a <= b and any(map(is_code, text[a - 1 : b])):
-            out.append((a, b, name, "class", None))
+        def between(upto: int) -> None:
+            if sum(map(is_code, self.text[done:upto])) >= 2:
+                out.append((done + 1, upto, stem, "module", None))
 
-    while line < len(text):
-        found = _TOP.match(quiet, starts[line]) if depths[line] == 0 else None
-        if not found:
-            line += 1
-            continue
-        kind = next((k for k in ("function", "class", "interface", "enum", "type") if found[k]), "function")
-        name = next((found[k] for k in "fcietv" if found[k]), None) or "default"
-        braced = not (found["t"] or found["v"]) or quiet[found.end() :].lstrip().startswith("{") or found[0].endswith("function")
-        first, last = line, end_of(found.end() if found["t"] or found["v"] else found.start(), braced)
-        while first > done and text[first - 1].startswith("@"):
-            first -= 1
-        gap(first)
-        if kind == "class":
-            at, inner = first + 1, line + 1
-            while inner < last:
-                member = _MEMBER.match(quiet, starts[inner]) if depths[inner] == 1 else None
-                if member and member["name"] not in _NO_MEMBER:
-                    stop = end_of(member.start(), True)
-                    head(at, inner, name)
-                    out.append((inner + 1, stop, member["name"], "method", name))
-                    at, inner = stop + 1, stop
-                else:
-                    inner += 1
-            head(at, last, name)
-        else:
-            out.append((first + 1, last, name, kind, None))
-        done = line = last
-    gap(len(text))
-    return out
+        while line < last_line:
+            found = _TOP.match(self.quiet, self.starts[line]) if self.depths[line] == depth else None
+            if not found:
+                line += 1
+                continue
+            limit = next((i for i in self.resumed if line < i < last_line), last_line)
+            kind = next((k for k in ("function", "class", "interface", "enum", "type", "space") if found[k]), "function")
+            name = next((found[k] for k in "fcietvwxpn" if found[k]), None) or "default"
+            valued = found["t"] or found["v"] or found["x"] or found["p"] or (found["d"] or "").endswith("=>")
+            called = found["w"] or (found["d"] or "").endswith("(")
+            braced = not (valued or called) or self.quiet[found.end() :][:200].lstrip().startswith("{") or found[0].endswith("function")
+            start = found.end() if valued else found.end() - 1 if called or kind == "space" else found.start()
+            last = self.end_of(start, braced, limit)
+            if called and not re.search(r"=>|\bfunction\b", self.quiet[found.start() : self.starts[last]]):
+                line += 1  # a call that is given no function
+                continue
+            first = line
+            while first > done and self.text[first - 1].lstrip().startswith("@"):
+                first -= 1
+            between(first)
+            if kind == "space":
+                out += self.definitions(line + 1, last - 1, depth + 1, stem)
+            elif kind == "class":
+                out += self.members(first, line, last, name, depth + 1)
+            else:
+                out.append((first + 1, last, name, kind, None))
+            done = line = max(last, line + 1)
+        between(last_line)
+        return out
+
+    def members(self, first: int, line: int, last: int, name: str, depth: int) -> list[tuple[int, int, str, str, str | None]]:
+        """A class's methods, and the lines before, between and after them as pieces of the class."""
+        out: list[tuple[int, int, str, str, str | None]] = []
+        at, inner = first + 1, line + 1
+
+        def head(a: int, b: int) -> None:
+            if a <= b and any(map(is_code, self.text[a - 1 : b])):
+                out.append((a, b, name, "class", None))
+
+        while inner < last:
+            member = _MEMBER.match(self.quiet, self.starts[inner]) if self.depths[inner] == depth else None
+            if member and member["name"] not in _NO_MEMBER:
+                stop = self.end_of(member.start(), True, last)
+                begin = inner
+                while begin > at - 1 and self.text[begin - 1].lstrip().startswith("@"):
+                    begin -= 1
+                head(at, begin)
+                out.append((begin + 1, stop, member["name"], "method", name))
+                at, inner = stop + 1, max(stop, inner + 1)
+            else:
+                inner += 1
+        head(at, last)
+        return out
+
+
+def script_definitions(source: str, stem: str = "module") -> list[tuple[int, int, str, str, str | None]]:
+    """The same of JavaScript and TypeScript, with interfaces, enums, types, constants that hold a function or the result
+    of a call that is given one, exported functions and what stands in namespaces."""
+    script = _Script(source)
+    return script.definitions(0, len(script.text), 0, stem)
 
 
 def syntax_chunks(files: DataFrame) -> DataFrame:
@@ -189,7 +298,8 @@ def syntax_chunks(files: DataFrame) -> DataFrame:
             rows = []
             for path, content, language in zip(batch["path"], batch["content"], batch["language"], strict=True):
                 text = (content or "").replace("\r\n", "\n").replace("\r", "\n")
-                found = python_definitions(text) if language == "python" else script_definitions(text)
+                stem = path.replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                found = python_definitions(text, stem) if language == "python" else script_definitions(text, stem)
                 ls = text.split("\n")
                 if not found:
                     rows.append((path, 1, len(ls), path, "unparsed", None, text))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.params import DEFAULTS, Params
 from lodestone.sources.shared import stored
 
 from .lexical import Index, best
+from .order import numbered
 from .vector import nearest
 
 
@@ -28,18 +29,18 @@ def force_include(ranking: DataFrame, matches: DataFrame, k: int) -> DataFrame:
     them go first, in their order, and push the tail out beyond max(k, number forced)."""
     top = ranking.where(F.col("rank") <= k).select("id", F.lit(1).alias("part"), F.col("rank").alias("at"))
     extra = matches.join(top, "id", "left_anti").select("id", F.lit(0).alias("part"), F.col("ordinal").alias("at"))
-    both = extra.unionByName(top).withColumn("position", F.row_number().over(Window.orderBy("part", "at", "id")))
+    both = numbered(extra.unionByName(top), "position", "part", "at", "id")
     most = matches.agg(F.greatest(F.lit(k), F.count("*")).alias("most"))
-    return both.crossJoin(F.broadcast(most)).where("position <= most").select("id", "position")
+    return both.crossJoin(F.broadcast(most)).where("position <= most").select("id", F.col("position").cast("int").alias("position"))
 
 
-def hybrid(index: Index, vectors: DataFrame, questions: DataFrame, queries: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(query_id, doc_id, rank, fused_score, score): vector and keyword candidates, fused; the shown score is the
+def hybrid(index: Index, vectors: DataFrame, questions: DataFrame, queries: DataFrame, p: Params = DEFAULTS, most: int | None = None) -> DataFrame:
+    """(query_id, doc_id, rank, fused_score, score), the first ``most`` (by default top_k): vector and keyword candidates, fused; the shown score is the
     similarity where there is one, else 1 / rank."""
     n = p.top_k * p.candidates
     by_vector = stored(nearest(vectors, queries, n).withColumnRenamed("vec_id", "id"), "nearest")  # n rows a query
     by_words = index.search(questions, n).withColumnRenamed("doc_id", "id")
     fused = rrf([by_vector, by_words], p.rrf_k)
-    top = best(fused, p.top_k, F.col("fused").desc(), F.col("first_list"), F.col("first_rank"))
+    top = best(fused, most or p.top_k, F.col("fused").desc(), F.col("first_list"), F.col("first_rank"))
     shown = top.join(by_vector.select("query_id", "id", "similarity"), ["query_id", "id"], "left")
     return shown.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("fused", 9).alias("fused_score"), F.round(F.coalesce("similarity", 1.0 / F.col("rank")), 6).alias("score"))

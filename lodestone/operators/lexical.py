@@ -1,29 +1,46 @@
-"""BM25 over an inverted index: postings ordered by term and a row per term, both tables. Documents are tokenised once,
-when the index is built; a search reads the postings of its terms only."""
+"""BM25 over an inverted index: postings and a row per term, both tables. Documents are tokenised once, when the index is
+built; a search reads the postings of its terms only. Counts are sums, so indexes of parts add up to that of the whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import identifier_tokens
+from lodestone.functions.text import counted, identifier_tokens, identifier_words
 from lodestone.params import DEFAULTS, Params
-from lodestone.sources.shared import stored
+from lodestone.sources.shared import once, spread, stored
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf, doc_len): one shuffle by (document, term), counted map-side first."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), identifier_tokens(F.col(text)).alias("tokens"))
-    return tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term")).groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, term, tf, doc_len), doc_id unique: a document's tokens are counted within its row, nothing is shuffled."""
+    words = docs.select(F.col(doc_id).alias("doc_id"), identifier_words(F.col(text)).alias("words"))
+    # Outer: the filter that Spark infers from an inner explode would compute every array a second time.
+    rows = words.select("doc_id", F.size("words").alias("doc_len"), F.explode_outer(counted(F.col("words"))).alias("t"))
+    return rows.where("t is not null").select("doc_id", "doc_len", "t.term", "t.tf")
 
 
-def term_stats(posted: DataFrame, n_docs: Column | int, p: Params = DEFAULTS) -> DataFrame:
-    """(term, df, raw_idf, idf): a negative idf becomes epsilon times the mean over the vocabulary."""
-    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    df = df.withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw_idf").alias("mean_idf"))  # one row
-    return df.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw_idf") < 0, F.col("mean_idf") * p.bm25_epsilon).otherwise(F.col("raw_idf"))).drop("mean_idf")
+def by_term(posted: DataFrame) -> DataFrame:
+    """In ranges of (term, document): a search by term reads a few files' row groups, and a frequent term takes several
+    ranges."""
+    return posted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
+def term_counts(posted: DataFrame) -> DataFrame:
+    return posted.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def raw_idf(n_docs: int) -> Column:
+    return F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def mean_idf(terms: DataFrame, n_docs: int) -> float:
+    return terms.agg(F.avg(raw_idf(n_docs))).first()[0] or 0.0
+
+
+def with_idf(terms: DataFrame, n_docs: int, mean: float, p: Params = DEFAULTS) -> DataFrame:
+    """(term, df) with raw_idf and idf: a negative idf becomes epsilon times the mean over the vocabulary."""
+    rows = terms.withColumn("raw_idf", raw_idf(n_docs))
+    return rows.withColumn("idf", F.when(F.col("raw_idf") < 0, F.lit(mean * p.bm25_epsilon)).otherwise(F.col("raw_idf")))
 
 
 class Index:
@@ -34,10 +51,16 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, p: Params = DEFAULTS) -> Index:
-        posted = stored(postings(docs).repartition("term").sortWithinPartitions("term"), "postings")
+        posted = stored(postings(spread(docs)), "postings")
+        terms = stored(term_counts(posted), "terms")
         n = docs.count()
         words = posted.agg(F.sum("tf")).first()[0] or 0
-        return cls(posted, stored(term_stats(posted, n, p), "terms"), words / max(n, 1), p)
+        return cls(posted, with_idf(terms, n, mean_idf(terms, n), p), words / max(n, 1), p)
+
+    @classmethod
+    def of_table(cls, docs: DataFrame, p: Params = DEFAULTS) -> Index:
+        """The index of a table's rows, built once while its files stay the same."""
+        return once(docs, f"bm25-{p}", lambda: cls.build(docs, p))
 
     def search(self, questions: DataFrame, k: int) -> DataFrame:
         """(query_id, term, qtf) to (query_id, doc_id, score, rank), the best k of each query. The terms of the

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import extension
 from lodestone.params import DEFAULTS, STARTERS
 
 
@@ -22,6 +23,17 @@ def sizes(files: DataFrame, by: list[str]) -> DataFrame:
     return files.groupBy(*by).agg(F.count("*").alias("files"), F.sum(F.col("length").cast("long")).alias("bytes"))
 
 
+def chunk_counts(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, chunks, lines) of chunks with their first and last line."""
+    return chunks.groupBy(*by).agg(F.count("*").alias("chunks"), F.sum((F.col("end_line") - F.col("start_line") + 1).cast("long")).alias("lines"))
+
+
+def top_extensions(paths: DataFrame, most: int = 15) -> DataFrame:
+    """(extension, files): the most frequent extensions of all walked paths, ties by extension."""
+    counts = paths.select(extension(F.col("path")).alias("extension")).where("extension != ''").groupBy("extension").agg(F.count("*").alias("files"))
+    return counts.orderBy(F.desc("files"), "extension").limit(most)
+
+
 def listed(chunks: DataFrame, by: list[str], most: dict[str, int] | None = None) -> DataFrame:
     """(*by, files, functions, classes): the first distinct paths by name, and the first names of functions (methods
     too) and classes by path and line. Ranks are cut before rows come together, so a row gathers ``most`` at most."""

@@ -37,6 +37,10 @@ SKIP_DIRS = [
     ".pytest_cache", ".ruff_cache", "coverage", ".cache", ".parcel-cache", ".turbo", "vendor", "third_party", ".idea", ".vscode", ".gradle", ".dart_tool",
 ]
 AST_LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript"}
+DISPLAY_LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust", ".java": "java", ".rb": "ruby", ".php": "php",
+    ".c": "c", ".cpp": "cpp", ".html": "html", ".css": "css", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".md": "markdown", ".sql": "sql", ".sh": "bash",
+}
 TEXT_EXTENSIONS = [
     ".c", ".h", ".cpp", ".cc", ".hpp", ".java", ".go", ".rs", ".rb", ".php", ".swift", ".kt", ".scala", ".lua", ".sh", ".bash", ".sql", ".graphql", ".proto",
     ".html", ".css", ".scss", ".vue", ".svelte", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".json", ".json5", ".jsonc", ".md", ".rst", ".txt",

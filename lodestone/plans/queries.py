@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import answer
 from lodestone.functions import text as t
-from lodestone.operators import chunk, context, fusion, ivf, lexical, repository, vector
-from lodestone.params import DEFAULTS, GENERATED_SUFFIXES, LOCK_FILES, SKIP_DIRS, SKIP_EXTENSIONS, SOURCE_EXTENSIONS, STARTERS
+from lodestone.operators import chunk, context, filenames, fusion, ivf, lexical, repository, vector
+from lodestone.operators.order import numbered
+from lodestone.params import DEFAULTS, DISPLAY_LANGUAGES, GENERATED_SUFFIXES, LOCK_FILES, SKIP_DIRS, SKIP_EXTENSIONS, SOURCE_EXTENSIONS, STARTERS
 from lodestone.sources import embed, store, walk
+from lodestone.sources.shared import spread
 from lodestone.streaming import limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +81,7 @@ IDENTIFIERS = [(-1, "handleSubmit handle_submit"), (-2, "HTTPServer XMLHttpReque
 @query(f"""SELECT id, len(ts) AS n_tokens, array_to_string(ts, ' ') AS tokens FROM (SELECT id, {tok("x")} AS ts FROM (
   SELECT doc_id AS id, text AS x FROM documents UNION ALL SELECT -100 - n_nationkey, n_name FROM nation UNION ALL SELECT * FROM (VALUES {values(IDENTIFIERS)})))""")
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("x"))
+    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("x"))
     rows = rows.unionByName(table(spark, d, "nation").select((-100 - F.col("n_nationkey")).cast("long").alias("id"), F.col("n_name").alias("x")))
     rows = rows.unionByName(spark.createDataFrame(IDENTIFIERS, "id long, x string")).withColumn("ts", t.identifier_tokens(F.col("x")))
     return rows.select("id", F.size("ts").cast("long").alias("n_tokens"), F.array_join("ts", " ").alias("tokens"))
@@ -119,7 +121,7 @@ def question_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_index(spark: SparkSession, d: str) -> lexical.Index:
-    return lexical.Index.build(table(spark, d, "documents"))
+    return lexical.Index.of_table(table(spark, d, "documents"))
 
 
 @query(f"WITH {BM25_CTE} SELECT term, df, round(raw_idf, 6) AS raw_idf, round(idf, 6) AS idf FROM stats")
@@ -195,37 +197,42 @@ def knn_cells(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- file names in questions, forced results
 
-QUESTIONS = [(1, "What is in package.json and in mapStore.ts?"), (2, "Does Next.js 2.0 matter, e.g. for a.py?"), (3, "see poetry.lock, README.md, readme.MD"), (4, "no names here"), (5, "Où est naïve-été.py ?")]
-NAMES = [(1, "src/data.py"), (2, "web/package.json"), (3, "web\\lib\\Next.js"), (4, "docs/README.md"), (5, "a.py"), (6, "deep/mapstore.ts.txt")]
+# Every turn of every conversation as a question that names files; every page's path, with its extension or .py, as a file.
 KNOWN = sql_list([e[1:] for e in [*SOURCE_EXTENSIONS, ".lock"]])
-MENTIONS = rf"""SELECT DISTINCT qid, n AS name FROM (SELECT qid, lower(unnest(regexp_extract_all(question, '[\pL\pN_\-]+\.[A-Za-z0-9]{{1,8}}'))) AS n FROM (VALUES {values(QUESTIONS)}) x(qid, question)) WHERE string_split(n, '.')[-1] IN {KNOWN}"""
-MATCHES = rf"""m AS ({MENTIONS}), b AS (SELECT fid, lower(string_split(replace(path, '\', '/'), '/')[-1]) AS base FROM (VALUES {values(NAMES)}) x(fid, path))"""
+ASKS = "text || ' In ' || (conv_id * 37 + turn) % 1000 || '.html, ' || substr(lower(role), 1, 4) || '-' || turn || '.TSX or ' || (conv_id % 100) || '.py? Not v' || turn || '.0, e.g. été_' || (conv_id % 7) || '.md.'"
+MENTIONS = rf"""SELECT DISTINCT conv_id, turn, n AS name FROM (SELECT conv_id, turn, lower(unnest(regexp_extract_all(q, '[\pL\pN_\-]+\.[A-Za-z0-9]{{1,8}}'))) AS n FROM (SELECT conv_id, turn, {ASKS} AS q FROM conversations)) WHERE string_split(n, '.')[-1] IN {KNOWN}"""
+PAGE_FILES = r"""(SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/+$', ''), '(^|/)([^./]*)$', '\1\2.py') AS file_path FROM pages)"""
+MATCHES = rf"""m AS ({MENTIONS}), b AS (SELECT page_id, file_path, lower(string_split(file_path, '/')[-1]) AS base FROM {PAGE_FILES}), g AS (SELECT DISTINCT name, base FROM (SELECT DISTINCT name FROM m) JOIN (SELECT DISTINCT base FROM b) ON contains(base, name))"""
 
 
-def mentions(spark: SparkSession) -> DataFrame:
-    q = spark.createDataFrame(QUESTIONS, "qid int, question string")
-    return q.select("qid", F.explode(t.filename_mentions(F.col("question"))).alias("name"))
+def turn_questions(spark: SparkSession, d: str) -> DataFrame:
+    c = lambda x: x.cast("string")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    asks = F.concat("text", F.lit(" In "), c((conv * 37 + turn) % 1000), F.lit(".html, "), F.substring(F.lower("role"), 1, 4), F.lit("-"), c(turn), F.lit(".TSX or "), c(conv % 100), F.lit(".py? Not v"), c(turn), F.lit(".0, e.g. été_"), c(conv % 7), F.lit(".md."))
+    return table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), asks.alias("question"))
 
 
-def mentioned_files(spark: SparkSession) -> DataFrame:
-    """By substring of the base name. The names of one question are the small side, at most as long as a question."""
-    base = spark.createDataFrame(NAMES, "fid int, path string").select("fid", t.basename(F.col("path")).alias("base"))
-    return base.join(F.broadcast(mentions(spark)), F.contains(F.col("base"), F.col("name")))
+def page_files(spark: SparkSession, d: str) -> DataFrame:
+    path = F.regexp_replace("url", "^https?://", "")
+    for pattern, to in ((r"[?#].*$", ""), ("/+$", ""), (r"(^|/)([^./]*)$", "$1$2.py")):
+        path = F.regexp_replace(path, pattern, to)
+    return table(spark, d, "pages").select("page_id", path.alias("file_path"))
 
 
 @query(MENTIONS)
 def filename_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return mentions(spark)
+    return filenames.mentions(turn_questions(spark, d)).select("query_id.*", "name")
 
 
-@query(f"WITH {MATCHES} SELECT DISTINCT qid, fid FROM m JOIN b ON contains(base, name)")
+@query(f"WITH {MATCHES} SELECT DISTINCT conv_id, turn, page_id FROM m JOIN g USING (name) JOIN b USING (base)")
 def filename_match(spark: SparkSession, d: str) -> DataFrame:
-    return mentioned_files(spark).select("qid", "fid").distinct()
+    """By substring of the base name, through its trigrams."""
+    return filenames.matched_files(filenames.mentions(turn_questions(spark, d)), page_files(spark, d)).select("query_id.*", "page_id").distinct()
 
 
-@query(f"WITH {MATCHES} SELECT qid, name FROM m WHERE NOT EXISTS (SELECT 1 FROM b WHERE contains(base, name))")
+@query(f"WITH {MATCHES} SELECT conv_id, turn, name FROM m WHERE name NOT IN (SELECT name FROM g)")
 def filename_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    return mentions(spark).join(mentioned_files(spark).select("name").distinct(), "name", "left_anti").select("qid", "name")
+    return filenames.unmatched(filenames.mentions(turn_questions(spark, d)), page_files(spark, d)).select("query_id.*", "name")
 
 
 @query("""WITH top AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), forced AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS ordinal FROM documents WHERE contains(lower(text), 'license')),
@@ -235,7 +242,7 @@ def force_include(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     best = lexical.ranked(docs.select(F.col("doc_id").alias("id"), "n_chars"), 12, F.col("n_chars").desc(), F.col("id"))
     forced = docs.where(F.contains(F.lower("text"), F.lit("license"))).select(F.col("doc_id").alias("id"))
-    return fusion.force_include(best, forced.withColumn("ordinal", F.row_number().over(Window.orderBy("id"))), 12)
+    return fusion.force_include(best, numbered(forced, "ordinal", "id"), 12)
 
 
 # ---- chunks
@@ -293,31 +300,56 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).select("chunk_id", "file_path", "start_line")
 
 
-PROGRAMS = [(".py", "python", "def words_%s():", "    # ", "    return 1"), (".ts", "typescript", "export const words_%s = () => {", "  // ", "}")]
+# A program of each kind around each document's lines ({0}: its id); None stands for the lines, as comments.
+PY_LINES = ["import os", "import sys", "", "def words_{0}():", None, "    return 1", "", "@decorated", "class C{0}(Base):", "    x = 1", "    def first(self):", "        return 1", "    def second(self):", "        return 2", "    y = 2", "LIMIT = 1", "OTHER = 2"]
+TS_LINES = ['import a from "a";', "const re = /[({{]/;", "export const words_{0} = () => {{", None, "}};", "@Injectable()", "export class C{0} {{", "  x = `a ${{b(`}}`)}} c`;", "  first(a) {{", "    return a / 2;", "  }}", "  second = async () => {{", "  }};", "}}", "exports.run{0} = function () {{", "  return 1;", "}};"]
+#: Of each program's chunks the first and last line, counted with one line for the document, name, kind and parent.
+PY_CHUNKS = [(1, 3, "{0}", "module", None), (4, 6, "words_{0}", "function", None), (8, 10, "C{0}", "class", None), (11, 12, "first", "method", "C{0}"), (13, 14, "second", "method", "C{0}"), (15, 15, "C{0}", "class", None), (16, 17, "{0}", "module", None)]
+TS_CHUNKS = [(1, 2, "{0}", "module", None), (3, 5, "words_{0}", "function", None), (6, 8, "C{0}", "class", None), (9, 11, "first", "method", "C{0}"), (12, 13, "second", "method", "C{0}"), (14, 14, "C{0}", "class", None), (15, 17, "run{0}", "function", None)]
+PROGRAMS = [(".py", "python", "    # ", PY_LINES, PY_CHUNKS), (".ts", "typescript", "  // ", TS_LINES, TS_CHUNKS)]
 
 
-def _program_sql(ext: str, head: str, mark: str, tail: str) -> str:
-    before, after = head.split("%s")
-    body = f"{quoted(before)} || doc_id || {quoted(after)} || chr(10) || array_to_string(list_transform(ls, lambda l: {quoted(mark)} || l), chr(10)) || chr(10) || {quoted(tail)}"
-    return f"""SELECT doc_id || '{ext}' AS path, 1 AS start_line, CAST(len(ls) + 2 AS INTEGER) AS end_line, 'words_' || doc_id AS name, 'function' AS chunk_type, sha256({body}) AS content_sha256
-      FROM (SELECT doc_id, string_split(content, chr(10)) AS ls FROM {FILES})"""
+def _with_id(text: str | None) -> str:
+    """SQL of a text with the document's id in it."""
+    return "NULL" if text is None else " || ".join(f"{quoted(x)}" for x in text.format("\0").split("\0")).replace(" || ", " || doc_id || ")
 
 
-def marked(mark: str) -> Callable:
-    return lambda line: F.concat(F.lit(mark), line)
+def _program_sql(ext: str, mark: str, program: list[str | None], chunks: list[tuple]) -> str:
+    at = program.index(None) + 1
+    whole = f"list_concat([{', '.join(_with_id(x) for x in program[: at - 1])}], list_concat(list_transform(ls, lambda l: {quoted(mark)} || l), [{', '.join(_with_id(x) for x in program[at:])}]))"
+    n = lambda line: f"{line} + len(ls) - 1" if line >= at else str(line)
+    rows = [f"SELECT doc_id || '{ext}' AS path, CAST({n(a)} AS INTEGER) AS start_line, CAST({n(b)} AS INTEGER) AS end_line, {_with_id(name)} AS name, '{kind}' AS chunk_type, {_with_id(parent)} AS parent, sha256(array_to_string(p[{n(a)} : {n(b)}], chr(10))) AS content_sha256 FROM p" for a, b, name, kind, parent in chunks]
+    return f"(WITH p AS (SELECT doc_id, ls, {whole} AS p FROM (SELECT doc_id, string_split(content, chr(10)) AS ls FROM {FILES})) {' UNION ALL '.join(rows)})"
 
 
-@query(" UNION ALL ".join(_program_sql(ext, head, mark, tail) for ext, _, head, mark, tail in PROGRAMS))
-def syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as the commentary of a Python and of a TypeScript function, whole."""
-    docs, out = files(spark, d), None
-    for ext, language, head, mark, tail in PROGRAMS:
-        before, after = head.split("%s")
-        named = F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after))
-        body = F.array_join(F.transform(t.lines(F.col("content")), marked(mark)), "\n")
-        rows = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), F.concat_ws("\n", named, body, F.lit(tail)).alias("content"), F.lit(language).alias("language"))
+def program_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of both programs of each document."""
+    docs, out = spread(files(spark, d)), None
+    for ext, language, mark, program, _ in PROGRAMS:
+        at = program.index(None)
+        line = lambda x: F.format_string(x.replace("%", "%%").format("%d"), "doc_id") if "{0}" in x else F.lit(x.format())
+        body = F.transform(t.lines(F.col("content")), lambda x: F.concat(F.lit(mark), x))  # noqa: B023
+        whole = F.concat(F.array(*map(line, program[:at])), body, F.array(*map(line, program[at + 1 :])))
+        rows = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), F.array_join(whole, "\n").alias("content"), F.lit(language).alias("language"))
         out = rows if out is None else out.unionByName(rows)
-    return chunk.syntax_chunks(out).select("path", "start_line", "end_line", "name", "chunk_type", F.sha2("content", 256).alias("content_sha256"))
+    return chunk.syntax_chunks(out)
+
+
+PROGRAM_CHUNKS = " UNION ALL ".join(f"SELECT * FROM {_program_sql(ext, mark, program, found)}" for ext, _, mark, program, found in PROGRAMS)
+
+
+@query(PROGRAM_CHUNKS)
+def syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A Python and a TypeScript program of each document, with a function, a class and its methods, decorators, code
+    between definitions, a regular expression and nested templates."""
+    return program_chunks(spark, d).select("path", "start_line", "end_line", "name", "chunk_type", "parent", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(f"SELECT ext AS language, chunk_type, count(*) AS chunks, CAST(sum(end_line - start_line + 1) AS BIGINT) AS lines FROM (SELECT CASE WHEN ends_with(path, '.py') THEN 'python' ELSE 'typescript' END AS ext, * FROM ({PROGRAM_CHUNKS})) GROUP BY ALL")
+def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and lines by language and kind."""
+    found = program_chunks(spark, d).withColumn("language", walk.language(F.col("path")))
+    return repository.chunk_counts(found, ["language", "chunk_type"])
 
 
 # ---- embedding
@@ -504,6 +536,17 @@ def walk_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return walk_filters(spark, d).groupBy("reason").agg(F.count("*").alias("files"))
 
 
+@query(f"SELECT ext AS extension, count(*) AS files FROM (SELECT {EXT} AS ext FROM (SELECT {PATH} AS path FROM pages UNION ALL SELECT path FROM (VALUES {values(WALKED)}) w(path, size))) WHERE ext <> '' GROUP BY ext ORDER BY files DESC, ext LIMIT 15")
+def top_extensions(spark: SparkSession, d: str) -> DataFrame:
+    """The 15 most frequent extensions of all paths, as the report of a walk shows them."""
+    return repository.top_extensions(walked(spark, d))
+
+
+@query(f"SELECT path, CASE {' '.join(f'WHEN ext = {quoted(e)} THEN {quoted(n)}' for e, n in DISPLAY_LANGUAGES.items())} ELSE 'text' END AS language FROM (SELECT path, {EXT} AS ext FROM (SELECT {PATH} AS path FROM pages UNION ALL SELECT path FROM (VALUES {values(WALKED)}) w(path, size)))")
+def display_languages(spark: SparkSession, d: str) -> DataFrame:
+    return walked(spark, d).select("path", walk.display_language(F.col("path")).alias("language"))
+
+
 STARTER_ROWS = [(2 * i + j, s[0], s[1 + j]) for i, s in enumerate(STARTERS) for j in (0, 1)]
 STARTER_SQL = f"""WITH p AS (SELECT string_split({PATH}, '/') AS p FROM pages UNION ALL SELECT string_split('src/Models/x.py', '/')), n AS (SELECT lower(unnest(p[1 : len(p) - 1])) AS name FROM p UNION SELECT lower(string_split(p[-1], '.')[1]) FROM p),
 f AS (SELECT question, min(at_) AS at_ FROM (VALUES {values(STARTER_ROWS)}) s(at_, pattern, question) JOIN n ON contains(name, pattern) GROUP BY question ORDER BY at_ LIMIT 4),
@@ -585,17 +628,42 @@ ANSWERS = [
     (5, "no parts, **C:\\x\\y.ts:3**"),
     (6, "```chart\nnot json\n```"),
 ]
+#: An answer about each document: citations, code and a chart in one of six spellings, of which two cannot be read.
+SPECS = [
+    '{"type": "bar", "labels": ["§"], "datasets": [{"label": "x", "data": [~, 2]}]}',
+    '{"type": "line", "labels": ["§", "b",], "datasets": [{"label": "x", "data": [1, ~,],},]}',
+    "{'type': 'pie', 'labels': ['§'], 'datasets': [{'label': 'x', 'data': [~]}, {'label': 'y', 'data': [1, 2, 3]}]}",
+    'Here it is: {"type": "bar", "labels": ["§"], "datasets": [{"label": "x", "data": [~, 1, 1,]}]} as asked.',
+    "not § json ~",
+    '{"type": "bar", "datasets": [{"label": "§", "data": [~]}]}',
+]
+ABOUT = ("See **src/§.py:~** and **bold** text.\n```python\nprint(~)\n```\n```chart\n", "\n```\nEnd **C:\\x\\y~.ts:3**, **no citation ~**, **§/~.md:1-2**.\n```\n~ plain\n```")
+
+
+def _filled_sql(text: str) -> str:
+    """SQL of a text with a document's language at § and its id at ~."""
+    out = []
+    for i, piece in enumerate(text.split("§")):
+        out += ["lang"] * (i > 0)
+        for j, part in enumerate(piece.split("~")):
+            out += ["CAST(doc_id AS VARCHAR)"] * (j > 0) + [quoted(part)] * bool(part)
+    return " || ".join(out)
+
+
+ABOUT_SQL = f"(SELECT doc_id AS id, {_filled_sql(ABOUT[0])} || CASE doc_id % 6 {' '.join(f'WHEN {i} THEN {_filled_sql(x)}' for i, x in enumerate(SPECS))} END || {_filled_sql(ABOUT[1])} AS x FROM documents)"
 FENCE = r"```(\w*)\n([\s\S]*?)```"
-FENCES = rf"SELECT id, i - 1 AS ordinal, CASE WHEN lang = '' THEN 'text' ELSE lang END AS lang, code FROM (SELECT id, i, lower(regexp_extract(bs[i], '{FENCE}', 1)) AS lang, trim(regexp_extract(bs[i], '{FENCE}', 2), chr(10) || ' ') AS code FROM (SELECT id, bs, unnest(range(1, len(bs) + 1)) AS i FROM (SELECT id, regexp_extract_all(x, '{FENCE}') AS bs FROM (VALUES {values(ANSWERS)}) a(id, x))))"
+FENCES = rf"SELECT id, i - 1 AS ordinal, CASE WHEN lang = '' THEN 'text' ELSE lang END AS lang, code FROM (SELECT id, i, lower(regexp_extract(bs[i], '{FENCE}', 1)) AS lang, trim(regexp_extract(bs[i], '{FENCE}', 2), chr(10) || ' ') AS code FROM (SELECT id, bs, unnest(range(1, len(bs) + 1)) AS i FROM (SELECT id, regexp_extract_all(x, '{FENCE}') AS bs FROM {ABOUT_SQL})))"
 
 
-def answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ANSWERS, "id int, x string")
+def document_answers(spark: SparkSession, d: str) -> DataFrame:
+    spec = F.get(F.array(*map(F.lit, SPECS)), (F.col("doc_id") % 6).cast("int"))
+    whole = F.concat(F.lit(ABOUT[0]), spec, F.lit(ABOUT[1]))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.replace(F.replace(whole, F.lit("§"), F.col("lang")), F.lit("~"), F.col("doc_id").cast("string")).alias("x"))
 
 
 @query(FENCES)
 def fence_parts(spark: SparkSession, d: str) -> DataFrame:
-    return answers(spark).select("id", F.posexplode(answer.fences(F.col("x"))).alias("ordinal", "f")).select("id", "ordinal", "f.lang", "f.code")
+    return document_answers(spark, d).select("id", F.posexplode_outer(answer.fences(F.col("x"))).alias("ordinal", "f")).select("id", "ordinal", "f.lang", "f.code")
 
 
 def _chart_sql(code: str) -> str:
@@ -610,13 +678,17 @@ def _chart_sql(code: str) -> str:
 @query(f"""SELECT id, json_extract_string(c, '$.type') AS type, array_to_string(json_extract_string(c, '$.labels[*]'), ',') AS labels, CAST(list_sum(list_transform(json_extract(c, '$.datasets[*].data'), lambda x: json_array_length(x))) AS INT) AS points
 FROM (SELECT id, {_chart_sql("code")} AS c FROM ({FENCES}) WHERE lang = 'chart')""")
 def chart_json_tolerant(spark: SparkSession, d: str) -> DataFrame:
-    f = answers(spark).select("id", F.explode(answer.fences(F.col("x"))).alias("f")).where("f.lang = 'chart'").select("id", answer.chart(F.col("f.code")).alias("c"))
+    f = document_answers(spark, d).select("id", F.explode_outer(answer.fences(F.col("x"))).alias("f")).where("f.lang = 'chart'").select("id", answer.chart(F.col("f.code")).alias("c"))
     return f.select("id", "c.type", F.array_join("c.labels", ",").alias("labels"), F.size(F.flatten("c.datasets.data")).alias("points")).withColumn("points", F.when(F.col("type").isNotNull(), F.col("points")))
 
 
-@query(rf"SELECT id, c AS citation FROM (SELECT id, unnest(regexp_extract_all(x, '\*\*(.+?)\*\*', 1)) AS c FROM (VALUES {values(ANSWERS)}) a(id, x)) WHERE regexp_matches(c, '^[\w./\\:-]+$') AND contains(c, ':')")
+@query(rf"SELECT id, c AS citation FROM (SELECT id, unnest(regexp_extract_all(x, '\*\*(.+?)\*\*', 1)) AS c FROM {ABOUT_SQL}) WHERE regexp_matches(c, '^[\w./\\:-]+$') AND contains(c, ':')")
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    return answers(spark).select("id", F.explode(answer.citations(F.col("x"))).alias("citation"))
+    return document_answers(spark, d).select("id", F.explode_outer(answer.citations(F.col("x"))).alias("citation")).where("citation is not null")
+
+
+def answers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ANSWERS, "id int, x string")
 
 
 # An answer of all kinds of parts around each document.

@@ -5,6 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +30,43 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lodestone/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+T = TypeVar("T")
+#: What was made from tables, by session, files and purpose; the oldest go.
+_made: OrderedDict[tuple, object] = OrderedDict()
+MADE_KEPT = 16
+
+
+def version_of(df: DataFrame) -> tuple:
+    """The files that ``df`` reads, with their sizes and times: other contents, another version."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def once(df: DataFrame, purpose: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for the same columns of the same files in a session. It has to rest on stored
+    tables, so that it outlives the plan that made it."""
+    key = (df.sparkSession.sparkContext.applicationId, purpose, tuple(df.columns), version_of(df))
+    if key not in _made:
+        _made[key] = make()
+        while len(_made) > MADE_KEPT:
+            _made.popitem(last=False)
+    return _made[key]
+
+
+#: Bytes of input a core below which a table is dealt over all cores first.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: Spark cannot split a file within a row group, so one file of a few megabytes would
+    keep one core busy. Larger tables stay as their files lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if sum(size for _, size, _ in version_of(df)) < SMALL * cores else df

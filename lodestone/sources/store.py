@@ -1,13 +1,16 @@
-"""The chunk store: a table in versions, changed by writing the next version and moving a pointer."""
+"""Chunk tables: how a new version follows from the old one, and a table kept in versions."""
 
 from __future__ import annotations
 
-import json
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from .manifest import Conflict, Versions
+
+#: A change that other writers outrun so often is given up.
+ATTEMPTS = 10
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -26,45 +29,39 @@ def refreshed(existing: DataFrame, incoming: DataFrame, changes: DataFrame) -> D
 
 
 class ChunkStore:
-    """Versions of one chunk table below a folder; readers keep the version they began with. The pointer of a version
-    holds its schema, so that an empty version (all deleted) can be read too."""
+    """One chunk table in versions below a folder. A change is made from the last version and made again if another
+    writer was first, so no writer's change is lost."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _pointer(self) -> str | None:
-        rows = self.spark.read.text(f"{self.folder}/current-*").select(F.max("value")).first() if self._listed() else None
-        return rows[0] if rows else None
-
-    def _listed(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current-*")
-        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        return found is not None and len(found) > 0
+        self.versions = Versions(spark, folder)
 
     def read(self) -> DataFrame | None:
-        at = self._pointer()
-        if at is None:
-            return None
-        version, _, schema = at.partition("\t")
-        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{self.folder}/{version}")
+        last = self.versions.read()
+        return None if last is None else self.versions.table(last["tables"]["chunks"])
+
+    def change(self, to: Callable[[DataFrame | None], DataFrame]) -> None:
+        for _ in range(ATTEMPTS):
+            last = self.versions.read()
+            entry = self.versions.write(to(None if last is None else self.versions.table(last["tables"]["chunks"])), "chunks")
+            try:
+                self.versions.commit({"tables": {"chunks": entry}}, last["version"] if last else 0)
+                return
+            except Conflict:
+                self.versions.drop(entry)
+        raise Conflict(f"{self.versions.folder} changed {ATTEMPTS} times meanwhile")
 
     def replace(self, chunks: DataFrame) -> None:
-        n = int((self._pointer() or "v0-").split("-")[0][1:]) + 1
-        at = f"v{n:012d}-{uuid.uuid4().hex}"
-        chunks.write.partitionBy("repo_id").parquet(f"{self.folder}/{at}")
-        self.spark.createDataFrame([(f"{at}\t{chunks.schema.json()}",)], "value string").coalesce(1).write.text(f"{self.folder}/current-{at}")
+        self.change(lambda _: chunks)
 
     def upsert(self, incoming: DataFrame) -> None:
-        old = self.read()
-        self.replace(incoming.dropDuplicates(["chunk_id"]) if old is None else upserted(old, incoming))
+        self.change(lambda old: incoming.dropDuplicates(["chunk_id"]) if old is None else upserted(old, incoming))
 
     def delete_files(self, paths: DataFrame) -> None:
-        if (old := self.read()) is not None:
-            self.replace(without_files(old, paths))
+        if self.read() is not None:
+            self.change(lambda old: without_files(old, paths))
 
     def stats(self) -> DataFrame:
         rows = self.read()
         if rows is None:
-            return self.spark.createDataFrame([], "repo_id string, chunks long, files long")
+            return self.versions.spark.createDataFrame([], "repo_id string, chunks long, files long")
         return rows.groupBy("repo_id").agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files"))

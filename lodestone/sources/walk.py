@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import extension
-from lodestone.params import AST_LANGUAGES, DEFAULTS, GENERATED_SUFFIXES, LOCK_FILES, SKIP_DIRS, SKIP_EXTENSIONS, SOURCE_EXTENSIONS
+from lodestone.params import AST_LANGUAGES, DEFAULTS, DISPLAY_LANGUAGES, GENERATED_SUFFIXES, LOCK_FILES, SKIP_DIRS, SKIP_EXTENSIONS, SOURCE_EXTENSIONS
 
 REPOSITORY = r"^https?://(www\.)?%s/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/?$"
 
@@ -41,6 +41,14 @@ def language(path: Column) -> Column:
     return out
 
 
+def display_language(path: Column) -> Column:
+    """The language that a viewer colours a file in; ``text`` where it is not known."""
+    ext, out = extension(path), F.lit("text")
+    for e, name in DISPLAY_LANGUAGES.items():
+        out = F.when(ext == e, name).otherwise(out)
+    return out
+
+
 def skip_reason(path: Column, size: Column, content: Column | None = None) -> Column:
     """Why a file is left out, or null: folder, no_ext, extension, generated, size, binary. What the path tells
     comes first, so content is looked at last."""

@@ -43,14 +43,30 @@ def limited(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     return rows.mapInPandas(run, OUT)
 
 
-def limited_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """The same over a stream, in order of time within each batch of arrivals; state: the accepted times."""
+def limited_stream(requests: DataFrame, limit: int, seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """The same over a stream, whose requests may arrive out of order by up to ``delay``.
+
+    A request waits in its client's state until the watermark has passed it and is decided then, in order of time across
+    micro-batches; so the result is that of the batch form. State is a client's waiting requests and the accepted times
+    of its last window; a timer on event time ends it when both are over."""
+    rows = requests.select("client", "event_id", "at", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts")).withWatermark("ts", delay)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        accepted = decided(list(zip(rows["event_id"], rows["at"], strict=True)), kept, limit, seconds)
-        state.update((kept,))
-        yield rows.assign(accepted=accepted)[["client", "event_id", "at", "accepted"]]
+        kept, ids, ats = map(list, state.get) if state.exists else ([], [], [])
+        for b in batches:
+            ids += b["event_id"].tolist()
+            ats += b["at"].tolist()
+        now = state.getCurrentWatermarkMs() / 1000
+        waiting = sorted(zip(ats, ids, strict=True))
+        due = [(e, at) for at, e in waiting if at <= now]
+        accepted = decided(due, kept, limit, seconds)
+        waiting = waiting[len(due) :]
+        kept = [at for at in kept if now - at <= seconds]
+        if waiting or kept:
+            state.update((kept, [e for _, e in waiting], [at for at, _ in waiting]))
+            state.setTimeoutTimestamp(int(max(now, min([at for at, _ in waiting[:1]] + [at + seconds for at in kept[-1:]])) * 1000) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"client": [key[0]] * len(due), "event_id": [e for e, _ in due], "at": [at for _, at in due], "accepted": accepted}).astype({"client": "int64", "event_id": "int64", "at": "float64", "accepted": bool})
 
-    return requests.select("client", "event_id", "at").groupBy("client").applyInPandasWithState(step, OUT, "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("client").applyInPandasWithState(step, OUT, "kept array<double>, ids array<long>, ats array<double>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,6 +1,8 @@
 """Operators against plain Python models and hand-made rows."""
 
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -51,12 +53,17 @@ def test_split_keeps_the_text(spark):
 
 def test_python_definitions():
     source = "import a\nimport b\n\n@d\ndef f():\n    pass\n\nclass C:\n    x = 1\n    def g(self):\n        return 1\n    y = 2\n\nclass Lone: pass\n"
-    assert chunk.python_definitions(source) == [
-        (1, 3, "L1", "module", None), (4, 6, "f", "function", None), (8, 9, "C", "class", None), (10, 11, "g", "method", "C"), (12, 12, "C", "class", None), (14, 14, "Lone", "class", None),
+    assert chunk.python_definitions(source, "a") == [
+        (1, 3, "a", "module", None), (4, 6, "f", "function", None), (8, 9, "C", "class", None), (10, 11, "g", "method", "C"), (12, 12, "C", "class", None), (14, 14, "Lone", "class", None),
     ]
     assert chunk.python_definitions("def f(:") is None
 
 
+@pytest.mark.parametrize("source", ["a" + ".b" * 20_000, "+".join("1" * 50_000), "-" * 100_000 + "1", "(" * 5000 + ")" * 5000, "x = 1\x00"])
+def test_what_the_parser_cannot_read_goes_to_windows(source):
+    assert chunk.python_definitions(source) is None
+
+
 def test_script_definitions():
     source = """import a from 'a'; // { not counted
 import b from "b";
@@ -90,13 +97,40 @@ export class Store extends Base {
   last = 1;
 }
 """
-    assert chunk.script_definitions(source) == [
-        (1, 3, "L1", "module", None), (4, 6, "load", "function", None), (8, 13, "add", "function", None), (15, 15, "twice", "function", None), (16, 16, "Id", "type", None),
+    assert chunk.script_definitions(source, "a") == [
+        (1, 3, "a", "module", None), (4, 6, "load", "function", None), (8, 13, "add", "function", None), (15, 15, "twice", "function", None), (16, 16, "Id", "type", None),
         (17, 17, "Shape", "interface", None), (18, 18, "Kind", "enum", None), (20, 23, "Store", "class", None), (24, 26, "constructor", "method", "Store"), (27, 29, "save", "method", "Store"), (30, 31, "Store", "class", None),
     ]
-    assert chunk.script_definitions("function f( {") is None
-    assert chunk.script_definitions("") == []
-    assert chunk.script_definitions("f)") is None
+    assert chunk.script_definitions("function f( {") == [(1, 1, "f", "function", None)]
+    assert chunk.script_definitions("") == chunk.script_definitions("f)") == []
+
+
+@pytest.mark.parametrize(
+    ("source", "found"),
+    [
+        ('const re = /[({]/;\nfunction a() {\n  return re.test("x") / 2 / 1;\n}\n', [(2, 4, "a", "function", None)]),
+        ("function f() {\n  return `a ${b(`}`)} c`;\n}\nconst z = 1;\n", [(1, 3, "f", "function", None)]),
+        ("module.exports = function run(a) {\n  return a;\n};\nexports.x = () => {\n  y();\n};\n", [(1, 3, "default", "function", None), (4, 6, "x", "function", None)]),
+        ("const A = React.memo(function A(p) {\n  return <p>Don't {p.x} http://a.b</p>;\n});\nexport const s = create<T>()((set) => ({\n  n: 0,\n}));\n", [(1, 3, "A", "function", None), (4, 6, "s", "function", None)]),
+        ("const x = require('x');\nconst y = f(1);\n", [(1, 3, "a", "module", None)]),
+        ("namespace N {\n  export function f() {\n    return 1;\n  }\n  export class C {\n    @D()\n    m() {\n      return 2;\n    }\n  }\n}\n", [(2, 4, "f", "function", None), (5, 5, "C", "class", None), (6, 9, "m", "method", "C"), (10, 10, "C", "class", None)]),
+        ("function broken() {\n  if (x) {\n    y(;\n\nfunction good() {\n  return 1;\n}\nexport class K {\n  a() { return 1; }\n}\n", [(1, 4, "broken", "function", None), (5, 7, "good", "function", None), (8, 8, "K", "class", None), (9, 9, "a", "method", "K"), (10, 10, "K", "class", None)]),
+        ("f)\nfunction g() {\n  return 1\n}\n", [(2, 4, "g", "function", None)]),
+        ("export default () => {\n  a();\n};\nFoo.prototype.bar = function () {\n  return 1;\n};\n", [(1, 3, "default", "function", None), (4, 6, "bar", "function", None)]),
+        ("/* never closed {\nfunction f() {}", [(1, 2, "a", "module", None)]),
+        ("const a = 'it\\'s {';\nconst b = \"{\";\nfunction f() {}\n", [(1, 2, "a", "module", None), (3, 3, "f", "function", None)]),
+    ],
+)
+def test_script_shapes(source, found):
+    assert chunk.script_definitions(source, "a") == found
+
+
+def test_a_scanned_script_keeps_its_places():
+    source = "a(`x${ {b: `${1}`} }y`, /[/{]/g, '}', \"{\"); // }\n/* { */ let r = a / b / c;"
+    found = chunk.quiet(source)
+    assert len(found) == len(source)
+    assert [c for c in found if c in "(){}[]"] == list("({{{}}})")
+    assert "a / b / c" in found
 
 
 def test_bm25_of_a_common_term_is_still_positive(spark):
@@ -138,12 +172,21 @@ def test_embedding_cache(spark):
 
 
 def test_limiter_stream_equals_batch(spark, tmp_path):
-    rows = [(c, i, float(i * 7 % 200 + i)) for i, c in enumerate([1, 2, 1, 1, 1, 2, 1, 1, 1, 3] * 5)]
-    df = spark.createDataFrame(rows, "client long, event_id long, at double")
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = limiter.limited_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 3, 60).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("limited").collect()} == {tuple(r) for r in limiter.limited(df, 3, 60).collect()}
+    """Requests that arrive late, within the delay, in several micro-batches; then time goes on and no state is left."""
+    r = random.Random(4)
+    rows = [(c, i, float(i * 3 + r.randint(0, 40))) for i, c in enumerate(r.choice([1, 1, 1, 2, 3]) for _ in range(120))]
+    schema = "client long, event_id long, at double"
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    later = [[(9, 1000 + i, t)] for i, t in enumerate((2000.0, 4000.0))]
+    for n, part in enumerate([rows[i : i + 30] for i in range(0, 120, 30)] + later):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05 * (n >= 0))  # files are read in the order of their times
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = limiter.limited_stream(source, 3, 60, "100 seconds").writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    found = {tuple(x) for x in spark.table("limited").where("client < 9").collect()}
+    assert found == {tuple(x) for x in limiter.limited(spark.createDataFrame(rows, schema), 3, 60).collect()}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # of client 9 alone
 
 
 def test_limiter_edge():
