@@ -17,11 +17,11 @@ then by the phrase's bytes; extra columns are ignored; empty in, empty out.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,61 +38,71 @@ BUCKETS = 64
 FILTER_BITS = 1 << 27
 #: A task counts so many words at a time; longer texts are sliced between pieces.
 CHUNK_WORDS = 1_000_000
-SLICE_CHARS = 1_000_000
-SEPARATORS = ".,;:!?\n\x0b\x0c\r"
-_token = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
-_separator = re.compile(r"[.,;:!?\x0A-\x0D]")
-LOWER = {c: c + 32 for c in range(65, 91)}
+SLICE_BYTES = 4_000_000
+UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+SEPARATORS = b".,;:!?\n\x0b\x0c\r"
+#: One pass over a text's bytes: capitals to small letters, every separator to a line feed, tabs to spaces.
+PLAIN = bytes.maketrans(UPPER + SEPARATORS + b"\t", LOWER + b"\n" * len(SEPARATORS) + b" ")
 
 
-def slices(text: str) -> Iterator[str]:
-    """The text in parts of about SLICE_CHARS, cut only at separators."""
+def slices(text: bytes) -> Iterator[bytes]:
+    """A plain text in parts of about SLICE_BYTES, cut only at separators."""
     at = 0
-    while len(text) - at > SLICE_CHARS:
-        m = _separator.search(text, at + SLICE_CHARS)
-        if m is None:
+    while len(text) - at > SLICE_BYTES:
+        end = text.find(b"\n", at + SLICE_BYTES)
+        if end < 0:
             break
-        yield text[at : m.end()]
-        at = m.end()
+        yield text[at : end + 1]
+        at = end + 1
     yield text[at:] if at else text
 
 
-class Vocabulary:
-    """Numbers of (language, word) pairs as a task meets them; -1 is a separator. Numbers are exact, hashes only pick bits."""
-
-    def __init__(self) -> None:
-        self.numbers: dict[str, dict[str, int]] = {}
-        self.words: list[str] = []
-        self.langs: list[str] = []
-        self.hashes: list[int] = []
-
-    def __call__(self, lang: str, text: str) -> list[int]:
-        own = self.numbers.setdefault(lang, dict.fromkeys(SEPARATORS, -1))
-        out = _token.findall(text.translate(LOWER))
-        for w in set(out).difference(own):
-            own[w] = len(self.words)
-            self.words.append(w)
-            self.langs.append(lang)
-            self.hashes.append(xxhash.xxh64_intdigest(f"{lang}\n{w}"))
-        return [own[w] for w in out]
-
-
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Vocabulary, np.ndarray]]:
-    """(lang, text) to the numbers of some texts' words, separators between texts too, with the vocabulary so far."""
-    vocabulary, parts, size = Vocabulary(), [], 0
+class Words:
+    """Texts as numbers of their languages' words: ``numbers`` in order, -1 between pieces; of each number its ``word`` (an
+    Arrow array) and the number of its language in ``langs``. Numbers hold within this object only, and are exact."""
+
+    def __init__(self, texts: dict[str, list[bytes]]):
+        self.langs = pa.array(list(texts), pa.string())
+        numbers, words, of_lang, n = [], [], [], 0
+        for i, own in enumerate(texts.values()):
+            flat = pc.split_pattern(pa.array([t.replace(b"\n", b" \n ") + b" \n" for t in own], pa.binary()), " ").flatten()
+            coded = pc.dictionary_encode(flat)
+            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+            at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+            place = {w: pc.index(distinct, pa.scalar(w, pa.binary())).as_py() for w in (b"", b"\n")}
+            to = np.arange(n, n + len(distinct))
+            to[place[b"\n"]] = -1
+            numbers.append(to[at[at != place[b""]]] if place[b""] >= 0 else to[at])
+            words.append(distinct)
+            of_lang.append(np.full(len(distinct), i))
+            n += len(distinct)
+        self.numbers, self.words, self.of_lang = np.concatenate(numbers), pa.concat_arrays(words), np.concatenate(of_lang)
+
+    def hashes(self) -> np.ndarray:
+        seeds = [lang_seed(x) for x in self.langs.to_pylist()]
+        return np.array([*[xxhash.xxh64_intdigest(w, seeds[i]) for w, i in zip(self.words.to_pylist(), self.of_lang.tolist(), strict=True)], 0], np.uint64)  # the last is that of separators
+
+
+def lang_seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang)
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """(lang, text as bytes) to the words of some texts at a time."""
+    waiting: dict[str, list[bytes]] = {}
+    size = 0
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             some = batch.slice(i, 256)
             for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                for piece in slices(text or ""):
-                    numbers = vocabulary(lang, piece)
-                    parts.append(np.array([*numbers, -1], np.int64))
-                    size += len(numbers)
+                for piece in slices((text or b"").translate(PLAIN)):
+                    waiting.setdefault(lang, []).append(piece)
+                    size += piece.count(b" ") + 1
                     if size >= CHUNK_WORDS:
-                        yield vocabulary, np.concatenate(parts)
-                        vocabulary, parts, size = Vocabulary(), [], 0
-    if parts:
-        yield vocabulary, np.concatenate(parts)
+                        yield Words(waiting)
+                        waiting, size = {}, 0
+    if waiting:
+        yield Words(waiting)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -106,7 +116,7 @@ def following(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def phrase_hash(lang: str, phrase: str) -> int:
-    words = np.array([[xxhash.xxh64_intdigest(f"{lang}\n{w}")] for w in phrase.split(" ")], np.uint64)
+    words = np.array([[xxhash.xxh64_intdigest(w.encode(), lang_seed(lang))] for w in phrase.split(" ")], np.uint64)
     h = words[0]
     for w in words[1:]:
         h = following(h, w)
@@ -132,31 +142,41 @@ def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def counted(vocabulary: Vocabulary, numbers: np.ndarray, k: int, bits: np.ndarray | None) -> tuple[list[str], list[str], np.ndarray]:
-    """Languages, phrases of k words and their counts; both overlapping phrases of k - 1 words pass the bits."""
-    n = len(numbers) - k + 1
-    if n < 1:
-        return [], [], np.zeros(0, np.int64)
+def counted(words: Words, k: int, bits: np.ndarray | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The numbers of their languages, the phrases of k words and their counts; both overlapping phrases of k - 1 words pass
+    the bits."""
+    numbers = words.numbers
+    n = max(0, len(numbers) - k + 1)
     fits = numbers[:n] >= 0
     for j in range(1, k):
         fits &= numbers[j : n + j] >= 0
-    if bits is not None:
-        h = np.array([*vocabulary.hashes, 0], np.uint64)[numbers]  # the last is that of separators
+    if bits is not None and n:
+        h = words.hashes()[numbers]
         shorter = h[: n + 1]
         for j in range(1, k - 1):
             shorter = following(shorter, h[j : n + 1 + j])
         frequent = passing(bits, shorter)
         fits &= frequent[:n] & frequent[1 : n + 1]
-    places = np.flatnonzero(fits)
-    # One number a phrase, of its words' numbers: pairs first, then pairs of those.
-    key = numbers[places]
+    places, base = np.flatnonzero(fits), max(1, len(words.words))
+    # One number a phrase, of its first words' number (dense after each step) and the next word's.
+    key, steps = numbers[places], []
     for j in range(1, k):
-        _, key = np.unique(key, return_inverse=True) if j > 1 else (None, key)
-        key = key * max(1, len(vocabulary.words)) + numbers[places + j]
-    _, first, times = np.unique(key, return_index=True, return_counts=True)
-    words, langs = vocabulary.words, vocabulary.langs
-    columns = [numbers[places[first] + j].tolist() for j in range(k)]
-    return [langs[i] for i in columns[0]], [" ".join([words[i] for i in row]) for row in zip(*columns, strict=True)] if k > 1 else [words[i] for i in columns[0]], times
+        if j > 1:
+            distinct, key = np.unique(key, return_inverse=True)
+            steps.append(distinct)
+        key = key * base + numbers[places + j]
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    times, key = np.diff(first, append=len(key)), key[first]
+    parts: list[np.ndarray] = []
+    for j in range(k - 1, 0, -1):
+        key, last = np.divmod(key, base)
+        parts.insert(0, last)
+        if j > 1:
+            key = steps.pop()[key]
+    parts.insert(0, key)
+    phrases = [words.words.take(pa.array(x)) for x in parts]
+    return words.of_lang[parts[0]], phrases[0] if k == 1 else pc.binary_join_element_wise(*phrases, b" "), times
 
 
 def level(docs: DataFrame, k: int, before: DataFrame | None) -> DataFrame:
@@ -164,12 +184,14 @@ def level(docs: DataFrame, k: int, before: DataFrame | None) -> DataFrame:
     shared = None if before is None else docs.sparkSession.sparkContext.broadcast(bits_of(before, FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for vocabulary, numbers in chunks(batches):
-            langs, phrases, times = counted(vocabulary, numbers, k, None if shared is None else shared.value)
+        for words in chunks(batches):
+            langs, phrases, times = counted(words, k, None if shared is None else shared.value)
             for i in range(0, len(times), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(langs[i : i + 100_000], pa.string()), pa.array(phrases[i : i + 100_000], pa.string()), pa.array(times[i : i + 100_000])], names=["lang", "phrase", "f"])
+                some = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(langs[some])), phrases[some].cast(pa.string()), pa.array(times[some])], names=["lang", "phrase", "f"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    rows = docs.select("lang", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def levels(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:

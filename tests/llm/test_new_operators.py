@@ -282,26 +282,26 @@ def test_collocations_by_hand(spark, monkeypatch, bits):
 def test_levels_emit_only_what_may_be_frequent():
     import numpy as np
 
-    v = collocations.Vocabulary()
-    numbers = np.array(v("en", "a b c, a b d"), np.int64)
+    words = collocations.Words({"en": [b"a b c\na b d"]})
     bits = np.zeros(1 << 14, np.uint64)
     for p in ("a b", "b d"):
         h = collocations.phrase_hash("en", p) & ((1 << 20) - 1)
         bits[h >> 6] |= np.uint64(1 << (h & 63))
-    _, phrases, times = collocations.counted(v, numbers, 3, bits)
-    assert (phrases, times.tolist()) == (["a b d"], [1])
-    _, phrases, _ = collocations.counted(v, numbers, 2, None)
-    assert sorted(phrases) == ["a b", "b c", "b d"]
-    assert collocations.counted(v, numbers[:2], 3, None)[1] == []
+    _, phrases, times = collocations.counted(words, 3, bits)
+    assert (phrases.to_pylist(), times.tolist()) == ([b"a b d"], [1])
+    _, phrases, times = collocations.counted(words, 2, None)
+    assert dict(zip(phrases.to_pylist(), times.tolist(), strict=True)) == {b"a b": 2, b"b c": 1, b"b d": 1}
+    assert collocations.counted(collocations.Words({"en": [b"a"]}), 3, None)[1].to_pylist() == []
+    assert collocations.counted(collocations.Words({"en": [b"", b"\n \n"]}), 1, None)[1].to_pylist() == []
 
 
 def test_slices_keep_pieces_whole(monkeypatch):
-    monkeypatch.setattr(collocations, "SLICE_CHARS", 10)
-    text = "aaaa bbbb cccc, dd ee ff gg hh ii; jj. " * 3 + "k" * 30
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 10)
+    text = (b"Aaaa bbbb cccc, dd ee\tff gg hh ii; jj. " * 3 + b"k" * 30).translate(collocations.PLAIN)
     parts = list(collocations.slices(text))
-    assert "".join(parts) == text
+    assert b"".join(parts) == text
     assert len(parts) > 4
-    assert all(p[-1] in ",;." for p in parts[:-1])
+    assert all(p.endswith(b"\n") for p in parts[:-1])
 
 
 def test_scores_past_64_bits(spark):
