@@ -37,7 +37,7 @@ BEST = 2000
 BUCKETS = 64
 FILTER_BITS = 1 << 27
 #: A task counts so many words at a time; longer texts are sliced between pieces.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 400_000
 SLICE_BYTES = 4_000_000
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"

@@ -37,12 +37,12 @@ def doc_key(doc_id: Column, text: Column) -> Column:
 HEAVY = 10_000
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", heavy: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``counted``, which is unique by ``keys`` and holds in ``n`` how many rows have the
-    key. Keys with more than a HEAVY-th of all these rows (at most HEAVY keys) are broadcast, so that the shuffle of the
-    rest has no hot key. Both sides are read twice: store them before."""
+    key. Keys with more than a ``heavy``-th (by default HEAVY) of all these rows, at most so many, are broadcast, so that
+    the shuffle of the rest has no hot key. Both sides are read twice: store them before."""
+    heavy = heavy or HEAVY
     total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    heavy = counted.where(F.col(n) * HEAVY > total)
-    light = counted.where(F.col(n) * HEAVY <= total)
-    hot = F.broadcast(heavy)  # under HEAVY rows
+    hot = F.broadcast(counted.where(F.col(n) * heavy > total))  # under ``heavy`` rows
+    light = counted.where(F.col(n) * heavy <= total)
     return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(light, keys))

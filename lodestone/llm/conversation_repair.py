@@ -35,6 +35,8 @@ from .common import join_counted, stored, table
 
 #: Turns of a block: 2 to this power. The recursion is two calls a turn deep.
 BLOCK_BITS = 7
+#: Solved cases that are broadcast, some kilobytes each.
+HEAVY_CASES = 500
 SPACE = " \t\n\x0b\x0c\r"
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 #: States of the pattern: nothing yet, after s, after u, after a. Where a kept role leads from a state, and what user or
@@ -218,7 +220,7 @@ def solved(parts: DataFrame) -> DataFrame:
     known = stored(parts.join(after, ["conv", "block"]), "repair-after")
     replay = "array<struct<before: array<string>, edit: string, role: string>>"
     cases = stored(known.groupBy("signature", "after").agg(F.count("*").alias("n")).mapInArrow(solve, f"signature string, after array<int>, n long, paths array<struct<audit: string, state: int, replay: {replay}>>"), "repair-solved")
-    whole = stored(join_counted(known, cases, ["signature", "after"]).drop("n"), "repair-paths")
+    whole = stored(join_counted(known, cases, ["signature", "after"], heavy=HEAVY_CASES).drop("n"), "repair-paths")
     starts = in_chains(whole.withColumn("states", F.transform("paths", lambda p: p["state"])), "states", "opens", "closes").mapInArrow(entered, "conv string, block long, start int, end int, seam long")
     out = whole.join(starts, ["conv", "block"]).withColumn("path", F.col("paths")[F.col("start")])
     tail = F.when(F.col("end") == 1, F.array(F.lit("user"), F.lit("assistant"))).when(F.col("end") == 2, F.array(F.lit("assistant"))).otherwise(F.array().cast("array<string>"))
