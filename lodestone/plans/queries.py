@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import answer
 from lodestone.functions import text as t
-from lodestone.operators import chunk, context, filenames, fusion, ivf, lexical, repository, vector
+from lodestone.operators import chunk, codes, context, filenames, fusion, ivf, lexical, repository, vector
 from lodestone.operators.order import numbered
 from lodestone.params import DEFAULTS, DISPLAY_LANGUAGES, GENERATED_SUFFIXES, LOCK_FILES, SKIP_DIRS, SKIP_EXTENSIONS, SOURCE_EXTENSIONS, STARTERS
 from lodestone.sources import embed, store, walk
@@ -183,12 +183,21 @@ def search_set(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query("""SELECT query_id, vec_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
-  SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+KNN = """SELECT query_id, vec_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"""
+
+
+@query(KNN)
 def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     return ivf.exact(table(spark, d, "embeddings"), search_set(spark, d), 10)
 
 
+@query(KNN)
+def knn_codes(spark: SparkSession, d: str) -> DataFrame:
+    """The same by codes of a byte a number, whose bounds rule out nearly all vectors."""
+    return codes.CodeIndex(table(spark, d, "embeddings")).search(search_set(spark, d), 10)
+
+
 @query()
 def knn_cells(spark: SparkSession, d: str) -> DataFrame:
     """The same by an inverted file; its recall is measured in the tests."""

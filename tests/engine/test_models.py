@@ -201,6 +201,24 @@ def test_recall_of_the_cell_index(spark, sf_dir):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_codes_rule_out_most_vectors_and_lose_none(spark, tmp_path):
+    from lodestone.catalog import QUERIES
+    from lodestone.operators import codes, ivf
+    from lodestone.plans.queries import search_set, table
+
+    sf = "/root/testdata/sf0.1"
+    exact, found = ({tuple(r) for r in QUERIES[q](spark, sf).select("query_id", "vec_id", "rank", "similarity").collect()} for q in ("knn_exact", "knn_codes"))
+    assert found == exact
+    index = codes.CodeIndex(table(spark, sf, "embeddings"))
+    asked = search_set(spark, sf)
+    left = index.candidates(asked.select("query_id", ivf.unit(F.col("query_vector")).alias("q")), 10).count()
+    assert left < 0.05 * asked.count() * index.rows.count()
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.6, 0.8]), (4, [1.0]), (5, [1.0, 0.0])], "vec_id int, embedding array<double>")
+    two = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [3.0])], "query_id string, query_vector array<double>")
+    assert [(r["query_id"], r["vec_id"], r["similarity"]) for r in codes.CodeIndex(odd).search(two, 3).orderBy("query_id", "rank").collect()] == [("a", 1, 1.0), ("a", 5, 1.0), ("a", 3, 0.6), ("b", 4, 1.0)]
+    assert codes.CodeIndex(odd.limit(0)).search(two, 3).count() == 0
+
+
 def test_engine_from_files_to_answers(spark, tmp_path):
     from lodestone.api import Engine
 
