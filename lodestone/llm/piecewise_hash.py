@@ -1,18 +1,18 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
-A rolling hash over seven bytes ends a piece wherever it hits a value that depends on the block size; each piece
-gives one character, so an edit changes only the characters near it. More than three equal characters in a row are
-written as three, in the signature as in the comparison. The block size is a power of two near a 64th of the
-text's length, doubled while the whole text has more than 64 pieces and halved while it has fewer than 32 (if the
-signature, so shortened, then has 64 characters at most), so that no text falls into a last piece for want of room;
-signatures are made at it and at its double, and two fingerprints are compared where
-they have a block size in common: likeness is 1 - (insertions and deletions) / (both lengths) of the signatures, and 0
-unless they share seven characters in a row (shorter signatures are compared without that condition).
+A rolling hash over seven bytes ends a piece wherever it hits a value that depends on the block size; a piece that no hit
+ends within LONGEST block sizes is cut there, so repeated text, whose hits are all or none, has pieces too. Each piece
+gives one character, so an edit changes only the characters near it: cuts follow the last hit. The block size is a power
+of two near a 64th of the text's length, doubled while the whole text has more than 64 pieces and halved while it has
+fewer than 32 (if it then has no more than 64), so that no text falls into a last piece for want of room; signatures are
+made at it and at its double, and two fingerprints are compared where they have a block size in common: likeness is 1 -
+(insertions and deletions) / (both lengths) of the signatures, and 0 unless they share seven characters in a row (a third
+of the shorter one, if that has fewer than 21).
 
 Documents are paired with the next one in descending order of id by one range partitioning; each task streams its
 range, and only the seams between ranges (one document each side) are finished afterwards.
 
-Defined cases: null text is empty and has the fingerprint ``1::``; equal fingerprints have likeness 1; null ids come
+Defined cases: null text is empty and has the fingerprint ``1::``; very long texts are read whole; equal fingerprints have likeness 1; null ids come
 last, repeated ids follow each other by hash of the text; a single document is its own next; extra columns are
 ignored; empty in, empty out.
 """
@@ -20,7 +20,6 @@ ignored; empty in, empty out.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +33,8 @@ from .common import stored, table
 WINDOW_BYTES = 7
 PIECES = 64
 COMMON = 7
+LONGEST = 3
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-_run = re.compile(r"(.)\1{3,}")
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -52,19 +51,20 @@ def rolling(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def signature(data: bytes, ends: np.ndarray) -> str:
-    """A character for every piece of the whole text; of a run of equal ones, three."""
+def cuts(hits: np.ndarray, size: int, most: int) -> list[int]:
+    """Where the pieces of ``size`` bytes end (the place behind): behind each hit, and every ``most`` bytes without one."""
     out, at = [], 0
-    for e in ends.tolist():
-        out.append(ALPHABET[zlib.crc32(data[at : e + 1]) & 63])
-        at = e + 1
-    if at < len(data):
-        out.append(ALPHABET[zlib.crc32(data[at:]) & 63])
-    return shortened("".join(out))
+    for e in [*(hits + 1).tolist(), size]:
+        out += range(at + most, e, most)
+        if e > at:
+            out.append(e)
+        at = e
+    return out
 
 
-def shortened(s: str) -> str:
-    return _run.sub(r"\1\1\1", s)  # long runs say little
+def signature(data: bytes, ends: list[int]) -> str:
+    """A character for every piece of the whole text."""
+    return "".join(ALPHABET[zlib.crc32(data[a:b]) & 63] for a, b in zip([0, *ends[:-1]], ends, strict=True))
 
 
 def fingerprint(text: str) -> str:
@@ -74,24 +74,24 @@ def fingerprint(text: str) -> str:
         return "1::"
     h = rolling(np.frombuffer(data, np.uint8))
 
-    def ends_at(block: int) -> np.ndarray:
+    def hits(block: int) -> np.ndarray:
         return np.flatnonzero((h & np.uint32(block - 1)) == block - 1)
 
-    def doubled(ends: np.ndarray, block: int) -> np.ndarray:
-        return ends[(h[ends].astype(np.uint64) & np.uint64(2 * block - 1)) == 2 * block - 1]
-
-    def pieces(ends: np.ndarray) -> int:
-        return len(ends) + (not len(ends) or int(ends[-1]) + 1 < len(data))
+    def ends(block: int, found: np.ndarray) -> list[int]:
+        return cuts(found, len(data), LONGEST * block)
 
     block = 1
     while block * PIECES < len(data):
         block *= 2
-    ends = ends_at(block)
-    while pieces(ends) > PIECES:
-        block, ends = 2 * block, doubled(ends, block)
-    while block > 1 and pieces(ends) < PIECES // 2 and len(signature(data, finer := ends_at(block // 2))) <= PIECES:
-        block, ends = block // 2, finer
-    return f"{block}:{signature(data, ends)}:{signature(data, doubled(ends, block))}"
+    found = hits(block)
+    while len(found) > PIECES or len(ends(block, found)) > PIECES:
+        block *= 2
+        found = found[(h[found] & np.uint32(block - 1)) == block - 1]
+    pieces = ends(block, found)
+    while block > 1 and len(pieces) < PIECES // 2 and len(finer := hits(block // 2)) <= PIECES and len(more := ends(block // 2, finer)) <= PIECES:
+        block, found, pieces = block // 2, finer, more
+    double = found[(h[found].astype(np.uint64) & np.uint64(2 * block - 1)) == 2 * block - 1]
+    return f"{block}:{signature(data, pieces)}:{signature(data, ends(2 * block, double))}"
 
 
 def edit_likeness(a: str, b: str) -> float:
@@ -120,8 +120,8 @@ def likeness(one: str, other: str) -> float:
     pairs = [(a1, b1), (a2, b2)] if m == n else [(a2, b1)] if 2 * m == n else [(a1, b2)] if m == 2 * n else []
     best = 0.0
     for a, b in pairs:
-        a, b = shortened(a), shortened(b)
-        if min(len(a), len(b)) >= COMMON and {a[i : i + COMMON] for i in range(len(a) - COMMON + 1)}.isdisjoint(b[i : i + COMMON] for i in range(len(b) - COMMON + 1)):
+        n = min(COMMON, max(1, min(len(a), len(b)) // 3))
+        if {a[i : i + n] for i in range(len(a) - n + 1)}.isdisjoint(b[i : i + n] for i in range(len(b) - n + 1)):
             continue
         best = max(best, edit_likeness(a, b))
     return best
@@ -184,9 +184,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange(F.col("doc_id").desc_nulls_last(), "h").sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "h", "text")
     done = stored(rows.select("doc_id", "text").mapInArrow(stream_range, OUT + ", part int, first_text string, last_text string"), "ctph")
     seams = done.where("first_text is not null or last_text is not null").groupBy("part").agg(F.max("first_text").alias("first_text"), F.max("last_text").alias("last_text"), F.max(F.when(F.col("last_text").isNotNull(), F.col("doc_id"))).alias("doc_id"))
-    order = Window.orderBy("part")  # a row per range
-    following = F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    last = seams.select("doc_id", F.col("last_text").alias("text"), following.alias("following")).mapInArrow(close_seams, OUT)
+    order = Window.orderBy("part")  # a number per range; the texts themselves meet in a join
+    ring = seams.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("next"))
+    firsts = seams.select(F.col("part").alias("next"), F.col("first_text").alias("following"))
+    last = seams.join(ring, "part").join(firsts, "next").select("doc_id", F.col("last_text").alias("text"), "following").mapInArrow(close_seams, OUT)
     return done.where("last_text is null").drop("part", "first_text", "last_text").unionByName(last)
 
 
