@@ -2,13 +2,14 @@
 
 Three patterns give the base spans of a text. Besides, every long token that mixes cases and digits is a candidate.
 Candidate values (by hash) are counted over the whole corpus by distinct repositories and owners: a value that
-several owners hold is a copied example, a value of one owner that looks random is probably live. Candidates outside
+several owners hold, or that one owner has in several repositories, is a copied example; one that looks random and is
+neither is probably live. Candidates outside
 the base spans that prove live are added as spans of kind ``token``; base spans stay whatever their verdict.
 
 A text is read once; only candidates (a few per thousand documents) are shuffled, pre-aggregated by (value, owner,
 repository).
 
-Defined cases: a null text is empty; null repositories and owners count as one; repeated rows are scanned alike and
+Defined cases: a null text is empty; very long texts are read whole; null repositories and owners count as one; repeated rows are scanned alike and
 count once per repository; extra columns are ignored; empty in, empty out.
 """
 
@@ -33,9 +34,9 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_LEAST - 4))
 HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A value held by so many owners, or in so many repositories, is a copied example; entropy in bits a character from
-#: which a value looks random.
-SHARED_OWNERS, SHARED_REPOS, RANDOM_BITS = 3, 20, 3.0
+#: A value held by so many owners, or in so many repositories for each owner that holds it, is a copied example; entropy
+#: in bits a character from which a value looks random.
+SHARED_OWNERS, REPOS_AN_OWNER, RANDOM_BITS = 3, 3, 3.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -111,7 +112,7 @@ def secrets(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     scanned = stored(rows.mapInArrow(scan, f"row long, doc_id long, repo string, owner string, base array<struct<{kinds}>>, found array<struct<{kinds}, value: bigint, random: boolean>>"), "secrets")
     held = scanned.select("row", "repo", "owner", F.explode("found").alias("c")).select("row", "repo", "owner", "c.*")
     known = stored(ownership(held), "secret-values")
-    shared = (F.col("owners") >= SHARED_OWNERS) | (F.col("repos") >= SHARED_REPOS)
+    shared = (F.col("owners") >= SHARED_OWNERS) | (F.col("repos") >= REPOS_AN_OWNER * F.col("owners"))
     judged = held.join(known, "value").select("row", "start", "kind", "end", shared.alias("shared"), "random")
     live = F.col("random") & ~F.col("shared")
     per = judged.groupBy("row").agg(

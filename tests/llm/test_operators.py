@@ -282,7 +282,7 @@ def test_ownership_counts(spark):
     found = secret_scan.ownership(spark.createDataFrame(rows, "value long, owner string, repo string")).collect()
     assert {r["value"]: (r["owners"], r["repos"]) for r in found} == expected
     token = "Zq9rT2xLw8Kp4Vn6Bs1Yd3"
-    many = [(i, f"see {token}", f"repo{i}", "one") for i in range(secret_scan.SHARED_REPOS)]
+    many = [(i, f"see {token}", f"repo{i}", "one") for i in range(secret_scan.REPOS_AN_OWNER)]
     for rows, added in ((many, 0), (many[1:], 1)):
         docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
         out = secret_scan.secrets(docs, F.col("repo"), F.col("owner")).collect()
@@ -290,6 +290,38 @@ def test_ownership_counts(spark):
         assert {r["n_shared"] for r in out} == {1 - added}
 
 
+def test_secrets_against_one_pass_in_memory(spark, docs):
+    """Live and shared values and added spans of whole documents, found with nothing of the module; some documents carry
+    tokens that several owners, several repositories of one owner, or one repository hold."""
+    planted = ["Qz8nT4xLw2Kp6Vn1Bs9Yd5", "Hj3kL7mN1pQ5rS9tU2vW6x", "Xc4vB8nM2aS6dF1gH5jK9l"]
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in docs.select("doc_id", "text", "source", "lang").collect()]
+    rows += [(10_000 + i, f"in {planted[0]}, x", f"s{i}", "en") for i in range(4)] + [(11_000 + i, planted[1], "s1", f"l{i}") for i in range(3)] + [(12_000 + i, f"token={planted[2]} {planted[2]}", "s1", "en") for i in range(2)]
+    patterns = [re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("(AKIA[A-Z0-9]{16,})"), re.compile("([0-9a-f]{24,})")]
+
+    def found(text):
+        base = [(m.start(), k, m.end(), m[1]) for k, p in enumerate(patterns) for m in p.finditer(text) if k or len(m[1]) >= 6]
+        inside = lambda m: any(a < m.end() and b > m.start() for a, _, b, _ in base)
+        more = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and not inside(m)]
+        return sorted(base), more
+
+    holders: dict = {}
+    for _, text, source, lang in rows:
+        for *_, value in sum(found(text or ""), []):
+            holders.setdefault(value, set()).add((source, lang))
+    shared = {v: len({s for s, _ in h}) >= 3 or len(h) >= 3 * len({s for s, _ in h}) for v, h in holders.items()}
+    random_ = lambda v: -sum(v.count(c) / len(v) * np.log2(v.count(c) / len(v)) for c in set(v)) >= 3 - 1e-12
+    out = {r["doc_id"]: r for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), F.concat_ws("/", "source", "lang"), F.col("source")).collect()}
+    added = 0
+    for doc_id, text, *_ in rows:
+        base, more = found(text or "")
+        live = lambda x: random_(x[3]) and not shared[x[3]]
+        spans = sorted([x[:3] for x in base] + [x[:3] for x in more if live(x)])
+        assert [(s["start"], s["kind"], s["end"]) for s in out[doc_id]["spans"]] == spans
+        assert (out[doc_id]["n_live"], out[doc_id]["n_shared"]) == (sum(map(live, base + more)), sum(shared[x[3]] for x in base + more))
+        added += len(spans) - len(base)
+    assert added == 2
+
+
 def test_candidates_outside_base_spans():
     """The one pass over tokens and spans finds what a comparison of every token with every span finds."""
     rng = random.Random(9)
@@ -484,21 +516,82 @@ def test_fingerprints_on_odd_rows(spark, odd):
     assert piecewise_hash.fingerprints(odd.limit(0)).count() == 0
 
 
-def test_signatures_cover_the_whole_text():
-    """Also of repeated lines, which have many more or many fewer ends of pieces than chance allows."""
+def slow_fingerprint(text):
+    """The rule written out byte by byte, with none of the module's code: hits, cuts, block size, characters."""
+    data = text.encode()
+    if not data:
+        return "1::"
+    hashes = []
+    for i in range(len(data)):
+        h = 0
+        for j in range(min(7, i + 1)):
+            h = (h + (data[i - j] + 1) * pow(0x01000193, j, 2**32)) % 2**32
+        h = h * 0x9E3779B1 % 2**32
+        hashes.append(h ^ (h >> 15))
+
+    def pieces(block):
+        out, start = [], 0
+        for i in range(len(data)):
+            if hashes[i] % block == block - 1 or i + 1 - start == 3 * block or i + 1 == len(data):
+                out.append(data[start : i + 1])
+                start = i + 1
+        return out
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    hits = lambda block: sum(h % block == block - 1 for h in hashes)
+    block = 1
+    while block * 64 < len(data):
+        block *= 2
+    while hits(block) > 64 or len(pieces(block)) > 64:
+        block *= 2
+    while block > 1 and len(pieces(block)) < 32 and hits(block // 2) <= 64 and len(pieces(block // 2)) <= 64:
+        block //= 2
+    return ":".join([str(block), *("".join(letters[zlib.crc32(p) % 64] for p in pieces(b)) for b in (block, 2 * block))])
+
+
+def slow_likeness(one, other):
+    if one == other:
+        return 1.0
+    (m, *a), (n, *b) = one.split(":"), other.split(":")
+    best = 0.0
+    for i in range(2):
+        for j in range(2):
+            x, y = a[i], b[j]
+            least = min(7, max(1, min(len(x), len(y)) // 3))
+            if int(m) << i == int(n) << j and x and y and any(x[k : k + least] in y for k in range(len(x) - least + 1)):
+                row = [0] * (len(y) + 1)
+                for c in x:
+                    old = row
+                    row = [0]
+                    for k, d in enumerate(y):
+                        row.append(old[k] + 1 if c == d else max(old[k + 1], row[k]))
+                best = max(best, 1.0 if x == y else 2 * row[-1] / (len(x) + len(y)))
+    return best
+
+
+def odd_texts(rng):
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(n))
+    line = words(14) + "\n"
+    return ["", "a", "aé", "a" * 3000, "ab" * 1500, line * 40, line * 3 + words(300), words(5), words(60), words(400), "z" * 700 + words(120), words(9) + "\n" * 900]
+
+
+def test_fingerprints_against_the_rule_written_out():
+    rng = random.Random(6)
+    texts = odd_texts(rng) + odd_texts(rng)
+    prints = [piecewise_hash.fingerprint(t) for t in texts]
+    assert prints == [slow_fingerprint(t) for t in texts]
+    for one in prints:
+        for other in prints:
+            assert piecewise_hash.likeness(one, other) == slow_likeness(one, other)
+
+
+def test_half_of_a_repeated_text_is_recognised():
+    """Repeated characters and lines have pieces as other texts have, so half of them replaced leaves likeness."""
     rng = random.Random(5)
     line = lambda: "".join(rng.choice("abcdefghij klmnop") for _ in range(99)) + "\n"
-    for _ in range(60):
-        lines = [line() for _ in range(rng.choice([1, 1, 2, 3]))]
-        text = "".join(lines) * (500 // len(lines))
-        data = text.encode()
-        block, own, double = piecewise_hash.fingerprint(text).split(":")
-        assert max(len(own), len(double)) <= piecewise_hash.PIECES
-        h = piecewise_hash.rolling(np.frombuffer(data, np.uint8))
-        for b, found in ((int(block), own), (2 * int(block), double)):
-            cuts = [0, *(np.flatnonzero((h & np.uint32(b - 1)) == b - 1) + 1).tolist(), len(data)]
-            every = "".join(piecewise_hash.ALPHABET[zlib.crc32(data[i:j]) & 63] for i, j in zip(cuts, cuts[1:], strict=False) if i < j)
-            assert found == re.sub(r"(.)\1{3,}", r"\1\1\1", every)
-        tail = "".join(line() for _ in range(250))
-        other = piecewise_hash.fingerprint(text[: len(text) // 2] + tail)
-        assert piecewise_hash.likeness(f"{block}:{own}:{double}", other) < 1
+    for text in ["a" * 20000, "\n" * 5000, line() * 400, "".join(line() for _ in range(3)) * 100, line() * 30]:
+        own = piecewise_hash.fingerprint(text)
+        assert max(map(len, own.split(":")[1:])) <= piecewise_hash.PIECES
+        other = piecewise_hash.fingerprint(text[: len(text) // 2] + "".join(line() for _ in range(len(text) // 200)))
+        assert 0.15 < piecewise_hash.likeness(own, other) < 1, (text[:20], own, other)
+        assert piecewise_hash.likeness(own, piecewise_hash.fingerprint("".join(line() for _ in range(len(text) // 100)))) < 0.1
