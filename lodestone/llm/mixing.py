@@ -8,7 +8,7 @@ a bucket), so a source with any share of the rows is spread over many tasks.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
 never taken more than their neighbours and count nothing; if all sizes are 0, every target is 0 and nothing is
-taken; repeated rows are copies that are taken alike; extra columns are ignored; empty in, empty out.
+taken; very long texts are read whole; repeated rows follow each other in the queue; extra columns are ignored; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -55,7 +55,9 @@ def mix(docs: DataFrame, size: Column | None = None, epochs: int = EPOCHS, seed:
     """
     size = word_count(F.col("text")) if size is None else size
     skey = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
-    base = docs.select("doc_id", size.alias("size"), skey.alias("skey"), md5_key(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"), *[F.col(k).alias(f"kept_{k}") for k in keep or []])
+    text = F.md5(F.coalesce("text", F.lit(""))) if "text" in docs.columns else F.lit("")  # parts rows whose ids are null or repeat
+    h = md5_key(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
+    base = docs.select("doc_id", size.alias("size"), skey.alias("skey"), h.alias("h"), *[F.col(k).alias(f"kept_{k}") for k in keep or []])
     base = stored(base, "mix-base")
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     n_buckets = min(MAX_BUCKETS, max(64, total["n"] // BUCKET_ROWS))
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, size: Column | None = None, epochs: int = EPOCHS, seed:
     return queued.select("doc_id", "size", "source_size", "target", copies.alias("copies"), finish(F.lit(0)).alias("finish"), *[F.col(f"kept_{k}").alias(k) for k in keep or []])
 
 
-def in_mixed_order(mixed: DataFrame, docs_per_range: int = 200_000) -> DataFrame:
+def in_mixed_order(mixed: DataFrame) -> DataFrame:
     """The mixed stream itself: a row per copy, range-sorted by virtual finish time (column ``finish``)."""
     one = F.when(F.col("target") > 0, F.col("source_size") / F.col("target"))
     copies = mixed.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
@@ -106,7 +108,7 @@ OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     CASE WHEN source IS NULL THEN '1' ELSE '0' END || coalesce(source, '') AS skey,
-    CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+    CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents
 ), s AS (
   SELECT skey, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS weight FROM d GROUP BY skey
