@@ -206,6 +206,10 @@ class Engine:
         last = self._versions(repo_id).read()
         return bool(last) and not last.get("deleted") and last["commit"] == commit
 
+    def exists(self, repo_id: str) -> bool:
+        last = self._versions(repo_id).read()
+        return bool(last) and not last.get("deleted")
+
     def failures(self, repo_id: str) -> DataFrame:
         """(hash, error) of the texts that the last index run could not embed."""
         v, last = self._current(repo_id)

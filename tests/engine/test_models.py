@@ -257,7 +257,15 @@ def test_engine_from_files_to_answers(spark, tmp_path):
     list(e.index("r", source, incremental=False))
     assert now == {r["chunk_id"]: r["content"] for r in e.peek("r", 100).collect()} != was
     assert e.status().first()["functions"] == 2
+    for question in ("ab", "x" * 2001):
+        with pytest.raises(ValueError, match="characters"):
+            e.search("r", question)
+    for path in ("../x", "/etc/x", "a/../../x"):
+        with pytest.raises(ValueError, match="path"):
+            e.file("r", path)
+    assert e.exists("r")
     e.delete("r")
+    assert not e.exists("r")
     assert e.status().count() == 0
 
 
