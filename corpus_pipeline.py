@@ -38,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that with the least id (nulls last); of several with it, the least by all
-    columns that have an order. Texts without words (null, empty) are a group by text. Repeated rows are a group."""
+    columns that have an order. A null text counts as empty, and empty texts are one group, as repeated rows are."""
     found = near_duplicates(docs)
     kept = found.where(F.col("class") == F.col("kept_class")).select(F.col("class_id").alias("lodestone_id"), F.col("class").alias("lodestone_group")).distinct()
     keyed = docs.withColumn("lodestone_class", class_of(F.col("text")))
