@@ -7,7 +7,7 @@ shuffled once and prefixes are cut only when rows are produced.
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside texts ``<``, any backslashes, ``|`` gets one more
 backslash before the bar, so no text can hold a control string; roles also have ``%`` and line feeds percent-coded.
 
-Defined cases: null text or role is empty; turns are ordered by (turn, role, text) with nulls first, repeated rows
+Defined cases: null text or role is empty; very long texts are formatted whole; turns are ordered by (turn, role, text) with nulls first, repeated rows
 stay; a conversation that does not end with an assistant turn (or has none) gets a last record without target, so
 that no turn is lost; a null conv_id is a conversation of its own; other columns are ignored; empty in, empty out.
 """

@@ -7,7 +7,7 @@ bins, and pooling adjacent violators makes their means monotone.
 
 The fit takes at most FIT_ROWS labelled rows (by hash of the id); statistics and scores are of every document.
 
-Defined cases: a null or empty text has statistics of 0 and is scored like any other; without labels, or with labels
+Defined cases: a null or empty text has statistics of 0 and is scored like any other; very long texts are read whole; without labels, or with labels
 of one class only, every score is the mean label (0.5 if there is none); repeated rows are scored alike; extra
 columns are ignored; empty in, empty out.
 """

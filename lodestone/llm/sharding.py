@@ -8,7 +8,7 @@ which the shards divide evenly. Law: ``bytes``.
 Equal texts stay in one shard unless their group is larger than ``SPLIT_OVER`` of a shard's share; then the group is
 cut record by record. So shards differ by at most about that share.
 
-Defined cases: a null text counts as empty (size 1); ties by (id, size); repeated rows each get a slot; with fewer
+Defined cases: a null text counts as empty (size 1); a very long text is one record, whatever its share of a shard; ties by (id, size); repeated rows each get a slot; with fewer
 records than shards some shards stay empty; extra columns are ignored; empty in, empty out.
 """
 

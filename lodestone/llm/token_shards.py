@@ -11,7 +11,7 @@ the empty key, first of all. Value: ids, little-endian, 2 bytes each if the bloc
 A task writes under a name of its own and the manifest names the files of tasks that succeeded, so lost or repeated
 attempts leave at most orphans. Files are written and read through pyarrow.fs by URI, in the shared folder.
 
-Defined cases: null text is empty (the end id alone); repeated ids are entries side by side, ordered by text; extra
+Defined cases: null text is empty (the end id alone); very long texts are encoded whole, in pieces; repeated ids are entries side by side, ordered by text; extra
 columns are ignored; an empty table gives no files and no rows.
 """
 
@@ -149,7 +149,7 @@ def bloom_places(key: bytes, n_bits: int) -> list[int]:
 
 
 class Writer:
-    """One shard file; entries come in key order. Only a block, the index and the filter's hashes are held."""
+    """One shard file; entries come in key order. A block, the index and the keys (for the filter) are held."""
 
     def __init__(self, uri: str):
         self.files, self.path = fs.FileSystem.from_uri(uri)

@@ -353,6 +353,15 @@ def test_chat_round_trip(spark):
     assert chat_format.format_examples(df.limit(0)).count() == 0
 
 
+def test_long_and_missing_turns(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    long = "<|im_end|> é " * 60_000
+    r = chat_format.read_back(chat_format.format_examples(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], schema))).first()
+    assert r["loss_chars"] == len(long)
+    assert r["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert chat_format.read_back(chat_format.format_examples(spark.createDataFrame([], schema))).count() == 0
+
+
 def test_examples_are_prefixes(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "r"), (1, 3, "assistant", "a2"), (1, 4, "user", "end")]
     out = chat_format.format_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("example").collect()
@@ -472,6 +481,9 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
         out = decontaminate.decontaminate(docs, bench, block_windows=block).collect()
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in out) == expected
     assert all(r["n_hit"] == 0 for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
+    long = " ".join(f"w{i}" for i in range(300_000)) + " " + items[0][1] + " end"
+    found = decontaminate.decontaminate(spark.createDataFrame([(1, long)], "doc_id long, text string"), bench).first()
+    assert [(found["n_words"], found["n_hit"], tuple(found["items"]))] == [(n, h, tuple(f)) for _, n, h, f in brute_hits([(1, long)], items)]
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 

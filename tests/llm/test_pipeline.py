@@ -32,8 +32,8 @@ def test_stages_on_odd_rows(spark, sf_dir):
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     found = {name: sorted(map(tuple, stage(spark, docs, sf_dir).collect()), key=str) for name, stage in p.STAGES}
-    assert found["quality"] == sorted((r for r in rows if r in found["quality"]), key=str)
-    assert found["near_dedup"] == sorted([rows[0], rows[1], rows[4], rows[5]], key=str) or found["near_dedup"] == sorted([rows[1], rows[4], rows[5]], key=str) or found["near_dedup"] == sorted([rows[0], rows[4], rows[5]], key=str)
+    assert found["quality"] == sorted(rows, key=str)
+    assert found["near_dedup"] == sorted([rows[0], rows[4], rows[5]], key=str)  # null and empty are one text
     assert found["decontamination"] == sorted(rows, key=str)
     sizes = [len((r[1] or "").split()) for r in rows]
     assert sum(len((r[1] or "").split()) for r in found["mixing"]) <= 3 * sum(sizes)
