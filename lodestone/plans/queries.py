@@ -384,10 +384,22 @@ def embed_inputs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(x).cast("long").alias("n"), F.sha2(x, 256).alias("input_sha256"))
 
 
-@query()
+def crc_sql(x: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v // 2, 3988292384 * (v % 2)))), 4294967295)"
+
+
+EMBED_INPUT = rf"(SELECT hash, CASE WHEN c = '' THEN ' ' ELSE c END AS x FROM (SELECT DISTINCT substr(sha256(text), 1, 16) AS hash, substr(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g'), 1, 6000) AS c FROM documents))"
+
+
+@query(f"""WITH t AS (SELECT hash, unnest({tok("x")}) AS word FROM {EMBED_INPUT}), w AS (SELECT word, {crc_sql("word")} AS h FROM (SELECT DISTINCT word FROM t)),
+s AS (SELECT hash, h % 64 AS i, sum(CASE WHEN h // 65536 % 2 = 1 THEN 1 ELSE -1 END) AS v FROM t JOIN w USING (word) GROUP BY ALL), n AS (SELECT hash, sum(v * v) AS n FROM s GROUP BY hash),
+a AS (SELECT hash, i, coalesce(v, 0) AS v, CASE WHEN coalesce(n, 0) > 0 THEN sqrt(n) ELSE 1 END AS norm FROM (SELECT hash, unnest(range(64)) AS i FROM {EMBED_INPUT}) LEFT JOIN s USING (hash, i) LEFT JOIN n USING (hash))
+SELECT hash, 'hash64' AS model, list(CAST(v AS FLOAT) / CAST(norm AS FLOAT) ORDER BY i) AS embedding FROM a GROUP BY hash""")
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     cache = spark.createDataFrame([], "hash string, model string, embedding array<float>")
-    return embed.embedded(table(spark, d, "documents"), cache)
+    return embed.embedded(spread(table(spark, d, "documents")), cache)
 
 
 # ---- context and prompt
