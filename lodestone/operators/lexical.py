@@ -60,7 +60,7 @@ class Index:
     @classmethod
     def of_table(cls, docs: DataFrame, p: Params = DEFAULTS) -> Index:
         """The index of a table's rows, built once while its files stay the same."""
-        return once(docs, f"bm25-{p}", lambda: cls.build(docs, p))
+        return once(docs, f"bm25-{p}", lambda: cls.build(docs, p), lambda index: [index.postings, index.terms])
 
     def search(self, questions: DataFrame, k: int) -> DataFrame:
         """(query_id, term, qtf) to (query_id, doc_id, score, rank), the best k of each query. The terms of the

@@ -25,9 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return (given or _own()).rstrip("/")
 
 
+_ours: set[str] = set()
+
+
+def session_dir(spark: SparkSession) -> str:
+    """The session's folder within the shared one; it goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+    if folder not in _ours:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ours.add(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that the session has stored so far, in a session that goes on for long. What rests on it and is not
+    written yet is lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(path, True)
+    files.mkdirs(path)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that it is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/lodestone/{what}-{uuid.uuid4().hex}"
+    """``df`` written to the session's folder and read back, so that it is computed once."""
+    path = f"{session_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,11 +74,18 @@ def version_of(df: DataFrame) -> tuple:
     return tuple(out)
 
 
-def once(df: DataFrame, purpose: str, make: Callable[[], T]) -> T:
+def readable(df: DataFrame) -> bool:
+    try:
+        return bool(version_of(df))
+    except Exception:  # as the file system says it
+        return False
+
+
+def once(df: DataFrame, purpose: str, make: Callable[[], T], rests_on: Callable[[T], list[DataFrame]]) -> T:
     """What ``make`` gives, made once for the same columns of the same files in a session. It has to rest on stored
-    tables, so that it outlives the plan that made it."""
+    tables, so that it outlives the plan that made it; if these are gone it is made again."""
     key = (df.sparkSession.sparkContext.applicationId, purpose, tuple(df.columns), version_of(df))
-    if key not in _made:
+    if key not in _made or not all(map(readable, rests_on(_made[key]))):
         _made[key] = make()
         while len(_made) > MADE_KEPT:
             _made.popitem(last=False)

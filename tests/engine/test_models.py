@@ -139,6 +139,24 @@ def test_bm25_of_a_common_term_is_still_positive(spark):
     assert [r["doc_id"] for r in rows] == [0]
 
 
+def test_an_index_is_built_once_for_the_same_files(spark, tmp_path):
+    from lodestone.sources import shared
+
+    at = f"{tmp_path}/docs"
+    rows = lambda n: spark.createDataFrame([(i, f"word{i} common") for i in range(n)], "doc_id long, text string")
+    rows(3).write.parquet(at)
+    first = lexical.Index.of_table(spark.read.parquet(at))
+    assert lexical.Index.of_table(spark.read.parquet(at)) is first
+    rows(5).write.mode("overwrite").parquet(at)
+    other = lexical.Index.of_table(spark.read.parquet(at))
+    assert other.terms.where("term = 'common'").first()["df"] == 5
+    shared.release(spark)  # the tables go, and the index is made again
+    assert not shared.readable(other.postings)
+    again = lexical.Index.of_table(spark.read.parquet(at))
+    assert again is not other
+    assert again.terms.count() == 6
+
+
 def test_binary_files_are_skipped(spark, tmp_path):
     (tmp_path / "a.py").write_bytes(b"x\x00y")
     (tmp_path / "b.py").write_bytes(b"x = 1\r\n")
