@@ -156,6 +156,9 @@ class Engine:
         entry["terms"] = v.write(terms, "terms")
         manifest = {"repo_id": repo_id, "url": url, "commit": commit, "indexed_at": datetime.datetime.now(datetime.UTC).isoformat(), "deleted": False, "model": self.model, "dimensions": next(iter(lengths), None), "files": n["files"], **total, "batch": batch if batch is not None else -1}
         manifest["segments"] = [*(old["segments"] if old else []), {"tables": entry}]
+        now = self._live(v, manifest, "files").select(F.lit(repo_id).alias("repo_id"), F.col("file_path").alias("path"), "language")
+        tables = {"tree": repository.tree(now), "languages": repository.language_stats(now, ["repo_id"], self.params.top_languages)}
+        manifest["tables"] = {name: v.write(df, name) for name, df in tables.items()}
         manifest["mean_idf"] = lexical.mean_idf(self._terms(v, manifest), manifest["chunks"])
         manifest = v.commit(manifest, last["version"] if last else 0)
         for x in scratch:
@@ -227,11 +230,16 @@ class Engine:
         shown = F.slice(ls, first, F.greatest(F.lit(0), F.least(F.lit(end) if end else F.size(ls), F.size(ls)) - first + 1))
         return rows.select("file_path", "language", "total_lines", F.array_join(shown, "\n").alias("content"))
 
+    def _made(self, repo_id: str, table: str) -> DataFrame:
+        """What the index run has made of all files of the version."""
+        v, last = self._current(repo_id)
+        return v.table(last["tables"][table])
+
     def tree(self, repo_id: str) -> DataFrame:
-        return repository.tree(self._read("files", repo_id).select(F.col("file_path").alias("path")))
+        return self._made(repo_id, "tree")
 
     def summary(self, repo_id: str) -> DataFrame:
-        return repository.language_stats(self._read("files", repo_id).withColumn("repo_id", F.lit(repo_id)), ["repo_id"], self.params.top_languages)
+        return self._made(repo_id, "languages")
 
     def listed(self, repo_id: str) -> DataFrame:
         """The first files, functions and classes, as a summary shows them."""

@@ -35,6 +35,8 @@ def contents(engine, repo):
         "chunks": rows(engine._live(v, last, "chunks"), "chunk_id", "file_path", "start_line", "end_line", "name", "chunk_type", "content", "embedding"),
         "postings": rows(engine._live(v, last, "postings"), "doc_id", "term", "tf", "doc_len"),
         "terms": rows(engine._terms(v, last), "term", "df"),
+        "tree": rows(engine.tree(repo), "parent", "name", "kind", "ordinal"),
+        "languages": rows(engine.summary(repo), "language", "files", "pct"),
         "sums": {k: round(last[k], 9) for k in ("files", "chunks", "functions", "tokens", "mean_idf")},
     }
 
