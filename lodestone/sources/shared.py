@@ -49,10 +49,11 @@ def release(spark: SparkSession) -> None:
     files.mkdirs(path)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the session's folder and read back, so that it is computed once."""
+def stored(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """``df`` written to the session's folder and read back, so that it is computed once; with a folder per value of ``by``,
+    readers that ask for some values leave the other files alone."""
     path = f"{session_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

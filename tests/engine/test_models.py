@@ -211,14 +211,49 @@ def test_limiter_edge():
     assert limiter.decided([(0, 0.0), (1, 1.0), (2, 2.0), (3, 60.0), (4, 60.5)], [], 3, 60) == [True, True, True, False, True]
 
 
-def test_recall_of_the_cell_index(spark, sf_dir):
+def neighbours(df):
+    return {(r["query_id"], r["vec_id"]) for r in df.select("query_id", "vec_id").collect()}
+
+
+def test_recall_of_the_cell_index(spark):
     from lodestone.catalog import QUERIES
 
-    exact = {(r["query_id"], r["vec_id"]) for r in QUERIES["knn_exact"](spark, sf_dir).collect()}
-    found = {(r["query_id"], r["vec_id"]) for r in QUERIES["knn_cells"](spark, sf_dir).collect()}
+    exact, found = (neighbours(QUERIES[q](spark, "/root/testdata/sf0.1")) for q in ("knn_exact", "knn_cells"))
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_cells_of_vectors_that_lie_in_groups(spark):
+    """Forty groups around given vectors: few cells are looked into, and the scan asks for their folders."""
+    from lodestone.operators import ivf
+    from lodestone.plans.queries import search_set, table
+
+    sf = "/root/testdata/sf0.1"
+    v = table(spark, sf, "embeddings")
+    middle = v.where("vec_id < 40").select(F.col("vec_id").alias("g"), F.col("embedding").alias("m"))
+    v = v.withColumn("g", F.col("vec_id") % 40).join(middle, "g").select("vec_id", F.zip_with("embedding", "m", lambda a, b: 0.3 * a + b).alias("embedding"))
+    index = ivf.Index(v)
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    exact, found = neighbours(ivf.exact(v, asked, 10)), neighbours(index.search(asked, 10))
+    assert len(exact & found) / len(exact) >= 0.95
+    assert index.candidates(asked).count() < 0.1 * asked.count() * v.count()
+    plan = index.candidates(asked.limit(1))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ (=|IN)", plan)
+    assert neighbours(index.search(asked, 10, probes=1000)) == exact  # all cells
+    assert index.search(search_set(spark, sf).withColumn("query_vector", F.lit(None).cast("array<double>")), 3).count() == 0
+
+
+def test_cells_of_few_vectors(spark):
+    from lodestone.operators import ivf
+
+    two = spark.createDataFrame([("a", [2.0, 0.0]), ("b", None)], "query_id string, query_vector array<double>")
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0])]
+    made = lambda rows: spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    assert [r["vec_id"] for r in ivf.Index(made(rows)).search(two, 3, probes=9).orderBy("rank").collect()] == [1, 4, 2]
+    assert [r["vec_id"] for r in ivf.Index(made(rows[:1])).search(two, 3).collect()] == [1]
+    assert ivf.Index(made([])).search(two.limit(0), 3).count() == 0
+    assert ivf.Index(made([])).search(two, 3).count() == 0
+
+
 def test_codes_rule_out_most_vectors_and_lose_none(spark, tmp_path):
     from lodestone.catalog import QUERIES
     from lodestone.operators import codes, ivf
