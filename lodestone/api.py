@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import datetime
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import answer
 from lodestone.functions import text as t
-from lodestone.operators import chunk, context, filenames, fusion, lexical, repository, rerank, vector
+from lodestone.operators import chunk, context, filenames, fusion, generate, lexical, repository, rerank, vector
 from lodestone.operators.order import numbered
 from lodestone.params import AST_LANGUAGES, DEFAULTS, Params
 from lodestone.sources import embed, walk
@@ -105,8 +106,8 @@ class Engine:
             return v.table(scratch[-1])
 
         yield {"stage": "walking"}
-        files = source.where(walk.skip_reason(F.col("path"), F.col("length"), F.col("content")).isNull())
-        files = files.select(F.col("path").alias("file_path"), walk.as_text(F.col("content")).alias("content"), walk.language(F.col("path")).alias("language"))
+        files = source.withColumn("reason", walk.skip_reason(F.col("path"), F.col("length"), F.col("content")))
+        files = files.select(F.col("path").alias("file_path"), "reason", F.when(F.col("reason").isNull(), walk.as_text(F.col("content"))).alias("content"), walk.language(F.col("path")).alias("language"))
         files = files.withColumn("hash", F.sha2("content", 256)).withColumn("total_lines", t.total_lines(F.col("content")).cast("int"))
         fresh = F.lit(True)
         if old:
@@ -114,7 +115,8 @@ class Engine:
             torn = self._live(v, old, "chunks").where("embedding is null").select("file_path").distinct()
             files = files.join(known.join(torn, "file_path", "left_anti"), "file_path", "left")
             fresh = ~F.col("was").eqNullSafe(F.col("hash"))
-        scan = kept_aside(files.withColumn("fresh", fresh).withColumn("content", F.when(fresh, F.col("content"))).drop("was"), "scan")
+        walked = kept_aside(files.withColumn("fresh", fresh).withColumn("content", F.when(fresh, F.col("content"))).drop("was"), "scan")
+        scan = walked.where("reason is null").drop("reason")
         changed = scan.where("fresh").drop("fresh")
         no_ids = self.spark.createDataFrame([], "id string")
         gone_files, gone_chunks = no_ids, None
@@ -158,6 +160,7 @@ class Engine:
         manifest["segments"] = [*(old["segments"] if old else []), {"tables": entry}]
         now = self._live(v, manifest, "files").select(F.lit(repo_id).alias("repo_id"), F.col("file_path").alias("path"), "language")
         tables = {"tree": repository.tree(now), "languages": repository.language_stats(now, ["repo_id"], self.params.top_languages)}
+        tables |= {"walk": walked.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("files")), "extensions": repository.top_extensions(walked.select(F.col("file_path").alias("path")))}
         manifest["tables"] = {name: v.write(df, name) for name, df in tables.items()}
         manifest["mean_idf"] = lexical.mean_idf(self._terms(v, manifest), manifest["chunks"])
         manifest = v.commit(manifest, last["version"] if last else 0)
@@ -241,6 +244,14 @@ class Engine:
     def summary(self, repo_id: str) -> DataFrame:
         return self._made(repo_id, "languages")
 
+    def walk_report(self, repo_id: str) -> DataFrame:
+        """(reason, files) of the last index run's walk: how many files were kept, and why others were left out."""
+        return self._made(repo_id, "walk")
+
+    def extensions(self, repo_id: str) -> DataFrame:
+        """The 15 most frequent extensions of that walk, skipped files included."""
+        return self._made(repo_id, "extensions")
+
     def listed(self, repo_id: str) -> DataFrame:
         """The first files, functions and classes, as a summary shows them."""
         return repository.listed(self._read("chunks", repo_id).withColumn("repo_id", F.lit(repo_id)), ["repo_id"])
@@ -270,11 +281,11 @@ class Engine:
         index = lexical.Index(self._live(v, last, "postings").where(F.col("term").isin(wanted)), known, last["tokens"] / max(last["chunks"], 1), p)
         return fusion.hybrid(index, vectors, terms, queries, p, most).select(F.col("doc_id").alias("id"), "rank", "score")
 
-    def _placed(self, repo_id: str, question: str, asked: str, hybrid: bool, scorer: rerank.Scorer | None) -> DataFrame:
+    def _placed(self, repo_id: str, asked: str, hybrid: bool, scorer: rerank.Scorer | None) -> DataFrame:
         """(chunk_id, position, score): the best top_k, and before them the chunks of files that the question names."""
         p = self.params
         chunks = self._read("chunks", repo_id).select("chunk_id", "file_path", "start_line", "content")
-        named = filenames.matched_files(self._mentions(question), self._read("files", repo_id).select("file_path")).select("file_path").distinct()
+        named = filenames.matched_files(self._mentions(asked), self._read("files", repo_id).select("file_path")).select("file_path").distinct()
         forced = numbered(chunks.join(named, "file_path", "left_semi").select(F.col("chunk_id").alias("id"), "file_path", "start_line"), "ordinal", "file_path", "start_line", "id").select("id", "ordinal")
         if scorer is None:
             ranking = self._candidates(repo_id, asked, hybrid, p.top_k)
@@ -283,28 +294,33 @@ class Engine:
             pool = self._candidates(repo_id, asked, hybrid, 2 * p.top_k).select("id", F.lit(1).alias("part"), F.col("rank").cast("long").alias("at"))
             pool = pool.unionByName(forced.select("id", F.lit(0).alias("part"), F.col("ordinal").alias("at"))).groupBy("id").agg(F.min(F.struct("part", "at")).alias("m"))
             pool = numbered(pool, "rank", "m.part", "m.at", "id").join(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), "id")
-            ranking = rerank.reranked(pool.select(F.lit(question).alias("question"), "id", "text", "rank"), scorer).where(F.col("rank") <= p.top_k).select("id", "rank", "score")
+            ranking = rerank.reranked(pool.select(F.lit(asked).alias("question"), "id", "text", "rank"), scorer).where(F.col("rank") <= p.top_k).select("id", "rank", "score")
         placed = fusion.force_include(ranking, forced, p.top_k).join(ranking.select("id", "score"), "id", "left")
         return placed.select(F.col("id").alias("chunk_id"), F.col("position").cast("int").alias("position"), F.coalesce("score", F.lit(1.0)).alias("score"))
 
+    @staticmethod
+    def _asked(question: str, previous: str | None) -> str:
+        last = (previous or "").strip()
+        return question if not last or last.lower() == question.lower() else f"{last} {question}"
+
     def search(self, repo_id: str, question: str, previous: str | None = None, hybrid: bool = True, scorer: rerank.Scorer | None = None) -> DataFrame:
         """The best chunks, with the lines around them: position, file_path, lines, name, score, enriched text.
 
-        ``previous`` is the question before, which a follow-up is read together with. Without ``hybrid`` vectors alone
+        ``previous`` is the question before, which a follow-up is read together with, file names included. Without ``hybrid`` vectors alone
         decide, down to a least similarity. A ``scorer`` of (question, text) reorders the candidates. Chunks of files
         that the question names come first, with score 1, where they are not among the best anyway. Answers without a
         scorer are kept per version of the repository."""
         low, high = self.params.question_chars
         if not low <= len(question) <= high:
             raise ValueError(f"a question has {low} to {high} characters")
-        asked = question if not (previous or "").strip() or previous.lower() == question.lower() else f"{previous.strip()} {question}"
+        asked = self._asked(question, previous)
         _, last = self._current(repo_id)
-        key = (repo_id, last["version"], question, asked, hybrid)
+        key = (repo_id, last["version"], asked, hybrid)
         if scorer is None and (kept := self.answers.get(key)) is not None:
             return self.spark.createDataFrame(*kept)
         chunks = self._read("chunks", repo_id).select("chunk_id", "file_path", "start_line", "end_line", "name", "chunk_type", "parent", "content")
-        hits = chunks.join(self._placed(repo_id, question, asked, hybrid, scorer), "chunk_id")
-        both = hits.join(self._read("files", repo_id).select("file_path", F.col("content").alias("whole")), "file_path").withColumn("ls", t.lines(F.col("whole")))
+        hits = chunks.join(self._placed(repo_id, asked, hybrid, scorer), "chunk_id")
+        both = hits.join(self._read("files", repo_id).select("file_path", "language", F.col("content").alias("whole")), "file_path").withColumn("ls", t.lines(F.col("whole")))
         around = context.enriched(F.col("content"), F.col("ls"), F.col("start_line"), F.col("end_line"), self.params.context_lines, self.params.shown_lines)
         out = context.prompt_headers(both.withColumn("enriched", around).drop("ls", "whole"))
         if scorer is not None:
@@ -321,3 +337,27 @@ class Engine:
         hits = self.search(repo_id, question)
         above = F.col("score") >= self.params.min_score
         return hits.select("position", "file_path", "start_line", "end_line", "name", "chunk_type", F.round("score", 4).alias("score"), above.alias("above_threshold"), F.substring("enriched", 1, 200).alias("preview"))
+
+    def prompt(self, repo_id: str, question: str, history: Sequence[tuple[str, str | None]] = (), scorer: rerank.Scorer | None = None) -> DataFrame:
+        """(n_hits, prompt) for a model: what a search finds, the last of ``history`` (questions and answers, in order) and
+        the question, with the names in it that no file has. No row where the search finds nothing."""
+        return self._prompts(repo_id, question, history, scorer)[0].drop("query_id")
+
+    def _prompts(self, repo_id: str, question: str, history: Sequence[tuple[str, str | None]], scorer: rerank.Scorer | None) -> tuple[DataFrame, list[str]]:
+        p, previous = self.params, history[-1][0] if history else None
+        hits = self.search(repo_id, question, previous, scorer=scorer).drop("content").withColumnRenamed("enriched", "content").withColumn("query_id", F.lit(0))
+        missing = sorted(r["name"] for r in self.unmatched(repo_id, self._asked(question, previous)).collect())  # of one question
+        recent = [(q or "", a or "") for q, a in history[-p.history_turns :]]
+        row = self.spark.createDataFrame([(0, question, recent, missing)], "query_id int, question string, recent array<struct<q: string, a: string>>, missing array<string>")
+        return context.prompts(hits, row.withColumn("history", context.history_text(F.col("recent"), p.history_answer_chars))), missing
+
+    def ask(self, repo_id: str, question: str, generator: generate.Generator, history: Sequence[tuple[str, str | None]] = (), scorer: rerank.Scorer | None = None) -> DataFrame:
+        """One row: answer, error, its parts (text, code, charts) and citations. ``generator`` makes the answer of a list of
+        prompts; it is not called where the search finds nothing."""
+        prompts, missing = self._prompts(repo_id, question, history, scorer)
+        asked = self.spark.createDataFrame([(0, generate.without_hits(missing))], "query_id int, otherwise string")
+        made = asked.join(generate.generated(prompts, generator), "query_id", "left")
+        # One row, kept: a model must not be asked again by whoever looks at the answer twice.
+        rows = made.select(F.when(F.col("answer").isNull() & F.col("error").isNull(), F.col("otherwise")).otherwise(F.col("answer")).alias("answer"), "error").collect()
+        kept = self.spark.createDataFrame(rows, "answer string, error string")
+        return kept.select("answer", "error", answer.parts(F.col("answer")).alias("parts"), answer.citations(F.col("answer")).alias("citations"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import answer
@@ -448,20 +448,50 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT position, '[' || position || '] ' || CASE chunk_type WHEN 'class' THEN 'class ' || name WHEN 'method' THEN coalesce(parent, '') || '.' || name || '()' WHEN 'function' THEN name || '()' WHEN 'module' THEN 'module-level code' ELSE name END
-  || ' (' || file_path || ':' || start_line || '-' || end_line || ')' || CASE WHEN n > 1 THEN ' — PART ' || i || '/' || n || ' OF THE SAME ' || upper(chunk_type) || ', NOT A SEPARATE ONE' ELSE '' END AS header
-FROM (SELECT *, count(*) OVER (PARTITION BY file_path, name, chunk_type) AS n, row_number() OVER (PARTITION BY file_path, name, chunk_type ORDER BY position) AS i FROM {HITS})""")
+HEADER = """'[' || position || '] ' || CASE chunk_type WHEN 'class' THEN 'class ' || name WHEN 'method' THEN coalesce(parent, '') || '.' || name || '()' WHEN 'function' THEN name || '()' WHEN 'module' THEN 'module-level code' ELSE name END
+  || ' (' || file_path || ':' || start_line || '-' || end_line || ')' || CASE WHEN n > 1 THEN ' — PART ' || i || '/' || n || ' OF THE SAME ' || upper(chunk_type) || ', NOT A SEPARATE ONE' ELSE '' END"""
+LABEL = "CASE chunk_type WHEN 'class' THEN 'class ' || name WHEN 'function' THEN 'fn ' || name WHEN 'method' THEN 'fn ' || coalesce(parent, '') || '.' || name WHEN 'module' THEN 'module-level' ELSE chunk_type || ' ' || name END"
+
+
+@query(f"SELECT position, {HEADER} AS header FROM (SELECT *, count(*) OVER (PARTITION BY file_path, name, chunk_type) AS n, row_number() OVER (PARTITION BY file_path, name, chunk_type ORDER BY position) AS i FROM {HITS})")
 def prompt_chunk_headers(spark: SparkSession, d: str) -> DataFrame:
     return context.prompt_headers(hits(spark, d)).select("position", "header")
 
 
-@query(f"""SELECT file_path, '  ' || file_path || ': ' || string_agg(label, ', ' ORDER BY at_, label) AS overview FROM (SELECT file_path, label, min(position) AS at_ FROM (
-  SELECT *, CASE chunk_type WHEN 'class' THEN 'class ' || name WHEN 'function' THEN 'fn ' || name WHEN 'method' THEN 'fn ' || coalesce(parent, '') || '.' || name WHEN 'module' THEN 'module-level' ELSE chunk_type || ' ' || name END AS label FROM {HITS})
-  GROUP BY ALL) GROUP BY file_path""")
+@query(f"SELECT file_path, '  ' || file_path || ': ' || string_agg(label, ', ' ORDER BY at_, label) AS overview FROM (SELECT file_path, label, min(position) AS at_ FROM (SELECT *, {LABEL} AS label FROM {HITS}) GROUP BY ALL) GROUP BY file_path")
 def file_overview(spark: SparkSession, d: str) -> DataFrame:
     return context.file_overview(hits(spark, d))
 
 
+@query(rf"""{HYBRID}, {PAIRS}, h AS (SELECT r.query_id, r.rank AS position, c.* EXCLUDE (position), d.lang, d.text FROM r JOIN {HITS} c ON c.position = r.id JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 12),
+p AS (SELECT query_id, count(*) AS n_hits, string_agg({HEADER} || chr(10) || '```' || lang || chr(10) || text || chr(10) || '```', chr(10) || chr(10) ORDER BY position) AS parts
+  FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY position) AS i FROM h WINDOW w AS (PARTITION BY query_id, file_path, name, chunk_type)) GROUP BY query_id),
+o AS (SELECT query_id, file_path, '  ' || file_path || ': ' || string_agg(label, ', ' ORDER BY at_, label) AS overview FROM (SELECT query_id, file_path, label, min(position) AS at_ FROM (SELECT *, {LABEL} AS label FROM h) GROUP BY ALL) GROUP BY query_id, file_path),
+s AS (SELECT query_id, string_agg(overview, chr(10) || chr(10) ORDER BY file_path) AS files FROM o GROUP BY query_id),
+g AS (SELECT conv_id, list(turn ORDER BY turn) AS ts, list(question ORDER BY turn) AS qs, list(coalesce(answer, '') ORDER BY turn) AS an FROM u GROUP BY conv_id),
+k AS (SELECT conv_id, list_filter(list_transform(range(greatest(1, len(qs) - 3), len(qs) + 1), lambda j: CASE WHEN qs[j] <> '' AND an[j] <> '' THEN 'Previous Q: ' || qs[j] || chr(10) || 'Previous A: ' || substr(an[j], 1, 500) || CASE WHEN length(an[j]) > 500 THEN '...' ELSE '' END END), lambda x: x IS NOT NULL) AS hs FROM g),
+m AS (SELECT item_id, text AS question, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text || ' In setup.py?', '[\pL\pN_\-]+\.[A-Za-z0-9]{{1,8}}'), lambda x: lower(x)), lambda x: string_split(x, '.')[-1] IN {KNOWN}))) AS names FROM benchmark)
+SELECT query_id, n_hits, sha256('The ' || n_hits || ' best passages of the repository:' || chr(10) || chr(10) || 'FILES IN RETRIEVED CHUNKS:' || chr(10) || chr(10) || files || chr(10) || chr(10) || chr(10) || chr(10) || parts || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || CASE WHEN len(coalesce(hs, [])) > 0 THEN 'CONVERSATION HISTORY (use this for follow-up context):' || chr(10) || array_to_string(hs, chr(10)) || chr(10) || chr(10) ELSE '' END || 'Question: ' || question || ' In setup.py?' || chr(10) || chr(10)
+  || 'Answer from these passages alone, and cite file:first-last line for what you say.' || CASE WHEN len(names) > 0 THEN chr(10) || chr(10) || 'The repository has no file named ' || array_to_string(names, ', ') || '. Say that it was not found and do not guess what it holds.' ELSE '' END) AS prompt_sha256
+FROM p JOIN s USING (query_id) JOIN m ON m.item_id = p.query_id LEFT JOIN k ON k.conv_id = p.query_id""")
+def chat_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole prompts: each question's hits, the last turns of the conversation with its number, and a file that is not there."""
+    found = fusion.hybrid(text_index(spark, d), table(spark, d, "embeddings"), asked(spark, d), question_vectors(spark, d)).select("query_id", "doc_id", F.col("rank").alias("at"))
+    texts = table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"), F.col("text").alias("content"))
+    shown = hits(spark, d).withColumnRenamed("position", "doc_id").join(found, "doc_id").join(texts, "doc_id").withColumnRenamed("at", "position")
+    question = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" In setup.py?")).alias("question"))
+    known = shown.select("file_path").distinct()
+    missing = filenames.unmatched(filenames.mentions(question), known).groupBy("query_id").agg(F.sort_array(F.collect_list("name")).alias("missing"))  # names in one question
+    turns = context.user_questions(table(spark, d, "conversations")).select("conv_id", "turn", F.struct(F.col("question").alias("q"), F.coalesce("answer", F.lit("")).alias("a")).alias("pair"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    recent = turns.withColumn("r", place).where(F.col("r") <= DEFAULTS.history_turns).groupBy(F.col("conv_id").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "pair")))["pair"].alias("recent"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    full = question.join(missing, "query_id", "left").join(recent, "query_id", "left")
+    full = full.select("query_id", "question", none(F.col("missing"), "array<string>").alias("missing"), context.history_text(none(F.col("recent"), "array<struct<q: string, a: string>>")).alias("history"))
+    return context.prompts(shown, full).select("query_id", F.col("n_hits").cast("long").alias("n_hits"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 # ---- repositories
 
 @query(f"""WITH c AS (SELECT coalesce(parent, '-') AS repo_id, * FROM {HITS}),

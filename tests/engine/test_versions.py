@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import api
 from lodestone.api import Engine
@@ -256,3 +257,62 @@ def test_the_scorer_sees_twice_as_many_and_named_files_first(spark, tmp_path):
     assert hits[0]["file_path"] == "named.py"
     assert len(hits) == 2
     assert sum(map(int, open(seen).read().split())) >= 5
+
+
+def test_the_walk_is_reported(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/e")
+    files = {"a.py": program(1), "b.py": program(2), "c.png": "x", "Makefile": "x", "node_modules/d.js": "x", "e.py": "", "f.md": "text\0"}
+    list(e.index("r", source(spark, files)))
+    report = lambda: ({tuple(r) for r in e.walk_report("r").collect()}, [tuple(r) for r in e.extensions("r").orderBy(F.desc("files"), "extension").collect()])
+    assert report() == ({("kept", 2), ("extension", 1), ("no_ext", 1), ("folder", 1), ("size", 1), ("binary", 1)}, [(".py", 3), (".js", 1), (".md", 1), (".png", 1)])
+    files = {"a.py": program(1), "b.py": "x" * 500_001, "c.py": program(3)}  # b.py has grown too long
+    assert list(e.index("r", source(spark, files)))[1] == {"stage": "parsing", "files": 2, "changed": 2}
+    assert report() == ({("kept", 2), ("size", 1)}, [(".py", 3)])
+    assert {r["file_path"] for r in e.peek("r", 99).collect()} == {"a.py", "c.py"}
+
+
+def test_prompts_and_answers(spark, tmp_path):
+    """A follow-up is searched with the question before it; the model sees the question, the history and what is missing."""
+    from lodestone.params import Params
+
+    e = Engine(spark, f"file://{tmp_path}/e", Params(top_k=2, candidates=4, history_answer_chars=5))
+    files = {f"f{i}.py": program(i) for i in range(6)} | {"named.py": "z = 1\ny = 2\n"}
+    list(e.index("r", source(spark, files)))
+    history = [("left out", "by now")] * 3 + [("no answer", None), ("x", "y"), ("what is in named.py", "long answer")]
+    found = e.prompt("r", "and in other.py?", history).collect()
+    assert len(found) == 1
+    text = found[0]["prompt"]
+    assert found[0]["n_hits"] == 2
+    assert "] module-level code (named.py:1-" in text
+    assert text.index("FILES IN RETRIEVED CHUNKS:\n\n  ") < text.index("[1] ") < text.index("```python\n") < text.index("Previous Q: left out") < text.index("Question: and in other.py?")
+    assert "Previous Q: x\nPrevious A: y\nPrevious Q: what is in named.py\nPrevious A: long ...\n\nQuestion: " in text
+    assert "no answer" not in text
+    assert text.endswith("The repository has no file named other.py. Say that it was not found and do not guess what it holds.")
+
+    def model(prompts):
+        return [f"**named.py:1** of {len(p)}\n```python\nz = 1\n```" for p in prompts]
+
+    row = e.ask("r", "and in other.py?", model, history).first()
+    assert row["answer"].startswith(f"**named.py:1** of {len(text)}")
+    assert row["citations"] == ["named.py:1"]
+    assert [p["kind"] for p in row["parts"]] == ["text", "code"]
+
+    def broken(prompts):
+        raise OSError("no model")
+
+    assert e.ask("r", "what is in named.py", broken).select("answer", "error").first() == (None, "OSError: no model")
+    list(e.index("r", source(spark, {})))
+    assert e.prompt("r", "what is in named.py").count() == 0
+    assert e.ask("r", "what is in named.py", broken).first()["answer"] == "No file of the repository is named named.py; it may lie elsewhere or have been left out of the index."
+
+
+def test_one_bad_prompt_spoils_no_other(spark):
+    from lodestone.operators.generate import generated
+
+    def model(prompts):
+        if "bad" in prompts:
+            raise ValueError("bad")
+        return [p.upper() for p in prompts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "query_id int, prompt string")
+    assert {tuple(r) for r in generated(rows, model).collect()} == {(1, "A", None), (2, None, "ValueError: bad"), (3, "C", None)}
