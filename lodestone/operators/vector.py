@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import cosine
+from lodestone.sources.shared import spread
 
 from .ivf import in_blocks
 from .lexical import best
+from .products import contenders
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, vec_id, similarity, rank) for the queries (query_id, query_vector), a stated set that is broadcast in
-    blocks; ``where`` filters vectors before the cut. Vectors of another length than the query's are left out."""
-    rows = (vectors if where is None else vectors.where(where)).select("vec_id", "embedding")
+    blocks; ``where`` filters vectors before the cut. Vectors of another length than the query's are left out; a vector
+    of zeros is similar to none (0)."""
+    rows = spread(vectors if where is None else vectors.where(where)).select("vec_id", "embedding")
 
     def search(block: DataFrame) -> DataFrame:
-        near = rows.crossJoin(F.broadcast(block)).where(F.size("embedding") == F.size("query_vector"))
-        near = near.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 9).alias("cosine"))
+        near = contenders(rows, block, k, cosine=True).withColumn("cosine", F.round("score", 9))
         return best(near, k, F.col("cosine").desc(), F.col("vec_id")).select("query_id", "vec_id", F.greatest(F.lit(0.0), "cosine").alias("similarity"), "rank")
 
     return in_blocks(queries.select("query_id", "query_vector"), search)
