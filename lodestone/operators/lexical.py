@@ -29,6 +29,23 @@ def term_counts(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The same from the documents themselves: each one's distinct words are exploded and counted where they lie."""
+    # Outer: see ``postings``.
+    words = docs.select(F.explode_outer(F.array_distinct(identifier_words(F.col(text)))).alias("term"))
+    return term_counts(words.where("term is not null"))
+
+
+def vocabulary(docs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(term, df, raw_idf, idf) of a table's rows without their postings, made once while its files stay the same."""
+
+    def made() -> DataFrame:
+        terms, n = stored(document_counts(spread(docs)), "vocabulary"), docs.count()
+        return with_idf(terms, n, mean_idf(terms, n), p)
+
+    return once(docs, f"vocabulary-{p}", made, lambda terms: [terms])
+
+
 def raw_idf(n_docs: int) -> Column:
     return F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 

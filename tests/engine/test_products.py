@@ -46,3 +46,24 @@ def test_odd_vectors(spark):
     half = 0.707106781
     assert found == {("a", 1, 1.0), ("a", None, half), ("a", 2, 0.0), ("c", 4, 1.0), (None, None, half), (None, 1, 0.0), (None, 2, 0.0)}
     assert vector.nearest(vectors, asked.limit(0), 5).count() == vector.nearest(vectors.limit(0), asked, 5).count() == 0
+
+
+def test_terms_are_counted_without_postings(spark, sf_dir):
+    """Document counts are those of the postings, also of compound words, and no postings are written for them."""
+    from lodestone.functions.text import COMPOUND
+    from lodestone.operators import lexical
+    from lodestone.plans import queries
+
+    rows = [(1, "parseHTML parse_html USA Usa"), (2, "_x A1b HTTPServer9 éA __"), (3, None), (4, ""), (5, "x " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {tuple(r) for r in lexical.document_counts(docs).collect()}
+    assert counts == {tuple(r) for r in lexical.term_counts(lexical.postings(docs)).collect()}
+    assert {("parse", 1), ("html", 1), ("usa", 1), ("a1b", 1), ("x", 2), ("server9", 1)} <= counts
+    assert [re.findall(COMPOUND, t) for _, t in rows[:2]] == [["parseHTML", "parse_html", "USA"], ["_x", "HTTPServer9", "__"]]
+    made = []
+    original, lexical.postings = lexical.postings, lambda *a, **k: made.append(a)
+    try:
+        assert queries.term_stats(spark, sf_dir).count() > 0
+    finally:
+        lexical.postings = original
+    assert not made
