@@ -7,7 +7,7 @@ import bisect
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +98,8 @@ def python_definitions(source: str, stem: str = "module") -> list[tuple[int, int
     return out
 
 
+#: Files whose chunks a task has at once.
+PARSED_FILES = 64
 _TOKEN = re.compile(r"""//[^\n]*|/\*(?:.*?\*/|.*)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[\w$]+|\s+|.""", re.S)
 _TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*", re.S)
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
@@ -293,10 +295,12 @@ def syntax_chunks(files: DataFrame) -> DataFrame:
     one row of kind ``unparsed`` for the window chunker. A parser is the one thing here that needs Python on the
     executors."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    schema = pa.schema([("path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("name", pa.string()), ("chunk_type", pa.string()), ("parent", pa.string()), ("content", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in (batch.slice(i, PARSED_FILES) for batch in batches for i in range(0, batch.num_rows, PARSED_FILES)):
             rows = []
-            for path, content, language in zip(batch["path"], batch["content"], batch["language"], strict=True):
+            for path, content, language in zip(*(some.column(i).to_pylist() for i in range(3)), strict=True):
                 text = (content or "").replace("\r\n", "\n").replace("\r", "\n")
                 stem = path.replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 found = python_definitions(text, stem) if language == "python" else script_definitions(text, stem)
@@ -305,7 +309,7 @@ def syntax_chunks(files: DataFrame) -> DataFrame:
                     rows.append((path, 1, len(ls), path, "unparsed", None, text))
                 for a, b, name, kind, parent in found or []:
                     rows.append((path, a, b, name, kind, parent, "\n".join(ls[a - 1 : b])))
-            yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "name", "chunk_type", "parent", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     language = F.col("language") if "language" in files.columns else F.lit("python")
-    return files.select("path", "content", language.alias("language")).mapInPandas(run, "path string, start_line int, end_line int, name string, chunk_type string, parent string, content string")
+    return files.select("path", "content", language.alias("language")).mapInArrow(run, "path string, start_line int, end_line int, name string, chunk_type string, parent string, content string")

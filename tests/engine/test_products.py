@@ -67,3 +67,26 @@ def test_terms_are_counted_without_postings(spark, sf_dir):
     finally:
         lexical.postings = original
     assert not made
+
+
+def test_python_has_few_rows_at_once(spark, monkeypatch):
+    """Vectors and chunks leave in small batches; texts without tokens, and a null, have vectors of zeros."""
+    import pandas as pd
+
+    from lodestone.operators import chunk
+    from lodestone.sources import embed
+
+    def never(*a, **k):
+        raise AssertionError("whole batches as pandas")
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", never)
+    assert pd  # the frames that are not made
+    texts = spark.createDataFrame([("a", "one two two"), ("b", "..."), (None, None), ("c", "two one two")] + [(str(i), f"w{i}") for i in range(600)], "hash string, text string")
+    found = {r["hash"]: r["embedding"] for r in embed.hashed_vectors(texts).collect()}
+    assert len(found) == 604 and all(len(v) == 64 for v in found.values())
+    assert found["a"] == found["c"] and set(found["b"]) == set(found[None]) == {0.0}
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-6 for h, v in found.items() if h not in ("b", None))
+    assert sorted({abs(round(x, 4)) for x in found["a"]}) == [0.0, 0.4472, 0.8944]
+    files = spark.createDataFrame([(f"{i}.py", f"def f{i}():\n    return {i}\n") for i in range(200)] + [("x.py", "def ("), ("y.py", None)], "path string, content string").coalesce(1)
+    chunks = chunk.syntax_chunks(files)
+    assert chunks.count() == 202 and chunks.where("chunk_type = 'function'").count() == 200
