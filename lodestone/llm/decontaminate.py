@@ -6,8 +6,8 @@ that are some window's rarest word are joined. A joined word fixes where the win
 that would begin before the document's first word or end after its last are out (position and length bounds), and
 the rest is verified word by word. Occurrences carry the id of their window; the items that have it are joined last.
 
-Rarity: a bounded sample of documents names ``CONTENDERS`` rare words per window, their occurrences are counted over
-all documents, and the rarest of them is the window's prefix. Any of them would give the same result.
+Rarity: the occurrences of every window word are counted over all documents, and the word with the fewest is the
+window's prefix; a window with a word that no document holds occurs nowhere.
 
 A row per document word would be most of the cost, so a bit table of the wanted words' hashes first thins the word
 array in place; what passes is exploded with its neighbourhood (enough for any window over it), joined exactly and
@@ -29,9 +29,6 @@ from .common import ascii_lower, doc_key, stored, table
 WINDOW_WORDS = 10
 #: A block holds so many windows of ten words at most: some 50 MB when broadcast.
 BLOCK_WINDOWS = 100_000
-#: Rare words per window that are counted over all documents, and the documents whose words name them.
-CONTENDERS = 3
-SAMPLE_DOCS = 2000
 #: Bits of the table that thins the words; a fuller table only passes more words on to the join.
 BITS = 2**17
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,25 +71,21 @@ def item_windows(benchmark: DataFrame, window_words: int = WINDOW_WORDS) -> Data
     return windows.groupBy("window").agg(F.collect_set("item_id").alias("items")).withColumn("id", F.xxhash64("window"))
 
 
-def contenders(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The few words of each window that are rarest in a sample of the documents: id, word, at."""
+def rarest(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Of each window that may occur the word that all documents hold least often: id, times, word, at."""
     spread = windows.select("id", F.posexplode("window").alias("at", "raw")).select("id", "at", F.lower("raw").alias("word"))
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // SAMPLE_DOCS) or 1)) == 0)
-    seen = some.select(F.explode(words_of(F.col("text"))).alias("word")).select(F.lower("word").alias("word")).groupBy("word").count()
-    ranked = spread.join(seen, "word", "left").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("count", F.lit(0)), F.length("word").desc(), "word", "at")))
-    return ranked.where(F.col("r") <= CONTENDERS).select("id", "word", "at")
+    vocabulary = stored(spread.select("word").distinct(), "decon-vocabulary")
+    # Outer: see below.
+    words = docs.select(F.explode_outer(words_of(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
+    counts = words.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").count()  # at most ten words a window
+    best = spread.join(counts, "word", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("times"), "word", "at")).alias("m"))
+    return best.where("m.times > 0").select("id", "m.*")
 
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents (key, doc_id, n_words), and every place where a window occurs: key, start (from 0), n, id."""
-    rare = stored(contenders(docs, windows), "decon-contenders")
-    vocabulary = rare.select("word").distinct()
-    d = thinned(docs, vocabulary)
-    base = stored(d.select("key", "doc_id", F.size("w").cast("long").alias("n_words"), F.transform("at", lambda i: F.lower(F.get("w", i))).alias("rare")), "decon-base")
-    counts = base.select(F.explode("rare").alias("word")).groupBy("word").count()
-    prefix = rare.join(counts, "word", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("times"), "word", "at")).alias("m")).where("m.times > 0")
-    prefix = stored(windows.join(prefix, "id").select(F.col("m.word").alias("word"), F.col("m.at").alias("before"), F.size("window").alias("n"), "window", "id"), "decon-prefix")
+    base = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    prefix = stored(windows.join(rarest(docs, windows), "id").select("word", F.col("at").alias("before"), F.size("window").alias("n"), "window", "id"), "decon-prefix")
 
     d = thinned(docs, prefix.select("word"))
     reach = WINDOW_WORDS - 1 if windows.isEmpty() else windows.agg(F.max(F.size("window"))).first()[0] - 1
@@ -103,7 +96,7 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFra
     first = F.col("left") - F.col("before")
     inside = (first >= 0) & (first + F.col("n") <= F.size("near"))
     same = F.transform(F.slice("near", F.when(inside, first + 1).otherwise(1), F.col("n")), ascii_lower) == F.col("window")
-    return base.drop("rare"), joined.where(inside & same).select("key", (F.col("pos") - F.col("before")).alias("start"), "n", "id")
+    return base, joined.where(inside & same).select("key", (F.col("pos") - F.col("before")).alias("start"), "n", "id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:

@@ -468,6 +468,14 @@ def brute_hits(docs, items):
         yield d, len(w), len(hit), sorted(found)
 
 
+def test_window_words_are_counted_over_all_documents(spark):
+    """A word that one of 5,000 documents holds is known as such, and a window with a word that none holds is out."""
+    rows = [(i, "Alpha beta gamma") for i in range(5000)] + [(5000, "Delta beta"), (None, None)]
+    windows = spark.createDataFrame([(1, ["alpha", "beta", "gamma"]), (2, ["beta", "delta", "gamma"]), (3, ["alpha", "nowhere"])], "id long, window array<string>")
+    found = decontaminate.rarest(spark.createDataFrame(rows, "doc_id long, text string"), windows).collect()
+    assert {tuple(r) for r in found} == {(1, 5000, "alpha", 0), (2, 1, "delta", 1)}
+
+
 def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     vocabulary = ["a", "b", "É", "é", "c1", "D", "d", "e", "x-y"]
