@@ -5,7 +5,7 @@ Tasks sum the normal equations of their rows (a matrix of FEATURES + 1 squared);
 matrices and solves. Fold 1 is kept from the ridge fit and calibrates it: scores are counted in CALIBRATION_BINS
 bins, and pooling adjacent violators makes their means monotone.
 
-The fit takes at most FIT_ROWS labelled rows (by hash of the id); statistics and scores are of every document.
+The fit takes every labelled row that may be learned from; statistics and scores are of every document.
 
 Defined cases: a null or empty text has statistics of 0 and is scored like any other; very long texts are read whole; without labels, or with labels
 of one class only, every score is the mean label (0.5 if there is none); repeated rows are scored alike; extra
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import doc_key, stored, table
 from .labelled import fold, learnable, with_labels
 
-FIT_ROWS = 200_000
 FEATURES, SEED, RIDGE = 256, 20240, 1e-3
 BANDWIDTH = 4.0
 GRAM_TASKS = 16
@@ -119,7 +118,7 @@ class Model:
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     known = stored(learnable(labels, label), "quality-labels")
     n = known.count()
-    rows = with_labels(stats, known.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // FIT_ROWS) or 1)) == 0), n)
+    rows = with_labels(stats, known, n)
     rows = stored(rows.select("x", "y", "fold").repartition(GRAM_TASKS), "quality-fit")
     at = [F.get("x", F.lit(i)) for i in range(N_STATS)]
     m = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.min("y").alias("low"), F.max("y").alias("high"), F.array(*[F.avg(c) for c in at]).alias("mean"), F.array(*[F.stddev_pop(c) for c in at]).alias("sd")).first()

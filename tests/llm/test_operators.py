@@ -476,6 +476,14 @@ def test_window_words_are_counted_over_all_documents(spark):
     assert {tuple(r) for r in found} == {(1, 5000, "alpha", 0), (2, 1, "delta", 1)}
 
 
+def test_quality_is_fitted_on_all_labels(spark, sf_dir, monkeypatch):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    before = {r["key"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    monkeypatch.setattr(quality, "FIT_ROWS", 20, raising=False)  # the cap that there was
+    after = {r["key"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    assert max(abs(before[k] - after[k]) for k in before) < 1e-9
+
+
 def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     vocabulary = ["a", "b", "É", "é", "c1", "D", "d", "e", "x-y"]
