@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -44,6 +45,13 @@ FOOTER = struct.Struct("<QQQQQQ8s")  # index offset and length, filter offset an
 CACHE_PIECES, CACHE_CHARS = 1_200_000, 48
 #: Marks that a piece may end in.
 MARKS = ".,;:!?"
+#: Atoms that have white space in no place but for one space before them, and how many go to the tokenizer at once.
+PLAIN, LINES = re.compile(r" ?\S+").fullmatch, 4096
+#: A space that has another white space, or the text's start or end, beside it.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD_SPACE = rf"(?:\A|{SPACE})\x20|\x20(?:\z|{SPACE})"
+#: Rows that are taken as Python strings at once, and characters that are encoded together (a longer text alone).
+ROWS, CALL_CHARS = 256, 8_000_000
 
 
 def default_tokenizer() -> str:
@@ -52,11 +60,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     A byte-level BPE splits before a single space between two other characters whatever stands around it, so a text
-    is cut there, and each distinct piece is encoded once per worker by the tokenizer.
+    is cut there, and each distinct piece is encoded once per worker by the tokenizer, and looked up once per call.
     """
 
     _kept: dict[str, Encoder] = {}
@@ -66,6 +78,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.feed = (self.tokenizer.encode("\n", add_special_tokens=False).ids or [-1])[0]
         self.ids: dict[str, bytes] = {}
 
     @classmethod
@@ -92,28 +105,77 @@ class Encoder:
         return [piece]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        """Pieces are told apart in Arrow, looked up once each, and put in order as arrays."""
+        whole = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(whole, ODD_SPACE).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for rows, of in ((np.flatnonzero(~odd), self.split), (np.flatnonzero(odd), self.searched)):
+            if len(rows):
+                pieces, at, counts = of(whole.take(pa.array(rows)))
+                for row, ids in zip(rows.tolist(), self.joined(pieces, at, counts), strict=True):
+                    out[row] = ids
+        return out
+
+    @staticmethod
+    def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Texts that may be cut at every space: pieces, the piece at each place, the number of places of each text."""
+        parts = pc.split_pattern(texts, " ")
+        flat, starts = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
+        pieces, at = [f" {p}" for p in strings(flat.dictionary)], flat.indices.to_numpy().copy()
+        at[starts[:-1] - starts[0]] = len(pieces) + np.arange(len(texts))  # the first piece has no space before it
+        return [*pieces, *[t.partition(" ")[0] for t in strings(texts)]], at, np.diff(starts)
+
+    @classmethod
+    def searched(cls, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        cut = [cls.pieces(t) for t in strings(texts)]
+        flat = pa.array([p for ps in cut for p in ps], pa.large_string()).dictionary_encode()
+        return strings(flat.dictionary), flat.indices.to_numpy(), np.array([len(ps) for ps in cut])
+
+    def joined(self, pieces: list[str], at: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The ids of each text from those of its pieces."""
+        values = self.values(pieces)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids, n = np.frombuffer(b"".join(values), "<u4"), size[at]
+        after = np.cumsum(n)  # ids up to and with each place
+        shift = (np.cumsum(size) - size)[at] - after + n
+        out = ids[np.repeat(shift, n) + np.arange(n.sum())].tobytes()
+        ends = (np.concatenate([[0], after])[np.cumsum(counts)] * 4).tolist()
+        return [out[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def values(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces."""
         if len(self.ids) > CACHE_PIECES:
             self.ids.clear()
-        new = {p: self.atoms(p) for ps in cut for p in ps if p not in self.ids}
-        single = list({a for atoms in new.values() for a in atoms if a not in self.ids})
-        found = {}
-        for i in range(0, len(single), 4096):
-            some = single[i : i + 4096]
-            for atom, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                found[atom] = np.array(e.ids, "<u4").tobytes()
-        self.ids.update((a, b) for a, b in found.items() if len(a) <= CACHE_CHARS)
-        for piece, atoms in new.items():
-            if len(atoms) > 1:
-                found[piece] = b"".join([self.ids.get(a) or found.get(a, b"") for a in atoms])
-        self.ids.update((p, found[p]) for p in new if len(p) <= CACHE_CHARS)
-        out = []
-        for ps in cut:
-            try:
-                out.append(b"".join(map(self.ids.__getitem__, ps)))
-            except KeyError:  # pieces too long to be kept
-                out.append(b"".join([self.ids.get(p) or found.get(p, b"") for p in ps]))
-        return out
+        out = list(map(self.ids.get, pieces))
+        new = dict.fromkeys([p for p, v in zip(pieces, out, strict=True) if v is None])
+        cut = {p: atoms for p in new if (p[-1:] in MARKS or "\n" in p) and len(atoms := self.atoms(p)) > 1}
+        single = dict.fromkeys(p for p in new if p not in cut)
+        single.update((a, None) for atoms in cut.values() for a in atoms if a not in self.ids)
+        found = self.tokenized(list(single))
+        for piece, atoms in cut.items():
+            found[piece] = b"".join([found[a] if a in found else self.ids[a] for a in atoms])
+        self.ids.update((p, v) for p, v in found.items() if len(p) <= CACHE_CHARS)
+        return [found[p] if v is None else v for p, v in zip(pieces, out, strict=True)]
+
+    def tokenized(self, atoms: list[str]) -> dict[str, bytes]:
+        """Ids of distinct atoms. Those without white space go to the tokenizer as lines: it splits at a lone line feed."""
+        found, lines, other = {}, [], []
+        for a in atoms:
+            (lines if PLAIN(a) else other).append(a)
+        for i in range(0, len(lines), LINES):
+            some = lines[i : i + LINES]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            feeds = np.flatnonzero(ids == self.feed)
+            if len(feeds) != len(some) - 1:  # not a tokenizer that does
+                other += some
+                continue
+            starts, ends, raw = [0, *(4 * feeds + 4).tolist()], [*(4 * feeds).tolist(), 4 * len(ids)], ids.tobytes()
+            found.update((a, raw[s:e]) for a, s, e in zip(some, starts, ends, strict=True))
+        for i in range(0, len(other), LINES):
+            some = other[i : i + LINES]
+            for a, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                found[a] = np.array(e.ids, "<u4").tobytes()
+        return found
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -257,6 +319,24 @@ class Reader:
         return out
 
 
+def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """(ids, texts) of consecutive rows, some CALL_CHARS characters each."""
+    keys, texts, chars = [], [], 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(i, ROWS)
+            for key, text in zip(rows.column(0).to_pylist(), strings(rows.column(1)), strict=True):
+                text = text or ""
+                if chars and chars + len(text) > CALL_CHARS:
+                    yield keys, texts
+                    keys, texts, chars = [], [], 0
+                keys.append(key)
+                texts.append(text)
+                chars += len(text)
+    if keys:
+        yield keys, texts
+
+
 def write_shards(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Encodes (doc_id, text) and writes the files under ``uri``; returns their manifest: path, first_id, last_id,
     n_docs, n_ids, part (files in key order by part)."""
@@ -267,15 +347,12 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID
 
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         path, writer, first, last = f"{uri}/shard-{part:06d}-{uuid.uuid4().hex}.sst", None, None, None
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part_of = batch.slice(i, 256)
-                keys, texts = part_of.column(0).to_pylist(), [t or "" for t in part_of.column(1).to_pylist()]
-                for doc_id, ids in zip(keys, encoder.encode(texts), strict=True):
-                    if writer is None:
-                        writer, first = Writer(path), doc_id
-                    writer.add(key_of(doc_id), ids + end)
-                    last = doc_id
+        for keys, texts in calls(batches):
+            for doc_id, ids in zip(keys, encoder.encode(texts), strict=True):
+                if writer is None:
+                    writer, first = Writer(path), doc_id
+                writer.add(key_of(doc_id), ids + end)
+                last = doc_id
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids], "part": pa.array([part], pa.int32())})

@@ -220,6 +220,48 @@ def test_pieces_encode_like_whole_texts():
         assert list(np.frombuffer(ids, "<u4")) == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_pieces_are_looked_up_once_a_call():
+    """Not at each place where they stand, and single words go to the tokenizer together."""
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Counted.n += 1
+            return super().__getitem__(k)
+
+    e = token_shards.Encoder(token_shards.default_tokenizer())
+    e.ids = Counted()
+    texts = ["The cat sat on a mat. " * 300 + "x" * i for i in range(20)]
+    assert [len(ids) for ids in e.encode(texts)] == [4 * len(x.ids) for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert Counted.n < 200
+
+
+def test_odd_texts_encode_like_whole_texts():
+    e = token_shards.Encoder(token_shards.default_tokenizer())
+    odd = ["", " ", "  a", "a ", "a  b", "a \n b", "\x85 a", "a\u3000 b", "a\u180e b", "é" * 60 + " b", "<|endoftext|> a", "a\nb c", "x\r\n y", "\n", " .", "a.\n\nb!", "\u200b c"]
+    for texts in (odd, [""], ["", ""], [" ", " "], [], ["a b"], odd[::-1] * 3):
+        found = [np.frombuffer(ids, "<u4").tolist() if ids else [] for ids in e.encode(texts)]
+        assert found == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_calls_keep_rows_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_shards, "ROWS", 2)
+    monkeypatch.setattr(token_shards, "CALL_CHARS", 6)
+    texts = ["abc", None, "de", "", "f" * 9, "gh", "ijkl", "m"]
+    batches = [pa.RecordBatch.from_pydict({"k": range(a, b), "t": pa.array(texts[a:b], pa.string())}) for a, b in ((0, 3), (3, 3), (3, 8))]
+    found = list(token_shards.calls(iter(batches)))
+    assert [(k, t) for ks, ts in found for k, t in zip(ks, ts, strict=True)] == [(i, t or "") for i, t in enumerate(texts)]
+    assert [sum(map(len, ts)) for _, ts in found] == [5, 9, 6, 1]
+    assert list(token_shards.calls(iter([]))) == []
+
+
 def test_shard_file_lookup(tmp_path):
     w = token_shards.Writer(f"file://{tmp_path}/x.sst")
     rng, rows = random.Random(1), []
